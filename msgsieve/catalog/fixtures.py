@@ -109,9 +109,9 @@ AS r(account_sub, match_type, pattern)
 """
 
 VIEWS["ip_ranges"] = """
-SELECT * FROM (VALUES (1572864000, 1572929535, 'Russia', 'Some Hosting'), (1572929536, 1572995071, 'France', 'VPN Net'),
-  (1572995072, 1580000000, 'France', 'Home ISP'), (134744064, 134744319, 'United States', 'Public DNS'))
-AS g(lo, hi, country, isp)
+SELECT * FROM (VALUES (1572864000, 1572929535, 'RU', 'Some ISP'), (1572929536, 1572995071, 'FR', 'VPN Net'),
+  (1572995072, 1580000000, 'FR', 'Home ISP'), (134744064, 134744319, 'US', 'Public DNS'))
+AS g(lo, hi, country_code, isp)
 """
 
 # Several sources reporting on the same numbers.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -153,32 +153,28 @@ def strip_html(html: Column, limit: int = 50_000) -> Column:
 
 
 # --- look-alike letters ------------------------------------------------------
-def _nfkc_unstable_class() -> str:
-    """Character class of everything NFKC may change, derived from the Unicode tables.
+_MIN_STABLE_RUN = 5       # shorter runs are not worth a range in the pattern
+_STABLE_BELOW = 0x2100    # scripts of Latin, Greek, Cyrillic and general punctuation
 
-    Combining marks are included because they may compose with the letter before.
+
+@lru_cache(maxsize=1)
+def nfkc_candidate() -> str:
+    """Pattern that finds a character NFKC could change.
+
+    Derived from the Unicode tables: the pattern negates long runs of
+    characters that are stable on their own and cannot combine.  It may also
+    find stable characters (they are only normalised in vain), never miss one.
     """
-    spans: list[list[int]] = []
-    for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
+    runs: list[list[int]] = []
+    for cp in range(_STABLE_BELOW):
         ch = chr(cp)
-        if unicodedata.normalize("NFKC", ch) != ch or unicodedata.category(ch)[0] == "M":
-            if spans and spans[-1][1] == cp - 1:
-                spans[-1][1] = cp
+        if unicodedata.normalize("NFKC", ch) == ch and unicodedata.category(ch)[0] != "M":
+            if runs and runs[-1][1] == cp - 1:
+                runs[-1][1] = cp
             else:
-                spans.append([cp, cp])
-    parts = [rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans]
-    return "[" + "".join(parts) + "]"
-
-
-_UNSTABLE: list[str] = []
-
-
-def nfkc_unstable() -> str:
-    if not _UNSTABLE:
-        _UNSTABLE.append(_nfkc_unstable_class())
-    return _UNSTABLE[0]
+                runs.append([cp, cp])
+    kept = [(a, b) for a, b in runs if b - a + 1 >= _MIN_STABLE_RUN and (a < 0x500 or a >= 0x2000)]
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in kept) + r"\x{4E00}-\x{9FFF}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -193,7 +189,7 @@ def fold_confusables(text: Column) -> Column:
     change are sent to Python; all others pass as null and stay in the JVM.
     """
     mapped = F.translate(text, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)
-    return F.coalesce(_nfkc(F.when(mapped.rlike(nfkc_unstable()), mapped)), mapped)
+    return F.coalesce(_nfkc(F.when(mapped.rlike(nfkc_candidate()), mapped)), mapped)
 
 
 MIXED_TOKEN = r"([A-Za-z\x{370}-\x{3FF}\x{400}-\x{4FF}][A-Za-z0-9\x{370}-\x{3FF}\x{400}-\x{4FF}._\-]{1,})"
@@ -203,7 +199,9 @@ def mixed_script_tokens(text: Column, limit: int = 5) -> Column:
     """First tokens that mix Latin letters with Greek or Cyrillic ones."""
     found = F.regexp_extract_all(text_or_empty(text), F.lit(MIXED_TOKEN), F.lit(1))
     mixed = F.filter(found, lambda t: t.rlike(r"\p{IsLatin}") & t.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
-    return F.slice(F.transform(mixed, lambda t: F.substring(t, 1, 64)), 1, limit)
+    first = F.slice(F.transform(mixed, lambda t: F.substring(t, 1, 64)), 1, limit)
+    # Most texts have no such letter at all; only the others are tokenised.
+    return F.when(text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), first).otherwise(F.array().cast("array<string>"))
 
 
 def punycode_labels(text: Column, limit: int = 5) -> Column:

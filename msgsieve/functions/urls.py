@@ -50,7 +50,7 @@ def url_union(text: Column, html: Column) -> Column:
     found = F.array_distinct(F.concat(
         strict_urls(text), _all(html, r"(?i)href=[\"']([^\"']+)[\"']"), _all(html, r"(?i)src=[\"']([^\"']+)[\"']")))
     decoded = F.transform(found, lambda u: F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u))
-    both = F.transform(F.array_union(found, decoded), F.trim)
+    both = F.transform(F.array_union(found, decoded), lambda u: F.trim(u))
     full = F.transform(both, lambda u: F.when(u.startswith("www."), F.concat(F.lit("http://"), u)).otherwise(u))
     return F.array_sort(F.array_distinct(F.filter(full, lambda u: u.startswith("http://") | u.startswith("https://"))))
 
@@ -151,14 +151,14 @@ def typosquat_target(domain: Column) -> Column:
         return (F.levenshtein(d, t, 1) == 1) | ((d != t) & (
             d.contains(t) | (base == F.regexp_replace(t, r"\.[^.]*$", ""))))
 
-    return F.element_at(F.filter(literal_array(lx.VERDICT_TARGETS), imitates), 1)
+    return F.get(F.filter(literal_array(lx.VERDICT_TARGETS), imitates), 0)
 
 
 def url_flags(url: Column, redirects: Column | None = None) -> Column:
     """Ordered flag texts, each worth fixed points (see ``flag_points``)."""
     domain, route = netloc(url), F.lower(path(url))
     tld = F.when(domain.contains("."), F.concat(F.lit("."), F.element_at(F.split(domain, r"\."), -1))).otherwise("")
-    port = F.element_at(F.split(domain, ":"), 2)
+    port = F.get(F.split(domain, ":"), 1)
     labels = F.size(F.split(domain, r"\."))
     target = typosquat_target(domain)
     checks = [

@@ -121,11 +121,11 @@ def auto_triage_candidates(df: DataFrame, threshold: float = 0.85, limit: int =
 
 
 def auto_triage(candidates: DataFrame, geo: DataFrame) -> DataFrame:
-    """Block rows for candidates whose origin is high-risk; ``geo`` has (ip, country, risk_level)."""
+    """Block rows for candidates whose origin is high-risk; ``geo`` has (ip, country_code, risk_level)."""
     origin = candidates.withColumn("ip", F.col("origin_ip"))
     return (origin.join(geo, "ip").filter(F.col("risk_level") == "HIGH")
-            .select("id", "sender", "confidence", "country",
-                    F.format_string("Auto-blocked: Score %.2f, Origin: %s (HIGH risk)", "confidence", "country").alias("reason")))
+            .select("id", "sender", "confidence", "country_code",
+                    F.format_string("Auto-blocked: Score %.2f, Origin: %s (HIGH risk)", "confidence", "country_code").alias("reason")))
 
 
 # --- rule-driven rewrites ----------------------------------------------------
