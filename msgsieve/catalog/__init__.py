@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "columns"]
+MODULES = ["filters", "columns", "lookups", "keyed"]
 
 
 def load() -> None:

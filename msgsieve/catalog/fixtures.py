@@ -59,7 +59,7 @@ JOIN (VALUES
   (8,'See you at lunch on Friday','none'),
   (9,'Reset at https://login.secure.paypal.verify.example.net/account/update','spf=softfail dmarc=none'),
   (10,'Call me at (408) 555-0112 about the job, you applied, send your resume','spf=pass dkim=pass dmarc=pass'),
-  (11,'','none')
+  (11,'Sign in at https://www.paypal.org/signin?x=1 or http://amaz0n.com/update','none')
 ) AS p(k, phrase, auth) ON p.k = d.doc_id % 12
 JOIN (VALUES
   (0,'PayPal <service@paypa1.com>'),(1,'+18885550101'),(2,'IRS'),(3,'News <n@news.example.com>'),
@@ -109,8 +109,8 @@ AS r(account_sub, match_type, pattern)
 """
 
 VIEWS["ip_ranges"] = """
-SELECT * FROM (VALUES (1572864000, 1572929535, 'RU', 'Some ISP'), (1572929536, 1572995071, 'FR', 'VPN Net'),
-  (1572995072, 1580000000, 'FR', 'Home ISP'), (134744064, 134744319, 'US', 'Public DNS'))
+SELECT * FROM (VALUES (1572339712, 1572356095, 'RU', 'Some ISP'), (1572356096, 1572372479, 'FR', 'VPN Net'),
+  (1572372480, 1572405247, 'FR', 'Home ISP'), (134744064, 134744319, 'US', 'Public DNS'))
 AS g(lo, hi, country_code, isp)
 """
 

@@ -36,7 +36,7 @@ def match_safe_senders(df: DataFrame, rules: DataFrame) -> DataFrame:
     r = small_side(rules)
     hit = pairs.join(r, "account_sub").filter(
         ((F.col("match_type") == "exact") & (F.col("_s") == F.col("pattern")))
-        | ((F.col("match_type") == "pattern") & F.col("_s").like(F.col("pattern")))
+        | ((F.col("match_type") == "pattern") & F.like("_s", F.col("pattern")))
         | ((F.col("match_type") == "domain") & (F.col("_d") == F.col("pattern"))))
     tier = F.when(F.col("match_type") == "exact", 1).when(F.col("match_type") == "pattern", 2).otherwise(3)
     best = hit.groupBy("account_sub", "sender").agg(F.min(F.struct(tier.alias("tier"), "pattern")).alias("b"))
