@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "columns", "lookups", "keyed"]
+MODULES = ["filters", "columns", "lookups", "keyed", "verdict"]
 
 
 def load() -> None:

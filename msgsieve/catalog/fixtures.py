@@ -76,7 +76,7 @@ SELECT e.event_id AS report_id, e.event_id AS message_id,
        concat('s', CAST(e.user_id % 10 AS string), '@bulk', CAST(e.event_id % 9 AS string), '.example') AS sender,
        concat('bulk', CAST(e.event_id % 9 AS string), '.example') AS sender_key,
        CASE e.event_type WHEN 'click' THEN false WHEN 'view' THEN true WHEN 'error' THEN false ELSE NULL END AS expected,
-       CASE e.event_type WHEN 'click' THEN 'money, suspicious_link' WHEN 'error' THEN 'odd one' ELSE '' END AS reasons,
+       CASE e.event_type WHEN 'click' THEN 'unsolicited, Credential' WHEN 'error' THEN 'odd one' ELSE '' END AS reasons,
        CASE WHEN e.event_type = 'signup' THEN 'free text' ELSE NULL END AS detail,
        false AS promoted_to_fleet,
        e.ts AS created_at
