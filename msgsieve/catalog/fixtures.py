@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgsieve.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
+TEXT_TABLES = {"documents", "pages", "conversations"}   # much work per row
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["messages"] = """
@@ -178,7 +182,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for field in df.schema.fields:
             if field.dataType.typeName() == "timestamp_ntz":
                 df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        _cache[key] = df
+        _cache[key] = spread(df) if name in TEXT_TABLES else df
     return _cache[key]
 
 

@@ -35,14 +35,16 @@ LURES = ["URGENCY_FEAR", "IMPERSONATION", "SENSITIVE_ASK", "CREDIT_LURE", "HAPPY
          "PUNYCODE_IDN", "ADVANCE_FEE", "LOOKALIKE_DOMAIN", "REPLY_TO_MISMATCH"]
 
 
-def snippet(text: Column, needle: Column, pad: int = 28) -> Column:
-    """Up to 120 characters around the first place of ``needle``, with ellipses where cut."""
-    at = F.position(needle, F.lower(text))
-    start = F.greatest(F.lit(1), at - pad)
-    end = F.least(F.length(text), at + F.length(needle) + pad - 1)
-    part = F.trim(F.replace(F.substring(text, start, end - start + 1), F.lit("\n"), F.lit(" ")))
-    cut = F.concat(F.when(start > 1, "…").otherwise(""), part, F.when(end < F.length(text), "…").otherwise(""))
-    return F.substring(F.when(at > 0, cut).otherwise(F.substring(needle, F.lit(1), F.lit(80))), 1, 120)
+PAD = 28
+
+
+def snippet(text: Column, needle: Column, at: Column) -> Column:
+    """Up to 120 characters around place ``at`` of ``needle``, with ellipses where cut; null without a needle."""
+    start = F.greatest(F.lit(1), at - PAD)
+    size = at + F.length(needle) + PAD - start
+    part = F.trim(F.replace(F.substring(text, start, size), F.lit("\n"), F.lit(" ")))
+    cut = F.concat(F.when(at > PAD + 1, "…").otherwise(""), part, F.when(start + size - 1 < F.length(text), "…").otherwise(""))
+    return F.when(needle.isNotNull(), F.substring(F.when(at > 0, cut).otherwise(needle), 1, 120))
 
 
 def _any_code(codes: list[str]) -> Column:
@@ -84,13 +86,16 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     apart = ~F.exists("_foreign", lambda d: F.contains(d, c("_dom")) | F.contains(c("_dom"), d))
     first_foreign = F.get("_foreign", 0)
 
-    def found(word: Column) -> Column:
-        return F.concat(F.lit("Found “"), snippet(folded, word), F.lit("”"))
+    def found(name: str) -> Column:
+        return F.concat(F.lit("Found “"), around(name), F.lit("”"))
+
+    def around(name: str) -> Column:
+        return snippet(folded, c(f"_w_{name}"), c(f"_p_{name}"))
 
     def quoted(head: str, value: Column, tail: str = "”") -> Column:
         return F.concat(F.lit(head), value, F.lit(tail))
 
-    sensitive = F.coalesce(*[F.when(low.rlike(t.bounded(w)) if w in lx.SENSITIVE_BOUNDED else low.contains(w), F.lit(w)) for w in lx.SENSITIVE_WORDS])
+    sensitive = F.coalesce(*[F.when(t.has_bounded(low, w) if w in lx.SENSITIVE_BOUNDED else low.contains(w), F.lit(w)) for w in lx.SENSITIVE_WORDS])
     relay = F.coalesce(*[F.when(c("_dom").contains(h) | low.contains(h), F.lit(h)) for h in lx.RELAY_HINTS])
     name_key = F.regexp_replace(F.lower(F.translate("_name", lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)), "[^a-z0-9]", "")
     addr_low = F.lower(F.translate("_addr", lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO))
@@ -103,13 +108,10 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     toll = F.regexp_extract("_content", phones.TOLL_FREE, 1)
     plain = F.trim(F.regexp_replace(F.regexp_replace("_content", r"<[^>]{0,500}>", " "), r"[ \t\r\n\f]{1,64}", " "))
     refs = F.regexp_count("_content", F.lit(IMAGE_REF))
-    bare = (F.length(plain) < 12) & (F.length("_content") > 80) & (low.contains("<html") | low.contains("multipart"))
     risky = F.regexp_extract(F.concat_ws(" ", content, opt("attachments")), ATTACHMENT, 1)
     brand_like = lk.lookalike_brand(who)
     stamps = F.lower(F.concat_ws(" ", opt("received_spf"), opt("auth_results")))
     r_addr, s_addr = F.lower(F.regexp_extract(opt("reply_to"), ADDRESS, 1)), F.lower(F.regexp_extract("_who", ADDRESS, 1))
-    reply_off = ((r_addr != "") & (s_addr != "") & (r_addr != s_addr)
-                 & (F.split_part(r_addr, F.lit("@"), F.lit(-1)) != F.split_part(s_addr, F.lit("@"), F.lit(-1))))
     fleet = F.coalesce(F.col("fleet_hit"), F.lit(False)) if "fleet_hit" in have else F.lit(False)
     fleet_note = (F.format_string("Sender key on fleet threat list (conf≤%.2f)", F.coalesce("fleet_confidence", F.lit(0.75)))
                   if "fleet_hit" in have else F.lit(""))
@@ -120,8 +122,19 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     odd_token = F.get("_mixed", 0)
     odd = F.regexp_extract(odd_token, r"([\p{IsGreek}\p{IsCyrillic}])", 1)
 
-    def word(words: list[str]) -> Column:
-        return t.first_hit(low, words)
+    # The leading phrase of each kind and its place are columns of their own, so each is searched for once.
+    phrases = {"urgent": lx.URGENT + lx.FEAR, "happy": lx.HAPPY, "credit": lx.CREDIT_LURE, "relation": lx.RELATIONSHIP,
+               "blackmail": lx.BLACKMAIL, "advance": lx.ADVANCE_FEE}
+    words = {k: t.first_hit(low, v) for k, v in phrases.items()} | {"sensitive": sensitive}
+    out = out.withColumns({f"_w_{k}": v for k, v in words.items()} | {
+        "_relay": relay, "_brand_like": brand_like, "_swap": t.digit_swapped_brand(folded), "_plain": plain, "_push": push, "_toll": toll,
+        "_bad": bad, "_short": short, "_far": first_foreign, "_risky": risky, "_stamps": stamps, "_ra": r_addr, "_sa": s_addr})
+    out = out.withColumns({f"_p_{k}": F.position(c(f"_w_{k}"), low) for k in words})
+    relay, brand_like, plain, push, toll, bad, short, first_foreign, risky, stamps, r_addr, s_addr = (
+        c(x) for x in ("_relay", "_brand_like", "_plain", "_push", "_toll", "_bad", "_short", "_far", "_risky", "_stamps", "_ra", "_sa"))
+    bare = (F.length(plain) < 12) & (F.length("_content") > 80) & (low.contains("<html") | low.contains("multipart"))
+    reply_off = ((r_addr != "") & (s_addr != "") & (r_addr != s_addr)
+                 & (F.split_part(r_addr, F.lit("@"), F.lit(-1)) != F.split_part(s_addr, F.lit("@"), F.lit(-1))))
 
     evidence: dict[str, Column] = {
         "HOMOGRAPH": F.when(F.size("_mixed") > 0, F.concat(
@@ -130,11 +143,11 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
             F.format_string(" (U+%04X) — looks like “", F.ascii(odd)),
             F.substring(F.translate(odd_token, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO), 1, 40), F.lit("”"))),
         "PUNYCODE_IDN": F.when(F.size("_puny") > 0, quoted("IDN/punycode host label “", F.get("_puny", 0), "” (often hides non-Latin letters)")),
-        "HTML_OBFUSCATION": quoted("Brand “", t.digit_swapped_brand(folded), "” appears with digit/symbol swaps in the text"),
-        "URGENCY_FEAR": found(word(lx.URGENT + lx.FEAR)), "HAPPY_LURE": found(word(lx.HAPPY)),
-        "CREDIT_LURE": quoted("Credit/score lure: “", snippet(folded, word(lx.CREDIT_LURE))),
-        "SENSITIVE_ASK": quoted("Asks about “", snippet(folded, sensitive)),
-        "RELATIONSHIP_LURE": found(word(lx.RELATIONSHIP)), "BLACKMAIL": found(word(lx.BLACKMAIL)),
+        "HTML_OBFUSCATION": quoted("Brand “", c("_swap"), "” appears with digit/symbol swaps in the text"),
+        "URGENCY_FEAR": found("urgent"), "HAPPY_LURE": found("happy"),
+        "CREDIT_LURE": quoted("Credit/score lure: “", around("credit")),
+        "SENSITIVE_ASK": quoted("Asks about “", around("sensitive")),
+        "RELATIONSHIP_LURE": found("relation"), "BLACKMAIL": found("blackmail"),
         "BAD_URL": quoted("Link host “", bad, "” uses an abused TLD"),
         "SHORT_LINK": quoted("Shortener hides the real site: “", short),
         "DOMAIN_MISMATCH": F.when((c("_dom") != "") & first_foreign.isNotNull() & apart,
@@ -145,7 +158,7 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
         "TOLL_FREE_CALLBACK": F.when(is_phone_channel & (toll != ""), quoted("Toll-free callback: “", F.trim(toll))),
         "NEIGHBOR_SPOOF": F.when(is_call & area.rlike(r"^\d{3}$") & (F.length(caller) == 10) & (F.substring(caller, 1, 3) == area),
                                  quoted("Caller ID area ", area, " matches your local prefix")),
-        "ADVANCE_FEE": quoted("Advance-fee language: “", snippet(folded, word(lx.ADVANCE_FEE))),
+        "ADVANCE_FEE": quoted("Advance-fee language: “", around("advance")),
         "IMAGE_ONLY": F.when((refs >= 1) & (F.length(plain) < 48),
                              F.format_string("Body is mostly image (%d img ref, %d text chars)", refs, F.length(plain)))
         .when(bare, "HTML/multipart body with almost no extractable text"),
@@ -162,7 +175,7 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
             is_call & pack.isNotNull(), quoted("Matched campaign pack “", pack, "” (directory / TFN seed)")),
     }
     out = out.withColumns({f"_e_{k}": F.substring(v, 1, EVIDENCE) for k, v in evidence.items()})
-    brand = F.coalesce(*[F.when(low.rlike(t.bounded(b)), F.lit(b)) for b in lx.IMPERSONATE])
+    brand = F.coalesce(*[F.when(t.has_bounded(low, b), F.lit(b)) for b in lx.IMPERSONATE])
     letterish = t.has_any(low, ["unsubscribe", "newsletter", "view in browser", "tldrnewsletter"])
     context = F.when(c("_e_AUTH_PASS").isNotNull() & letterish, _any_code(NEWSLETTER_CONTEXT)).otherwise(_any_code(SPOOF_CONTEXT))
     out = out.withColumn("_e_IMPERSONATION", F.when(
@@ -173,13 +186,16 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     rows = [F.when(c(f"_e_{k}").isNotNull(), F.struct(F.lit(k).alias("code"), F.lit(lx.FINDING_LABELS[k]).alias("label"),
                                                        c(f"_e_{k}").alias("evidence"))) for k in ORDER]
     out = out.withColumn("findings", F.array_compact(F.array(*rows)))
-    return out.drop(*[x for x in out.columns if x.startswith("_e_")], "_content", "_who", "_blob", "_folded", "_low",
+    return out.drop(*[x for x in out.columns if x[:3] in ("_e_", "_w_", "_p_")], "_relay", "_brand_like", "_swap", "_plain", "_push",
+                    "_toll", "_bad", "_short", "_far", "_risky", "_stamps", "_ra", "_sa", "_content", "_who", "_blob", "_folded", "_low",
                     "_dom", "_links", "_name", "_addr", "_mixed", "_puny", "_foreign")
 
 
 def finding_rows(df: DataFrame) -> DataFrame:
     """Table form: one row per message and code."""
-    return df.select("id", F.posexplode("findings").alias("pos", "f")).select("id", "pos", "f.code", "f.label", "f.evidence")
+    # The outer form: the inner one would make Spark add a filter that computes the whole array again.
+    rows = df.select("id", F.posexplode_outer("findings").alias("pos", "f")).filter(F.col("pos").isNotNull())
+    return rows.select("id", "pos", "f.code", "f.label", "f.evidence")
 
 
 def _reason(code: str, label: Column, evidence: Column) -> Column:

@@ -46,6 +46,11 @@ def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def has_bounded(low: Column, word: str) -> Column:
+    """The word stands alone; the plain substring test comes first because it is far cheaper."""
+    return low.contains(word) & low.rlike(bounded(word))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z']+)"), F.lit(1))
 
@@ -182,14 +187,24 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def has_non_ascii(text: Column) -> Column:
+    """Cheap byte-count test; most texts stop here."""
+    return F.octet_length(text) != F.length(text)
+
+
+# Beyond Latin letters with stable forms; three ranges only, so it is fast to test first.
+BEYOND_LATIN = r"[^\x00-\x{9F}\x{A1}-\x{A7}\x{BF}-\x{131}]"
+
+
 def fold_confusables(text: Column) -> Column:
     """Map look-alike letters to Latin, then NFKC.
 
     Spark has no normaliser, so only texts holding a character NFKC could
     change are sent to Python; all others pass as null and stay in the JVM.
     """
-    mapped = F.translate(text, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)
-    return F.coalesce(_nfkc(F.when(mapped.rlike(nfkc_candidate()), mapped)), mapped)
+    mapped = F.when(has_non_ascii(text), F.translate(text, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)).otherwise(text)
+    doubtful = has_non_ascii(mapped) & mapped.rlike(BEYOND_LATIN) & mapped.rlike(nfkc_candidate())
+    return F.coalesce(_nfkc(F.when(doubtful, mapped)), mapped)
 
 
 MIXED_TOKEN = r"([A-Za-z\x{370}-\x{3FF}\x{400}-\x{4FF}][A-Za-z0-9\x{370}-\x{3FF}\x{400}-\x{4FF}._\-]{1,})"
@@ -201,7 +216,7 @@ def mixed_script_tokens(text: Column, limit: int = 5) -> Column:
     mixed = F.filter(found, lambda t: t.rlike(r"\p{IsLatin}") & t.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
     first = F.slice(F.transform(mixed, lambda t: F.substring(t, 1, 64)), 1, limit)
     # Most texts have no such letter at all; only the others are tokenised.
-    return F.when(text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), first).otherwise(F.array().cast("array<string>"))
+    return F.when(has_non_ascii(text) & text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), first).otherwise(F.array().cast("array<string>"))
 
 
 def punycode_labels(text: Column, limit: int = 5) -> Column:

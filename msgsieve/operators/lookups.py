@@ -396,7 +396,9 @@ def train_eval_overlap(evaluation: DataFrame, train_groups: DataFrame, overlap:
 # --- message-level verdict joins ---------------------------------------------
 def url_table(messages: DataFrame) -> DataFrame:
     """One row per scheme link of a message: (id, message_type, pos, url)."""
-    return messages.select("id", "message_type", F.posexplode(urls.scheme_urls(F.col("body"))).alias("pos", "url"))
+    # Outer form and later filter: the inner form makes Spark scan the text twice more to drop empty arrays early.
+    rows = messages.select("id", "message_type", F.posexplode_outer(urls.scheme_urls(F.col("body"))).alias("pos", "url"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def url_risk(links: DataFrame, redirects: str | None = None) -> DataFrame:

@@ -73,3 +73,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """
     over = df.limit(max_rows + 1).count() > max_rows
     return df if over else F.broadcast(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with too few splits (small files, one row group).
+
+    Large inputs already have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
