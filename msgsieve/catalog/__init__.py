@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "columns", "lookups", "keyed", "verdict", "rollups"]
+MODULES = ["filters", "columns", "lookups", "keyed", "verdict", "rollups", "sources", "models"]
 
 
 def load() -> None:

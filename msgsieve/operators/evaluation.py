@@ -131,7 +131,7 @@ def action_confusion(judged: DataFrame) -> DataFrame:
     """Expected action by predicted action, with an ``invalid`` column."""
     p = F.when(F.col("outcome") == "ok", F.col("predicted")).otherwise("invalid")
     return (judged.filter(F.col("outcome").isin(SUPPORTED)).withColumn("_p", p).groupBy("expected")
-            .pivot("_p", [*ACTIONS, "invalid"]).agg(F.count("*")).na.fill(0))
+            .pivot("_p", [*ACTIONS, "invalid"]).agg(F.count(F.lit(1))).na.fill(0))
 
 
 def action_scores(judged: DataFrame) -> DataFrame:
