@@ -36,16 +36,17 @@ def _(i: Inputs):
 @query("M2_feature_matrix")
 def _(i: Inputs):
     d = labelled(i)
-    voc = tm.fit_vocabulary(tm.term_counts(d), d.count())
+    counts = tm.term_counts(d)
+    x = tm.tfidf_rows(counts, tm.fit_vocabulary(counts, d.count()))
     from pyspark.ml.functions import vector_to_array
-    m = tm.feature_matrix(d.withColumn("n", F.length("text")), voc, ["n"])
+    m = tm.feature_matrix(d.withColumn("n", F.length("text")), x, ["n"])
     return m.select("id", "label", F.size(F.filter(vector_to_array("features"), lambda v: v != 0)).alias("cells"))
 
 
 @query("M3_train_and_score")
 def _(i: Inputs):
     d = labelled(i)
-    model = tm.train_classifier(d, max_iter=20)
+    model = tm.train_classifier(d, max_iter=10)
     return tm.score_messages(model, d).select("id", "label", "pred", F.round("conf", 4).alias("conf"))
 
 

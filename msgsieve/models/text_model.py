@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -115,12 +117,13 @@ def _sparse(cells, size):
     return SparseVector(size, [i for i, _ in cells], [v for _, v in cells])
 
 
-def feature_matrix(df: DataFrame, vocabulary: DataFrame, structural: list[str]) -> DataFrame:
+def feature_matrix(df: DataFrame, x: DataFrame, structural: list[str]) -> DataFrame:
     """(id, label, features): n-gram blocks and structural block as one sparse vector.
 
-    Used for training only; scoring needs no vectors.
+    ``x`` are the weighted term rows of the same messages.  Used for training
+    only; scoring needs no vectors.
     """
-    cells = tfidf_rows(term_counts(df), vocabulary).select("id", "idx", "x")
+    cells = x.select("id", "idx", "x")
     base = WORD_TERMS + CHAR_TERMS
     dense = F.filter(F.array(*[F.struct(F.lit(base + i).alias("idx"), F.col(c).cast("double").alias("x")) for i, c in enumerate(structural)]),
                      lambda s: s["x"] != 0) if structural else F.array().cast("array<struct<idx:int,x:double>>")
@@ -139,36 +142,43 @@ def train_classifier(df: DataFrame, structural: list[str] | None = None, reg: fl
     """Class-balanced logistic model of (id, text, label, structural columns), calibrated when there is enough data."""
     structural = structural or []
     documents = df.count()
-    vocabulary = fit_vocabulary(term_counts(df), documents).persist()
-    matrix = balanced_weights(feature_matrix(df, vocabulary, structural)).persist()
+    # Counted once; training, calibration and the vocabulary all read these rows.
+    counts = term_counts(df).persist()
+    vocabulary = fit_vocabulary(counts, documents).persist()
+    x = tfidf_rows(counts, vocabulary).select("id", "idx", "x").persist()
+    matrix = balanced_weights(feature_matrix(df, x, structural)).persist()
     fitted = LogisticRegression(weightCol="weight", elasticNetParam=0.0, regParam=reg, maxIter=max_iter, standardization=False).fit(matrix)
     base = WORD_TERMS + CHAR_TERMS
     coef = fitted.coefficients.toArray()
-    spark = df.sparkSession
-    weights = spark.createDataFrame([(int(i), float(coef[i])) for i in coef.nonzero()[0] if i < base], "idx int, weight double")
-    terms = vocabulary.join(F.broadcast(weights), "idx", "left").select("kind", "term", "idx", "idf", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weights = df.sparkSession.createDataFrame(pd.DataFrame({"idx": np.arange(base), "weight": coef[:base]}))
+    terms = vocabulary.join(F.broadcast(weights), "idx").select("kind", "term", F.col("idx").cast("int").alias("idx"), "idf", "weight")
     model = TextModel(terms, tuple(structural), tuple(float(v) for v in coef[base:]), float(fitted.intercept))
-    out = calibrate(model, df) if documents >= MIN_CALIBRATION_ROWS else model
-    matrix.unpersist()
+    out = calibrate(model, df, x) if documents >= MIN_CALIBRATION_ROWS else model
+    for used in (matrix, x, counts):
+        used.unpersist()
     return out
 
 
-def margins(model: TextModel, df: DataFrame, text: str = "text") -> DataFrame:
-    """(id, margin) by a join with the term table and a sum per message."""
-    x = tfidf_rows(term_counts(df, text), model.terms.select("kind", "term", "idx", "idf", "weight"))
+def margins(model: TextModel, df: DataFrame, text: str = "text", x: DataFrame | None = None) -> DataFrame:
+    """Add ``margin`` by a join with the term table and a sum per message; ``x`` are ready term rows."""
+    if x is None:
+        x = tfidf_rows(term_counts(df, text), model.terms.select("kind", "term", "idx", "idf", "weight"))
+    else:
+        x = x.join(F.broadcast(model.terms.select("idx", "weight")), "idx")
     part = x.groupBy("id").agg(F.sum(F.col("x") * F.col("weight")).alias("_m"))
     linear = sum((F.col(c).cast("double") * w for c, w in zip(model.structural, model.structural_weights)), F.lit(model.intercept))
     return df.join(part, "id", "left").withColumn("margin", F.coalesce("_m", F.lit(0.0)) + linear).drop("_m")
 
 
-def calibrate(model: TextModel, df: DataFrame) -> TextModel:
+def calibrate(model: TextModel, df: DataFrame, x: DataFrame | None = None) -> TextModel:
     """Platt scaling: a one-feature logistic fit on the margins."""
     from pyspark.ml.feature import VectorAssembler
-    m = margins(model, df).select("label", "margin")
+    m = margins(model, df, x=x).select("label", "margin").persist()
     if m.select("label").distinct().count() < 2:
         return model
     rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(m)
     fit = LogisticRegression(maxIter=50).fit(rows)
+    m.unpersist()
     return replace(model, platt_a=float(fit.coefficients[0]), platt_b=float(fit.intercept), calibrated=True)
 
 

@@ -1,0 +1 @@
+"""Structured Streaming jobs: scoring, keyed state, retries and dead letters."""
