@@ -15,7 +15,7 @@ def test_codes_and_evidence(spark):
     df = analysed(spark, (1, "phishing", "Hi", "Your account is suspended, send password http://evil.ru/a", "PayPal Team <x@paypa1.com>", "spf=fail", "y@other.example", "a.docm", 0.9),
                   (2, "phishing", "Lunch", "See you on Friday", "bob@corp.example", "spf=pass", None, None, 0.1), (3, "phishing", None, None, None, None, None, None, 0.9))
     by = {r.id: {f.code: f.evidence for f in r.findings} for r in df.collect()}
-    assert list(by[1]) == ["URGENCY_FEAR", "SENSITIVE_ASK", "BAD_URL", "DOMAIN_MISMATCH", "ATTACHMENT_RISK", "LOOKALIKE_DOMAIN", "SPF_FAIL", "REPLY_TO_MISMATCH", "IMPERSONATION", "SOCIAL_ENGINEERING"]
+    assert list(by[1]) == ["URGENCY_FEAR", "SENSITIVE_ASK", "BAD_URL", "DOMAIN_MISMATCH", "DISPLAY_NAME_SPOOF", "ATTACHMENT_RISK", "LOOKALIKE_DOMAIN", "SPF_FAIL", "REPLY_TO_MISMATCH", "IMPERSONATION", "SOCIAL_ENGINEERING"]
     assert by[1]["URGENCY_FEAR"].startswith("Found “") and "suspended" in by[1]["URGENCY_FEAR"]
     assert by[1]["LOOKALIKE_DOMAIN"] == "From host “paypa1.com” looks like paypal (typosquat)"
     assert by[1]["BAD_URL"] == "Link host “evil.ru” uses an abused TLD"
