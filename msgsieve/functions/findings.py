@@ -74,10 +74,12 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     out = out.withColumn("_folded", t.fold_confusables(F.col("_blob")))
     out = out.withColumns({
         "_low": F.lower("_folded"), "_dom": u.sender_domain(F.col("_who")),
-        "_links": F.transform(F.regexp_extract_all("_content", F.lit(r"(?i)https?://([^/\s:]+)"), F.lit(1)), lambda d: F.lower(d)),
         "_name": F.trim(F.regexp_extract("_who", DISPLAY, 1)), "_addr": F.trim(F.regexp_extract("_who", DISPLAY, 2)),
         "_mixed": t.mixed_script_tokens(F.col("_blob")), "_puny": t.punycode_labels(F.col("_blob")),
     })
+    none = F.array().cast("array<string>")
+    hosts = F.transform(F.regexp_extract_all("_content", F.lit(r"(?i)https?://([^/\s:]+)"), F.lit(1)), lambda d: F.lower(d))
+    out = out.withColumn("_links", F.when(F.col("_low").contains("http"), hosts).otherwise(none))
     c, low, folded, content, who = F.col, F.col("_low"), F.col("_folded"), F.col("_content"), F.col("_who")
     foreign = F.filter("_links", lambda d: ~u.is_esp_host(d) & ~u.aligned_with_sender(d, c("_dom")))
     out = out.withColumn("_foreign", foreign)
@@ -104,10 +106,12 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
                & ~F.exists(name_words, lambda w: F.contains(addr_low, w)) & ~F.contains(addr_low, name_key))
     is_phone_channel = F.col(channel).isin("smishing", "vishing")
     is_call = F.col(channel) == "vishing"
-    push = F.regexp_extract("_content", PHONE_PUSH, 1)
-    toll = F.regexp_extract("_content", phones.TOLL_FREE, 1)
+    push = F.when(is_phone_channel, F.regexp_extract("_content", PHONE_PUSH, 1)).otherwise("")
+    toll = F.when(is_phone_channel, F.regexp_extract("_content", phones.TOLL_FREE, 1)).otherwise("")
+    # Stripping the body is costly and matters only for texts with image or markup traces.
+    imageish = t.has_any(low, ["<img", "cid:", "[image:", "<html", "multipart"])
     plain = F.trim(F.regexp_replace(F.regexp_replace("_content", r"<[^>]{0,500}>", " "), r"[ \t\r\n\f]{1,64}", " "))
-    refs = F.regexp_count("_content", F.lit(IMAGE_REF))
+    refs = F.when(c("_plain").isNotNull(), F.regexp_count("_content", F.lit(IMAGE_REF))).otherwise(0)
     risky = F.regexp_extract(F.concat_ws(" ", content, opt("attachments")), ATTACHMENT, 1)
     brand_like = lk.lookalike_brand(who)
     stamps = F.lower(F.concat_ws(" ", opt("received_spf"), opt("auth_results")))
@@ -127,7 +131,7 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
                "blackmail": lx.BLACKMAIL, "advance": lx.ADVANCE_FEE}
     words = {k: t.first_hit(low, v) for k, v in phrases.items()} | {"sensitive": sensitive}
     out = out.withColumns({f"_w_{k}": v for k, v in words.items()} | {
-        "_relay": relay, "_brand_like": brand_like, "_swap": t.digit_swapped_brand(folded), "_plain": plain, "_push": push, "_toll": toll,
+        "_relay": relay, "_brand_like": brand_like, "_swap": t.digit_swapped_brand(folded), "_plain": F.when(imageish, plain), "_push": push, "_toll": toll,
         "_bad": bad, "_short": short, "_far": first_foreign, "_risky": risky, "_stamps": stamps, "_ra": r_addr, "_sa": s_addr})
     out = out.withColumns({f"_p_{k}": F.position(c(f"_w_{k}"), low) for k in words})
     relay, brand_like, plain, push, toll, bad, short, first_foreign, risky, stamps, r_addr, s_addr = (
