@@ -210,3 +210,13 @@ def _(i: Inputs):
         return F.concat(F.lit("k"), (F.col(c) % n).cast("string"))
     e = i.table("events").select("event_id", F.array_distinct(F.array(key("event_id", 3), key("event_id", 5), F.lit("z"))).alias("a"), F.array_distinct(F.array(key("user_id", 4), key("event_id", 7))).alias("b"))
     return compare_sets(e, "a", "b").select("event_id", "overlaps", F.array_join("common", ",").alias("common"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("S21_retrain_report", "SELECT channel, count(*) AS n, CAST(count_if(pred IS NULL) AS bigint) AS errors FROM predictions GROUP BY 1", "predictions")
+def _(i: Inputs):
+    """Per-channel run results written as one report and read back."""
+    p, path = i.view("predictions"), folder(i, "report")
+    runs = [p.filter(F.col("channel") == c).groupBy("channel").agg(F.count("*").alias("n"), F.count_if(F.col("pred").isNull()).alias("errors"))
+            for c in ("phishing", "smishing", "vishing")]
+    sk.write_retrain_report(runs, path)
+    return i.spark.read.schema("channel string, n bigint, errors bigint").json(path)

@@ -147,3 +147,12 @@ def _(i: Inputs):
     return out.select("submitted", "processed", "dead_lettered", "threats", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "dropped")
 
 
+
+
+@query("R2_bounded_intake", "SELECT event_id AS id FROM events ORDER BY event_id LIMIT 10000")
+def _(i: Inputs):
+    """Intake of 10,000 rows at most per batch; the rest is refused and counted."""
+    e = event_stream(i).select(F.col("event_id").alias("id"))
+    path = place(i, "intake")
+    flow.run_available(e, lambda df, n: flow.drop_new(df, 10_000, F.asc("id"))[0].write.mode("overwrite").parquet(f"{path}/batch_id={n}"), place(i, "ckpt"))
+    return i.spark.read.schema("id bigint, batch_id int").parquet(path).select("id")

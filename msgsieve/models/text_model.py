@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgsieve.operators.ordered import top_per_key
+from msgsieve.operators.quantiles import values_at
 
 WORD_TERMS, CHAR_TERMS = 15_000, 10_000
 MIN_CALIBRATION_ROWS = 50
@@ -98,8 +99,11 @@ def fit_vocabulary(counts: DataFrame, documents: int) -> DataFrame:
     sizes = {"w": WORD_TERMS, "c": CHAR_TERMS}
     per = counts.groupBy("kind", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    # One map-side limited top-k per kind; the result is at most 25,000 rows.
-    top = top_per_key(per, ["kind"], [F.desc("total"), F.asc("term")], max(sizes.values())).filter(F.col("rank") <= size[F.col("kind")])
+    # The exact count of the last term to keep is found first, so that only about
+    # 25,000 rows reach the two ranking groups, however many terms there are.
+    cut = values_at(per, ["kind"], "total", {"least": F.greatest(F.col("n") - size[F.col("kind")], F.lit(0))}).select("kind", "least")
+    kept = per.join(F.broadcast(cut), "kind").filter(F.col("total") >= F.col("least"))
+    top = top_per_key(kept, ["kind"], [F.desc("total"), F.asc("term")], max(sizes.values())).filter(F.col("rank") <= size[F.col("kind")])
     offset = F.when(F.col("kind") == "w", 0).otherwise(WORD_TERMS)
     return top.select("kind", "term", (F.col("rank") - 1 + offset).alias("idx"), (F.log(F.lit(1.0 + documents) / (F.col("df") + 1)) + 1).alias("idf"))
 
