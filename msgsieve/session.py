@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="msgsieve-"), "msgsieve"), "zip", root, "msgsieve")
+        spark.sparkContext.addPyFile(archive)
+        # The start-up worker of stateful streams reads only the environment.
+        paths = [root, spark.sparkContext.environment.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in paths if x)
+        _shipped.add(app)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and streaming state.
 
