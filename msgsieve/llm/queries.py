@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgsieve.llm.common import table
+from msgsieve.llm.common import scratch, table
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
+from msgsieve.llm.token_store import read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,13 @@ from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op7_token_store")
+def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer has no SQL form; tests compare with its own encoding of whole texts."""
+    import public_tokenizers
+
+    path = scratch(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return read_store(spark, path)
