@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from msgsieve.llm.common import scratch, table
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.token_store import read_store, write_store
+from msgsieve.llm.toxicity import fit_toxicity, learnable, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +27,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted model has no SQL form; tests measure held-out accuracy."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(learnable(F.col("doc_id"))))
+    scored = score_toxicity(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op4_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -21,6 +21,8 @@ SEQ = np.uint64(0xD1342543DE82EF95)
 UNSEQ = np.uint64(pow(int(SEQ), -1, 2 ** 64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+PUNCTUATION = np.ones(256, bool)  # ASCII other than letters and digits
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -67,11 +69,11 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         at = end
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte spans of all words, and the index of each text's first word (one more entry at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inner = ~SPACE[data]
+    inner = ~separators[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     begin = inner.copy()
