@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from msgsieve.llm.common import scratch, table
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
+from msgsieve.llm.ngram_join import ngram_groups
 from msgsieve.llm.token_store import read_store, write_store
 from msgsieve.llm.toxicity import fit_toxicity, learnable, score_toxicity
 
@@ -36,6 +37,24 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op2_ngram_join", """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                             else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) as s from w),
+d as (select distinct doc_id, s from g),
+n as (select doc_id, count(*) as n from d group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as i from d a join d b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(doc_id, c) as (select a, b from e union select r.doc_id, e.b from r join e on r.c = e.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) as component_id
+from w left join n using (doc_id) left join (select doc_id, min(c) as c from r group by doc_id) m using (doc_id)
+""")
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @query("op4_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
