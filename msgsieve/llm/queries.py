@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import scratch, table
+from msgsieve.llm.decontaminate import contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.ngram_join import ngram_groups
@@ -77,3 +78,10 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return read_store(spark, path)
+
+
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark passage.  Windows of every size against every item: too slow as SQL; tests use brute force."""
+    found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
