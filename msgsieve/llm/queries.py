@@ -12,6 +12,7 @@ from msgsieve.llm.decontaminate import contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.ngram_join import ngram_groups
+from msgsieve.llm.substring_dedup import drop_repeated_words
 from msgsieve.llm.token_store import read_store, write_store
 from msgsieve.llm.toxicity import fit_toxicity, learnable, score_toxicity
 
@@ -70,6 +71,21 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op6_substring_dedup", """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 18)) as p from w),
+h as (select s.doc_id, s.p, array_to_string(w.w[s.p:s.p + 19], ' ') as t from s join w using (doc_id)),
+l as (select doc_id, p from (select doc_id, p, rank() over (partition by t order by doc_id, p) as k from h) where k > 1),
+c as (select distinct doc_id, p + i as p from l, range(20) r(i)),
+x as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as t from w),
+k as (select x.doc_id, string_agg(x.t, ' ' order by x.p) as kept, count(*) as n from x left join c using (doc_id, p) where c.p is null group by 1)
+select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k using (doc_id)
+""")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_words(table(spark, sf_dir, "documents"), 20).drop("kept")
+
+
 @query("op7_token_store")
 def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokenizer has no SQL form; tests compare with its own encoding of whole texts."""
