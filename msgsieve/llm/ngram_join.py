@@ -10,10 +10,10 @@
    that share one are candidates, cut by length and position.
 4. Verification: a suffix filter (sizes of hash ranges), then the exact
    overlap, once per pair.
-5. Groups: pairs inside a component that is already known are not tried.  A
-   few rounds try one hub per prefix n-gram; the last round tries every pair
-   whose components still differ, so no link between groups is lost.  A list
-   of near copies thus costs about its length, not its square.
+5. Groups: first every class meets two hubs of each prefix n-gram it shares.
+   Then every candidate pair whose components still differ is tried, so no
+   link between groups is lost, and none inside a group is needed.  A list of
+   near copies thus costs about its length, not its square.
 
 N-grams and sets are 64-bit hashes: among 10**9 classes, about 0.03 pairs of
 different sets would be taken for equal.
@@ -41,7 +41,6 @@ from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_span
 
 SKETCH_BITS = 20
 SKETCH_PART = 4096
-HUB_ROUNDS = 3
 
 
 def ngram_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -166,17 +165,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return full.mapInArrow(test, "a long, b long")
 
 
-def _merge(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """cls, comp after ``links`` (a, b) join what ``comps`` has."""
-    if comps is None:
-        return components(links).withColumnRenamed("node", "cls")
-    named = comps.select(F.col("cls").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    between = links.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-    roots = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    fresh = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).distinct().join(comps, "cls", "left_anti").withColumn("comp", F.col("cls"))
-    return cut_lineage(comps.unionByName(fresh).join(roots, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")))
-
-
 def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: groups linked by a Jaccard similarity of ``percent`` or more.
 
@@ -186,7 +174,7 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = as_columns(docs, doc_id="long", text="string")
     members, sketch = _classes_and_sketch(docs, size)
     prefixes = _prefixes(docs, size, percent, sketch)
-    shared = prefixes.groupBy("gram").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("gram")
+    shared = prefixes.groupBy("gram").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
     lists = cut_lineage(prefixes.join(shared, "gram").dropDuplicates(["gram", "cls"]))
     wanted = lists.select("cls").distinct()
     speakers = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -194,38 +182,25 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs.join(speakers, "doc_id").select("cls", F.col("n").cast("int").alias("n"), "text").dropDuplicates(["cls"]).write.parquet(path)
     texts = spark.read.parquet(path)
 
-    comps, tried = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        known = lists.withColumn("comp", F.col("cls")) if comps is None else lists.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        open_lists = known.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
-        known = cut_lineage(known.join(open_lists, "gram"))
-        if known.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            # The hub changes with the round; ties of the hash are broken by the class itself.
-            hubs = known.groupBy("gram").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("hub")).select("gram", F.col("hub.cls").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-            pairs = known.join(hubs, "gram").where("comp <> hub_comp").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-        else:
-            major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-            rows = known.join(major, "gram")
-            a = rows.where("comp <> major").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "comp")])
-            b = rows.select("gram", "major", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "comp")])
-            bound = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-            cut = (F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)") & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-                   & (bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
-            pairs = a.join(b, "gram").where(cut).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = cut_lineage(_verified(pairs, texts, size, percent))
-        if not links.isEmpty():
-            comps = _merge(comps, links)
-    if comps is None:
-        grouped = members.withColumn("comp", F.col("cls"))
-    else:
-        grouped = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # Two hubs for each shared n-gram, then whatever pairs still lie between components.
+    hubs = lists.select("gram", "cls", F.explode(F.array("first", "last")).alias("hub")).where("cls <> hub")
+    tried = cut_lineage(hubs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
+    links = cut_lineage(_verified(tried, texts, size, percent))
+    comps = components(links)
+    known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    rows = cut_lineage(known.join(major.where("comps > 1"), "gram"))
+    a = rows.where("comp <> major").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "comp")])
+    b = rows.select("gram", "major", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "comp")])
+    bound = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    cut = (F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)") & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+           & (bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+    pairs = a.join(b, "gram").where(cut).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    more = cut_lineage(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent))
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
+    comps = comps.withColumnRenamed("node", "cls")
+    grouped = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = grouped.where("comp is not null").join(lowest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(grouped.where("comp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
