@@ -13,6 +13,7 @@ from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.ngram_join import ngram_groups
 from msgsieve.llm.substring_dedup import drop_repeated_words
+from msgsieve.llm.suffix_index import drop_repeated_bytes
 from msgsieve.llm.token_store import read_store, write_store
 from msgsieve.llm.toxicity import fit_toxicity, learnable, score_toxicity
 
@@ -101,3 +102,9 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark passage.  Windows of every size against every item: too slow as SQL; tests use brute force."""
     found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
+
+
+@query("op10_suffix_index")
+def suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per byte is too much for SQL on whole tables; tests use brute force."""
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"), 400, batches=4).drop("kept")

@@ -116,3 +116,16 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, size: int) -> Iterator[np
             yield sequence_hashes(words[a:b], b - a)
         else:
             yield words[:0]
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any run of bytes is taken."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(CODES[data] * powers(BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hashes of the byte runs that begin at ``start``."""
+    raw = (sums[start + length] - sums[start]) * powers(UNBASE, len(sums))[start]
+    return mix64(raw + np.asarray(length, np.int64).astype(np.uint64))
