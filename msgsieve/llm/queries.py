@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgsieve.llm.chat import preference_turns, repeated_reply_pairs
 from msgsieve.llm.common import scratch, table
 from msgsieve.llm.decontaminate import contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
+from msgsieve.llm.html_blocks import extract_pages
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.ngram_join import ngram_groups
 from msgsieve.llm.substring_dedup import drop_repeated_words
@@ -58,6 +60,23 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+@query("op3_chat_preferences", """
+with t as (select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
+           qualify row_number() over (partition by conv_id, turn order by coalesce(role, 'user'), coalesce(text, '')) = 1),
+e as (select conv_id, min(turn) as f, max(turn) as l from t where role = 'assistant' group by 1 having min(turn) < max(turn)),
+c as (select t.*, e.l, case when t.turn = e.l then r.text else t.text end as other
+      from t join e using (conv_id) join t r on r.conv_id = t.conv_id and r.turn = e.f where t.turn <= e.l),
+p as (select conv_id, turn, role, text, other, text = other as same from c)
+select conv_id as pair_id, part, turn, '<|' || role || '|>' || chr(10) || said || '<|end|>' || chr(10) as rendered, part <> 'prompt' and role = 'assistant' as loss
+from (select conv_id, 'prompt' as part, turn, role, text as said from p where same
+      union all select conv_id, 'chosen', turn, role, text from p where not same
+      union all select conv_id, 'rejected', turn, role, other from p where not same)
+""")
+def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = repeated_reply_pairs(table(spark, sf_dir, "conversations"))
+    return preference_turns(chosen, rejected)
+
+
 @query("op4_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -97,6 +116,12 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+@query("op8_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree over mark-up has no SQL form; tests compare with pages whose article is known."""
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op9_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark passage.  Windows of every size against every item: too slow as SQL; tests use brute force."""
