@@ -32,11 +32,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns, cut_lineage, scratch
 from msgsieve.llm.components import components
+from msgsieve.llm.hash_filter import HashFilter, build_filter
 from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_spans
 
 SKETCH_BITS = 20
@@ -75,7 +76,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
 def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        names = ["doc_id", "n", "cls", "part", "counts"]
+        names = ["doc_id", "mark", "n", "cls", "part", "counts"]
         for batch in batches:
             ids, sizes, classes = batch.column("doc_id"), [], []
             for grams in ngram_sets(batch, size):
@@ -87,10 +88,10 @@ def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarr
                     # The grams of a text differ, but two may share a counter.
                     np.add.at(counts, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         pieces = [counts[i:i + SKETCH_PART].astype("<u8").tobytes() for i in range(0, len(counts), SKETCH_PART)]
         k = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(pieces, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(range(k), pa.int32()), pa.array(pieces, pa.binary())], names)
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH_PART, np.uint64)
@@ -100,7 +101,7 @@ def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarr
 
     spark = docs.sparkSession
     path = scratch(spark, "ngram-classes")
-    docs.mapInArrow(scan, "doc_id long, n long, cls long, part int, counts binary").withColumn("task", F.pmod(F.spark_partition_id(), F.lit(1024))).write.parquet(path)
+    docs.mapInArrow(scan, "doc_id long, mark long, n long, cls long, part int, counts binary").withColumn("task", F.pmod(F.spark_partition_id(), F.lit(1024))).write.parquet(path)
     found = spark.read.parquet(path)
     pieces = found.where("part is not null").select("part", "task", "counts")
     some = pieces.groupBy("part", "task").applyInPandas(add, "part int, counts binary")
@@ -108,7 +109,7 @@ def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarr
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     for row in rows:
         sketch[row["part"] * SKETCH_PART:(row["part"] + 1) * SKETCH_PART] = np.frombuffer(row["counts"], "<u8")
-    return found.where("part is null").select("doc_id", "n", "cls"), sketch
+    return found.where("part is null").select("doc_id", "mark", "n", "cls"), sketch
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -145,13 +146,31 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> D
     return docs.select("text").mapInArrow(scan, "gram long, cls long, n int, pos int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, text: a text of every class in ``pairs``.
+
+    A bit set of the wanted ids keeps the other texts out of the shuffle.
+    """
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    speakers = cut_lineage(members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("row")).select("cls", "row.doc_id", "row.mark"))
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(speakers, "mark").bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = HashFilter(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    some = docs.mapInArrow(keep, "doc_id long, text string, mark long")
+    path = scratch(docs.sparkSession, "ngram-texts")
+    some.join(speakers, (some["doc_id"].eqNullSafe(speakers["doc_id"])) & (some["mark"] == speakers["mark"])).select("cls", "text").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link."""
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    left = texts.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("text").alias("text_b"))
-    sized = pairs.join(right.select("b", "n_b"), "b").join(left.select("a", "n_a"), "a").where(close).select("a", "b")
-    full = sized.join(right.select("b", "text_b"), "b").join(left.select("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    pairs = cut_lineage(pairs)
+    texts = _texts(docs, members, pairs)
+    full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +181,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(overlap_bound(x, y) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(test, "a long, b long")
+    return cut_lineage(full.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Length and position filter for two entries of one list."""
+    bound = F.least(F.col(f"n_{a}") - F.col(f"pos_{a}"), F.col(f"n_{b}") - F.col(f"pos_{b}"))
+    small, large = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
+    return (small * 100 >= large * percent) & (bound * (100 + percent) >= (small + large) * percent)
 
 
 def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -170,33 +196,25 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
     ``component_id`` is the smallest doc_id that links reach from the row.
     """
-    spark = docs.sparkSession
-    docs = as_columns(docs, doc_id="long", text="string")
+    docs = as_columns(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
     members, sketch = _classes_and_sketch(docs, size)
     prefixes = _prefixes(docs, size, percent, sketch)
     shared = prefixes.groupBy("gram").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
     lists = cut_lineage(prefixes.join(shared, "gram").dropDuplicates(["gram", "cls"]))
-    wanted = lists.select("cls").distinct()
-    speakers = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    path = scratch(spark, "ngram-texts")
-    docs.join(speakers, "doc_id").select("cls", F.col("n").cast("int").alias("n"), "text").dropDuplicates(["cls"]).write.parquet(path)
-    texts = spark.read.parquet(path)
-
+    side = lambda df, s, *more: df.select("gram", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", *(["comp"] if "comp" in df.columns else []))])
+    pair = F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")
     # Two hubs for each shared n-gram, then whatever pairs still lie between components.
-    hubs = lists.select("gram", "cls", F.explode(F.array("first", "last")).alias("hub")).where("cls <> hub")
-    tried = cut_lineage(hubs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
-    links = cut_lineage(_verified(tried, texts, size, percent))
+    hubs = side(lists.where("cls = first or cls = last"), "b")
+    tried = side(lists, "a").join(hubs, "gram").where(F.expr("cls_a <> cls_b") & _possible("a", "b", percent)).select(*pair).distinct()
+    tried = cut_lineage(tried)
+    links = _verified(tried, docs, members, size, percent)
     comps = components(links)
     known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
     rows = cut_lineage(known.join(major.where("comps > 1"), "gram"))
-    a = rows.where("comp <> major").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "comp")])
-    b = rows.select("gram", "major", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "comp")])
-    bound = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    cut = (F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)") & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-           & (bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
-    pairs = a.join(b, "gram").where(cut).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-    more = cut_lineage(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, size, percent))
+    apart = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
+    pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent)).select(*pair).distinct()
+    more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, members, size, percent)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = comps.withColumnRenamed("node", "cls")
