@@ -129,43 +129,60 @@ def find_items(words: np.ndarray, indexes: list[ItemIndex], similarity: float) -
     return best
 
 
+class Matcher:
+    """Finds the items of one benchmark block in Arrow batches of texts."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int, similarity: float, radius: int):
+        self.similarity, self.indexes = similarity, build_index(items, size, similarity, radius)
+        sizes = {i.size for i in self.indexes}
+        self.known = {k: np.unique(np.concatenate([i.known for i in self.indexes if i.size == k])) for k in sizes}
+        self.least = {k: min(i.need for i in self.indexes if i.size == k) for k in sizes}
+        self.seen = {k: np.zeros(1 << 20, bool) for k in sizes}
+        for k in sizes:
+            self.seen[k][(self.known[k] >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
+        """(row, its items) of the rows that hold some."""
+        for at, _, data, offs in text_chunks(batch):
+            start, end, first = word_spans(data, offs)
+            words = word_hashes(data, start, end, fold=True)
+            some = np.zeros(len(offs) - 1, bool)
+            for k, known in self.known.items():
+                hashes = sequence_hashes(words, k)
+                maybe = np.flatnonzero(self.seen[k][(hashes >> np.uint64(44)).astype(np.int64)])
+                maybe = maybe[np.isin(hashes[maybe], known)]
+                some |= np.bincount(np.searchsorted(first, maybe, side="right") - 1, minlength=len(some))[:len(some)] >= self.least[k]
+            for doc in np.flatnonzero(some).tolist():
+                hits = find_items(words[first[doc]:first[doc + 1]], self.indexes, self.similarity)
+                if hits:
+                    yield at + doc, hits
+
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about ``block_bytes`` of text."""
+    items = as_columns(benchmark, item_id="long", text="string").where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = int(total // block_bytes + 1)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == block).collect()]
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS,
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word: every document that holds a passage like a benchmark item."""
     spark = docs.sparkSession
     docs = as_columns(docs, doc_id="long", text="string")
-    items = as_columns(benchmark, item_id="long", text="string").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = int(total // block_bytes + 1)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     schema = "doc_id long, item_id long, similarity double, first_word long"
     found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        held = [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == block).collect()]  # about block_bytes
-        shared = spark.sparkContext.broadcast(held)
+    for items in _item_blocks(benchmark, block_bytes):
+        shared = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = build_index(shared.value, size, similarity, radius)
-            known = {k: np.unique(np.concatenate([i.known for i in indexes if i.size == k])) for k in {i.size for i in indexes}}
-            least = {k: min(i.need for i in indexes if i.size == k) for k in known}
-            seen = {k: np.zeros(1 << 20, bool) for k in known}
-            for k in known:
-                seen[k][(known[k] >> np.uint64(44)).astype(np.int64)] = True
+            match = Matcher(shared.value, size, similarity, radius)
             for batch in batches:
-                rows = []
-                ids = batch.column("doc_id").to_pylist()
-                for at, _, data, offs in text_chunks(batch):
-                    start, end, first = word_spans(data, offs)
-                    words = word_hashes(data, start, end, fold=True)
-                    some = np.zeros(len(offs) - 1, bool)
-                    for k in known:
-                        hashes = sequence_hashes(words, k)
-                        maybe = np.flatnonzero(seen[k][(hashes >> np.uint64(44)).astype(np.int64)])
-                        maybe = maybe[np.isin(hashes[maybe], known[k])]
-                        some |= np.bincount(np.searchsorted(first, maybe, side="right") - 1, minlength=len(some))[:len(some)] >= least[k]
-                    for doc in np.flatnonzero(some).tolist():
-                        hits = find_items(words[first[doc]:first[doc + 1]], indexes, similarity)
-                        rows += [(ids[at + doc], item, got, place) for item, (got, place) in sorted(hits.items())]
+                ids = batch.column("doc_id")
+                rows = [(ids[row].as_py(), item, got, place) for row, hits in match(batch) for item, (got, place) in sorted(hits.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word"])
 
@@ -174,6 +191,23 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, simi
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).alias("first_word"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, all columns as they are."""
+    for items in _item_blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            match = Matcher(shared.value, size, similarity, radius)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in match(batch)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_ids, similarity: one row per document that holds a benchmark passage."""
     found = benchmark_matches(docs, benchmark, **options)

@@ -99,15 +99,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
 
     Pieces: source_rank, block, slot, start, doc_from, n_tokens - in slot order
     these are the training stream; ``doc_from`` counts words inside the
-    document.  Documents: doc_id, source, size, source_rank, source_size,
-    target, start; (source_rank, start) names a document that has words.
+    document.  Documents: doc_id, row, source, size, source_rank, source_size,
+    target, start; (source_rank, start) names a document that has words, row
+    is a hash of all that was given.
 
     Defined cases: null or blank texts have size 0 and are never taken.  Null
     is a source of its own, after all others.  Repeated rows are rows of
     their own.  Without any words every target is 0.  Order among rows
     follows a hash of the id, then id and size, so reruns agree.
     """
-    rows = as_columns(docs, doc_id="long", source="string", text="string").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = as_columns(docs, doc_id="long", source="string", text="string").select(
+        "doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("row"), word_count(F.col("text")).alias("size"))
     rows = cut_lineage(rows)
     targets = source_targets(rows, weights, share, max_passes)
     many = isqrt(max(1, rows.count())) + 1
@@ -115,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     keyed = keyed.withColumn("_hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("_chunk", F.pmod("_hash", F.lit(many)))
     order = [F.col("_hash"), F.col("doc_id"), F.col("size")]
     placed = running_total(keyed, ["source_rank"], "_chunk", order, "size", "start")
-    placed = cut_lineage(placed.select("doc_id", "source", "size", "source_rank", "source_size", "target", "start"))
+    placed = cut_lineage(placed.select("doc_id", "row", "source", "size", "source_rank", "source_size", "target", "start"))
     slots = cut_lineage(schedule(targets, block_tokens))
     counts = slots.groupBy("source_rank").agg(F.count(F.lit(1)).alias("blocks"))
     cut = placed.where("size > 0 and round(target) > 0").join(counts, "source_rank").withColumn("quota", F.round("target").cast("long"))
@@ -135,10 +137,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken: what ``mix`` takes of each document."""
+    """doc_id, row, size, source, source_size, target, taken: what ``mix`` takes of each document."""
     pieces, placed = mix(docs, **options)
     # A row with words is known by its place in the source's stream.
     sums = pieces.groupBy("source_rank", "start").agg(F.sum("n_tokens").alias("got"))
     some = placed.where("size > 0").join(sums, ["source_rank", "start"], "left").withColumn("taken", F.coalesce("got", F.lit(0)))
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source", "source_size", "target", "taken")
+    return some.unionByName(none, allowMissingColumns=True).select("doc_id", "row", "size", "source", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, to the nearest whole document.
+
+    Documents without words are never taken, nor is one of which less than
+    half is.  Rows that are alike share what they are taken together.
+    """
+    takes = taken_words(docs, **options).where("taken > 0").groupBy("row").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
+    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    met = named.join(takes.where("_times > 0").withColumnRenamed("row", "_row"), "_row")
+    return met.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

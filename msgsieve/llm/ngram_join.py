@@ -52,6 +52,10 @@ def ngram_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterat
             yield np.unique(runs)
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+
+
 def set_class(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
@@ -152,7 +156,7 @@ def _texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     A bit set of the wanted ids keeps the other texts out of the shuffle.
     """
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    speakers = cut_lineage(members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("row")).select("cls", "row.doc_id", "row.mark"))
+    speakers = cut_lineage(members.join(wanted, "cls").groupBy("cls").agg(F.min("mark").alias("mark")))
     shared = docs.sparkSession.sparkContext.broadcast(build_filter(speakers, "mark").bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +164,9 @@ def _texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(wanted(batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    some = docs.mapInArrow(keep, "doc_id long, text string, mark long")
+    some = docs.select("text", "mark").mapInArrow(keep, "text string, mark long")
     path = scratch(docs.sparkSession, "ngram-texts")
-    some.join(speakers, (some["doc_id"].eqNullSafe(speakers["doc_id"])) & (some["mark"] == speakers["mark"])).select("cls", "text").write.parquet(path)
+    some.join(speakers, "mark").select("cls", "text").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -191,12 +195,9 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (bound * (100 + percent) >= (small + large) * percent)
 
 
-def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: groups linked by a Jaccard similarity of ``percent`` or more.
-
-    ``component_id`` is the smallest doc_id that links reach from the row.
-    """
-    docs = as_columns(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
+def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, mark, n, comp for every row; rows without words have no comp.  ``mark`` names a row by id and text."""
+    docs = marked(as_columns(docs, doc_id="long", text="string"))
     members, sketch = _classes_and_sketch(docs, size)
     prefixes = _prefixes(docs, size, percent, sketch)
     shared = prefixes.groupBy("gram").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
@@ -218,7 +219,28 @@ def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = comps.withColumnRenamed("node", "cls")
-    grouped = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    lowest = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = grouped.where("comp is not null").join(lowest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(grouped.where("comp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return members.join(comps, "cls", "left").select("doc_id", "mark", "n", F.coalesce("comp", "cls").alias("comp"))
+
+
+def ngram_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: groups linked by a Jaccard similarity of ``percent`` or more.
+
+    ``component_id`` is the smallest doc_id that links reach from the row.
+    """
+    rows = grouped_rows(docs, size, percent)
+    lowest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("comp is not null").join(lowest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.where("comp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: the one with the smallest id.
+
+    Rows repeated with one id and text are one document.  Documents without
+    words stay; of those without an id, one stays only if its group has no id.
+    """
+    rows = grouped_rows(docs, size, percent)
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("row")).select("row.mark")
+    kept = first.unionByName(rows.where("comp is null").select("mark")).distinct().withColumnRenamed("mark", "_mark")
+    named = docs.withColumn("_mark", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return named.join(kept, "_mark", "left_semi").dropDuplicates(["_mark"]).select(*docs.columns)

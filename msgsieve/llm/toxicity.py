@@ -145,11 +145,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     return ToxicityModel(np.frombuffer(got[0]["index"], "<i8"), np.frombuffer(got[0]["weight"], "<f8"), got[0]["intercept"])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns of every row (doc_id by default) and ``score``, 0 to 1."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``carry`` columns of every row (doc_id by default) and the score, 0 to 1, in column ``name``."""
     carry = carry or ["doc_id"]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double"
+    schema = docs.select(*carry).withColumn(name, F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 20, bool)
@@ -166,11 +165,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | Non
                     pairs = np.unique(owner[hit] * len(model.index) + place[hit])
                     margin += np.bincount(pairs // len(model.index), model.weight[pairs % len(model.index)], end - at)
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(at, end - at) for c in carry]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], [*carry, name])
 
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(score, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns as they are."""
+    return score_toxicity(docs, model, docs.columns, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+
+
 def learnable(doc_id: Column) -> Column:
     """The two thirds of all ids that labels are learnt from."""
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 != 1
