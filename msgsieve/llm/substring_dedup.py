@@ -2,10 +2,11 @@
 
 Level 1 looks at windows of half the final length.  Of those it counts the
 local minima by hash: every final window holds one of them at the same place
-in all its copies, so a final window can repeat only around a level-1 window
-that does.  Level 2 hashes the final windows around repeated level-1 windows
-and marks each one whose sequence starts earlier elsewhere.  ``lengths`` lets
-the levels go on doubling, for the lengths of long repeats.
+in all its copies, so a final window can repeat only if its local minimum
+does.  Level 2 extends those to the final length and marks each window whose
+sequence starts earlier elsewhere.  The levels end there: a longer repeat
+covers no word that its final windows leave.  ``longest_repeats`` goes on
+doubling until no candidates survive.
 
 * Level-1 counts are aggregated with a map-side combine.  The repeated ones
   become a bit set of bounded size (``hash_filter``); what it lets through by
@@ -75,12 +76,9 @@ def window_starts(first: np.ndarray, words: int, length: int) -> np.ndarray:
     return ok
 
 
-def _anchors(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash) of the level-1 windows that are looked at, and the final windows' starts."""
-    starts = window_starts(first, len(words), length)
-    half = sequence_hashes(words, length // 2)
-    places = local_minima(half, starts, length - length // 2 + 1)
-    return places, half[places], starts
+def _halves(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes of the level-1 windows, starts of the final windows, level-1 windows in a final one)."""
+    return sequence_hashes(words, length // 2), window_starts(first, len(words), length), length - length // 2 + 1
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -95,8 +93,8 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in text_chunks(batch):
                 start, end, first = word_spans(data, offs)
-                _, hashes, _ = _anchors(word_hashes(data, start, end, fold=False), first, length)
-                own, count = np.unique(hashes, return_counts=True)
+                halves, starts, inside = _halves(word_hashes(data, start, end, fold=False), first, length)
+                own, count = np.unique(halves[local_minima(halves, starts, inside)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count.astype(np.int32))], ["h", "n"])
 
     path = scratch(spark, "half-windows")
@@ -111,14 +109,13 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
             for at, stop, data, offs in text_chunks(batch):
                 begin, end, first = word_spans(data, offs)
                 words = word_hashes(data, begin, end, fold=False)
-                places, hashes, starts = _anchors(words, first, length)
-                places = places[repeated(hashes)]
-                if not len(places):
+                halves, starts, inside = _halves(words, first, length)
+                if not starts.any():
+                    continue
+                where = np.flatnonzero(starts[:len(halves) - inside + 1])
+                where = where[repeated(rolling(halves, inside, np.minimum)[where])]
+                if not len(where):
                     continue
-                mark = np.zeros(len(words) + 1, np.int32)
-                np.add.at(mark, np.maximum(places - (length - length // 2), 0), 1)
-                np.add.at(mark, places + 1, -1)
-                where = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & starts)
                 h = sequence_hashes(words, length)[where]
                 owner = np.searchsorted(first, where, side="right") - 1
                 doc, pos = ids[at:stop][owner], where - first[owner]
@@ -139,6 +136,46 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
     return found.where("h is null").select("doc_id", "pos").unionByName(later)
 
 
+def longest_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
+    """doc_id, pos, length: windows that occur more than once, at the longest of the doubled lengths at which they do.
+
+    A window of twice a length is looked at only where both its halves repeat;
+    the levels end when none is left.  Every level is written to the shared
+    folder.
+    """
+    spark = docs.sparkSession
+    docs = as_columns(docs, doc_id="long", text="string")
+    held, levels = None, []
+    while True:
+        met = docs.withColumn("starts", F.lit(None).cast("array<int>")) if held is None else docs.join(held.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "doc_id")
+
+        def extend(batches: Iterator[pa.RecordBatch], size=length, first_level=held is None) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    data = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
+                    start, end, _ = word_spans(data, np.array([0, len(data)]))
+                    h = sequence_hashes(word_hashes(data, start, end, fold=False), size)
+                    at = np.arange(len(h))
+                    if not first_level:
+                        known = np.unique(batch.column("starts")[i].values.to_numpy(zero_copy_only=False))
+                        at = known[np.isin(known + size // 2, known)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64))], ["doc_id", "pos", "h"])
+
+        windows = met.select("doc_id", "text", "starts").mapInArrow(extend, "doc_id long, pos int, h long")
+        again = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        path = scratch(spark, f"repeats-{length}")
+        windows.join(again, "h").select("doc_id", "pos").write.parquet(path)
+        held = spark.read.parquet(path)
+        if held.isEmpty():
+            break
+        levels.append(held.withColumn("length", F.lit(length)))
+        length *= 2
+    found = spark.createDataFrame([], "doc_id long, pos int, length int")
+    for level in levels:
+        found = found.unionByName(level)
+    return found.groupBy("doc_id", "pos").agg(F.max("length").alias("length"))
+
+
 def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept, kept_sha256: each text without the words of windows that also start earlier.
 
