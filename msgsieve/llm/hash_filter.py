@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS_EACH = 16
+BITS_EACH = 64
 MAX_BYTES = 64 << 20
 PART = 1 << 14
 
@@ -29,7 +29,7 @@ class HashFilter:
 
 
 def build_filter(hashes: DataFrame, column: str, max_bytes: int = MAX_BYTES) -> HashFilter:
-    """The filter over a long column: 16 bits a row, ``max_bytes`` at most (the driver and each executor hold as much)."""
+    """The filter over a long column: 64 bits a row, ``max_bytes`` at most (the driver and each executor hold as much)."""
     rows = max(1, hashes.count())
     size = min(max_bytes, 1 << max(14, (rows * BITS_EACH // 8 - 1).bit_length()))
 
@@ -55,3 +55,19 @@ def build_filter(hashes: DataFrame, column: str, max_bytes: int = MAX_BYTES) ->
         at = row["part"] * PART
         bits[at:at + PART] = np.frombuffer(row["bits"], np.uint8)[:size - at]
     return HashFilter(bits)
+
+
+def within(docs: DataFrame, hashes: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among ``hashes``, rows whose is not), both hashes of ``column`` as long."""
+    bits = docs.sparkSession.sparkContext.broadcast(build_filter(hashes, column).bits)
+
+    def part(found: bool):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            test = HashFilter(bits.value)
+            for batch in batches:
+                hit = test(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(hit == found))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    return part(True), part(False)

@@ -13,7 +13,8 @@ doubling until no candidates survive.
   chance is dropped by level 2's exact grouping.
 * Windows repeated inside one block of texts are settled there; a block sends
   each distinct window once, however often it occurs.
-* Texts are shuffled once, to meet the positions to remove.
+* Texts that may lose words are shuffled once, to meet the positions; the
+  others are not.
 
 Windows are compared by 64-bit hashes: among 10**9 distinct candidate windows
 about 0.03 pairs would be taken for equal.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns, scratch
-from msgsieve.llm.hash_filter import HashFilter, build_filter
+from msgsieve.llm.hash_filter import HashFilter, build_filter, within
 from msgsieve.llm.words import sequence_hashes, text_chunks, word_hashes, word_spans
 
 NO_ID = -(1 << 63)
@@ -182,7 +183,10 @@ def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
     ``kept`` is the kept words joined by one space.
     """
     docs = as_columns(docs, doc_id="long", text="string")
-    cuts = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list("pos").alias("cuts"))
+    docs = docs.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))))
+    path = scratch(docs.sparkSession, "cuts")
+    repeated_windows(docs.drop("key"), length).groupBy(F.xxhash64("doc_id").alias("key")).agg(F.collect_list("pos").alias("cuts")).write.parquet(path)
+    cuts = docs.sparkSession.read.parquet(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,5 +206,8 @@ def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())],
                                              ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    met = docs.join(cuts, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == cuts["doc_id"], "left").select(docs["doc_id"], "text", "cuts")
+    # Only texts that may lose words are shuffled.
+    some, none = within(docs, cuts, "key")
+    met = some.join(cuts, "key", "left").select("doc_id", "text", "cuts")
+    met = met.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<int>").alias("cuts")))
     return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

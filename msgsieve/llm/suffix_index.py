@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns, scratch
-from msgsieve.llm.hash_filter import HashFilter, build_filter
+from msgsieve.llm.hash_filter import HashFilter, build_filter, within
 from msgsieve.llm.substring_dedup import local_minima, rolling, window_starts
 from msgsieve.llm.words import byte_sums, run_hashes, text_chunks
 
@@ -270,7 +270,9 @@ def repeated_runs(docs: DataFrame, length: int = 400, batches: int = 4) -> DataF
 
 def drop_repeated_bytes(docs: DataFrame, length: int = 400, batches: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256: each text without the bytes of strings that also start elsewhere."""
-    cuts = repeated_runs(docs, length, batches).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
+    path = scratch(docs.sparkSession, "byte-cuts")
+    repeated_runs(docs, length, batches).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("cuts")).write.parquet(path)
+    cuts = docs.sparkSession.read.parquet(path)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -294,5 +296,8 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, batches: int = 4) ->
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    met = _with_row(docs).join(cuts, "row", "left").select("doc_id", "text", "cuts")
+    # Only texts that may lose bytes are shuffled.
+    some, none = within(_with_row(docs), cuts, "row")
+    met = some.join(cuts, "row", "left").select("doc_id", "text", "cuts")
+    met = met.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<struct<low:int,high:int>>").alias("cuts")))
     return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
