@@ -237,7 +237,7 @@ def _(i: Inputs):
 WITH c AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([A-Za-z\\x{{370}}-\\x{{3FF}}\\x{{400}}-\\x{{4FF}}][A-Za-z0-9\\x{{370}}-\\x{{3FF}}\\x{{400}}-\\x{{4FF}}._\\-]+)', 1),
   lambda k: regexp_matches(k, '\\p{{Latin}}') AND regexp_matches(k, '[\\p{{Greek}}\\p{{Cyrillic}}]')) AS mixed,
   regexp_extract_all(lower(text), '\\b(xn--[a-z0-9-]+)', 1) AS puny, translate(text, '{lx.CONFUSABLE_FROM}', '{lx.CONFUSABLE_TO}') AS folded FROM documents)
-SELECT doc_id, array_to_string(list_transform(list_slice(mixed, 1, 5), lambda k: substr(k, 1, 64)), ' ') AS mixed, array_to_string(list_slice(puny, 1, 5), ' ') AS punycode, md5(folded) AS folded_md5 FROM c""")
+SELECT doc_id, array_to_string(mixed, ' ') AS mixed, array_to_string(puny, ' ') AS punycode, md5(folded) AS folded_md5 FROM c""")
 def _(i: Inputs):
     c = F.col("text")
     return i.table("documents").select("doc_id", F.array_join(t.mixed_script_tokens(c), " ").alias("mixed"),
@@ -254,7 +254,7 @@ def _(i: Inputs):
 @query("F25_preview", """
 WITH a AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&#?\\w+;', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g')) AS s FROM pages)
 SELECT page_id, CASE WHEN length(s) > 220 THEN concat(substr(s, 1, 219), '…') ELSE s END AS preview,
-  md5(substr(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[\\s\\x0B]+', ' ', 'g')), 1, 50000)) AS text_md5 FROM a""")
+  md5(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[\\s\\x0B]+', ' ', 'g'))) AS text_md5 FROM a""")
 def _(i: Inputs):
     h = F.col("html")
     return i.table("pages").select("page_id", t.preview(h).alias("preview"), F.md5(t.strip_html(h)).alias("text_md5"))
@@ -284,7 +284,7 @@ def _(i: Inputs):
 @query("F28_time_and_fingerprint", """
 WITH a AS (SELECT id, sender, subject, body, ts, lower(trim(rfc_message_id)) AS mid, strftime(coalesce(ts, TIMESTAMP '2024-01-01'), '%Y-%m-%dT%H:%M:%S') AS iso FROM messages)
 SELECT id, mid AS message_id, epoch_us(date_trunc('second', coalesce(ts, TIMESTAMP '2024-01-01'))) AS parsed_us, sha256(concat('mid:', mid)) AS fp_mid,
-  sha256(concat_ws('|', substr(lower(trim(coalesce(sender,''))), 1, 200), substr(lower(trim(subject)), 1, 300), substr(lower(trim(body)), 1, 2000), iso)) AS fp_text FROM a""", "messages")
+  sha256(concat_ws('|', lower(trim(coalesce(sender,''))), lower(trim(subject)), lower(trim(body)), iso)) AS fp_text FROM a""", "messages")
 def _(i: Inputs):
     m = i.messages
     as_of = F.lit("2024-01-01").cast("timestamp")
@@ -326,7 +326,7 @@ def _(i: Inputs):
 
 
 @query("F40_seed_weak_labels", f"""
-WITH {q.auth_cte()}, f AS (SELECT *, substr(concat_ws(' ', subject, body, sender), 1, 2000) AS seed_text FROM auth)
+WITH {q.auth_cte()}, f AS (SELECT *, concat_ws(' ', subject, body, sender) AS seed_text FROM auth)
 SELECT id, md5(seed_text) AS text_md5, CASE WHEN auth_pass = 1 THEN 0 WHEN (({q.rx('seed_text', fe.SEED_BAD_TLD)} OR {q.rx('seed_text', fe.SEED_SHORTENER)}) AND NOT {q.rx('seed_text', fe.SEED_SAFE)}) OR auth_fail = 1 THEN 1 ELSE 0 END AS seed_label FROM f""", "messages")
 def _(i: Inputs):
     return fe.seed_weak_labels(i.messages).select("id", F.md5("seed_text").alias("text_md5"), "seed_label")

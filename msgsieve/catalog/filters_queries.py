@@ -1,9 +1,13 @@
 """Filter, scope and page queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from msgsieve.catalog.registry import Inputs, query
 from msgsieve.operators import filters as f
+from msgsieve.session import checkpoint_dir
+from msgsieve.sources import readers as rd
 
 BASE = ["id", "account_sub", "message_type", "sender", "is_threat", "confidence", "label"]
 SQL_BASE = "id, account_sub, message_type, sender, is_threat, confidence, label"
@@ -11,7 +15,9 @@ SQL_BASE = "id, account_sub, message_type, sender, is_threat, confidence, label"
 
 @query("S1_read_messages", "SELECT id, account_sub, message_type, sender, epoch_us(ts) AS ts_us, subject, is_threat, confidence, label, metadata FROM messages", "messages")
 def _(i: Inputs):
-    return i.messages.select("id", "account_sub", "message_type", "sender", F.unix_micros("ts").alias("ts_us"), "subject", "is_threat", "confidence", "label", "metadata")
+    path = f"{checkpoint_dir(i.spark)}/messages-{uuid.uuid4().hex}"
+    i.messages.write.parquet(path)
+    return rd.read_messages(i.spark, path).select("id", "account_sub", "message_type", "sender", F.unix_micros("ts").alias("ts_us"), "subject", "is_threat", "confidence", "label", "metadata")
 
 
 @query("P1_tenant_scope", f"SELECT {SQL_BASE} FROM messages WHERE account_sub = 'acct3'", "messages")
@@ -68,7 +74,7 @@ def _(i: Inputs):
 
 @query("P9_auto_triage_candidates", f"""
 SELECT {SQL_BASE} FROM messages WHERE is_threat=1 AND confidence > 0.85 AND (label IS NULL OR label = 1)
-AND coalesce(json_extract_string(metadata,'$.processed'),'false') <> 'true' ORDER BY confidence DESC, id DESC LIMIT 100""", "messages")
+AND coalesce(json_extract_string(metadata,'$.processed'),'false') <> 'true'""", "messages")
 def _(i: Inputs):
     return f.auto_triage_candidates(i.messages).select(*BASE)
 
@@ -102,7 +108,7 @@ def _(i: Inputs):
     return f.trusted_labels(m, f.json_field(F.col("metadata"), "label_source"), f.TRUSTED_DB_SOURCES).select("id", "trusted_label")
 
 
-@query("P15_hot_numbers", "SELECT e164, risk, verdict FROM number_reputation WHERE risk >= 0.4 ORDER BY risk DESC, e164 LIMIT 2000", "number_reputation")
+@query("P15_hot_numbers", "SELECT e164, risk, verdict FROM number_reputation WHERE risk >= 0.4", "number_reputation")
 def _(i: Inputs):
     return f.hot_numbers(i.view("number_reputation")).select("e164", "risk", "verdict")
 

@@ -169,7 +169,7 @@ def _(i: Inputs):
 
 
 @query("D10_harvest_verified", """
-SELECT id, message_type AS channel, subject, md5(substr(body, 1, 8000)) AS body_md5, label, 'retained-verified' AS source,
+SELECT id, message_type AS channel, subject, md5(body) AS body_md5, label, 'retained-verified' AS source,
  CASE WHEN regexp_extract(lower(trim(sender)), '^[^@\\s]+@([^@\\s]+)$', 1) <> '' THEN concat('redacted@', regexp_extract(lower(trim(sender)), '^[^@\\s]+@([^@\\s]+)$', 1))
   WHEN regexp_matches(trim(sender), '^\\+[0-9]+$') THEN concat('+', repeat('*', greatest(length(trim(sender)) - 5, 0)), right(trim(sender), 4)) ELSE 'redacted' END AS sender
 FROM messages WHERE account_sub='acct4' AND label IN (0,1) AND json_extract_string(metadata,'$.label_source') = 'human_grade'""", "messages")

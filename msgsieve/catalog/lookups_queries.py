@@ -113,7 +113,7 @@ def _(i: Inputs):
 
 @query("P10_auto_triage", f"""
 WITH {_GEO}, c AS (SELECT *, regexp_extract(received, 'mx \\(\\[([0-9.]+)\\]', 1) AS oip FROM messages WHERE is_threat=1 AND confidence > 0.85 AND (label IS NULL OR label=1)
-  AND coalesce(json_extract_string(metadata,'$.processed'),'false') <> 'true' ORDER BY confidence DESC, id DESC LIMIT 100)
+  AND coalesce(json_extract_string(metadata,'$.processed'),'false') <> 'true')
 SELECT c.id, c.sender, c.confidence, geo.country_code, printf('Auto-blocked: Score %.2f, Origin: %s (HIGH risk)', c.confidence, geo.country_code) AS reason FROM c JOIN geo ON geo.ip = c.oip AND geo.risk_level = 'HIGH'""", "messages ip_ranges")
 def _(i: Inputs):
     cand = filters.auto_triage_candidates(i.messages).withColumn("origin_ip", F.regexp_extract("received", r"mx \(\[([0-9.]+)\]", 1))
@@ -137,7 +137,7 @@ def _(i: Inputs):
 
 
 @query("P12_known_good_backfill", f"""
-WITH {KG}, p AS (SELECT * FROM messages WHERE label IS NULL AND message_type='phishing' AND (is_threat=1 OR confidence >= 0.5) ORDER BY id DESC LIMIT 5000)
+WITH {KG}, p AS (SELECT * FROM messages WHERE label IS NULL AND message_type='phishing' AND (is_threat=1 OR confidence >= 0.5))
 SELECT p.id, 0 AS label, 0 AS is_threat, 0.02::DOUBLE AS confidence, concat('known_good:', kg.matched_domain, '+backfill_empty_headers') AS stamp FROM p JOIN kg ON kg.id = p.id AND kg.matched_domain IS NOT NULL""", "messages")
 def _(i: Inputs):
     m = i.messages
@@ -214,9 +214,9 @@ def _(i: Inputs):
 
 
 @query("J19_prior_sightings", """
-WITH s AS (SELECT sender, message_type, row_number() OVER (PARTITION BY sender ORDER BY ts DESC NULLS LAST, id DESC) AS rn FROM messages WHERE is_threat = 1)
+WITH s AS (SELECT sender, message_type FROM messages WHERE is_threat = 1)
 SELECT sender AS number, count(*) AS report_count, round(least(0.95, 0.5 + 0.1 * count(*)), 6)::DOUBLE AS risk, round(least(1.0, 0.5 + 0.1 * count(*)), 6)::DOUBLE AS confidence,
- concat(array_to_string(list_sort(list(DISTINCT message_type)), ','), ',prior_offender') AS categories FROM s WHERE rn <= 50 GROUP BY sender""", "messages")
+ concat(array_to_string(list_sort(list(DISTINCT message_type)), ','), ',prior_offender') AS categories FROM s GROUP BY sender""", "messages")
 def _(i: Inputs):
     m = i.messages
     out = lk.prior_sightings(m.select(F.col("sender").alias("number")), m)
@@ -228,7 +228,7 @@ _PH = r"(?:^|[^0-9])((?:\+?1[\s.\-]*)?(?:\(?[0-9]{3}\)?[\s.\-]*)[0-9]{3}[\s.\-]*
 
 @query("J20_callback_fanout", f"""
 WITH c AS (SELECT id, sender, body, unnest(list_distinct(list_filter(list_transform({q.rx_all('body', _PH)}, lambda m: {q.e164('m')}), lambda e: starts_with(e, '+') AND length(e) - 1 BETWEEN 10 AND 15 AND e <> {q.e164('sender')}))) AS number FROM messages WHERE is_threat = 1)
-SELECT id AS parent_id, number AS sender, 'label' AS action, md5(substr(concat('[callback from transcript of ', sender, '] ', body), 1, 2000)) AS content_md5 FROM c""", "messages")
+SELECT id AS parent_id, number AS sender, 'label' AS action, md5(concat('[callback from transcript of ', sender, '] ', body)) AS content_md5 FROM c""", "messages")
 def _(i: Inputs):
     return lk.callback_fanout(i.messages).select("parent_id", "sender", "action", F.md5("content").alias("content_md5"))
 
@@ -256,7 +256,7 @@ def _(i: Inputs):
 
 
 @query("J24_number_enrichment_candidates", f"""
-WITH n AS (SELECT DISTINCT {q.e164('sender')} AS number FROM (SELECT sender FROM messages WHERE message_type IN ('vishing','smishing') ORDER BY ts DESC NULLS LAST, id DESC LIMIT 500)),
+WITH n AS (SELECT DISTINCT {q.e164('sender')} AS number FROM (SELECT sender FROM messages WHERE message_type IN ('vishing','smishing'))),
 feed AS (SELECT concat('+1888555', right(number, 4)) AS number, max(risk) AS risk FROM number_feed GROUP BY 1)
 SELECT n.number, feed.risk FROM n JOIN feed ON feed.number = n.number WHERE starts_with(n.number, '+') AND feed.risk >= 0.4""", "messages number_feed")
 def _(i: Inputs):

@@ -12,7 +12,7 @@ from msgsieve.plans.training import batch_retrain
 
 def labelled(i: Inputs):
     """Texts with a label: toxic flag of the documents that have one."""
-    return i.table("labels").join(i.messages, F.col("doc_id") == F.col("id")).select("id", F.col("body").alias("text"), F.col("is_threat").alias("label"), "message_type")
+    return i.table("labels").join(i.messages, F.col("doc_id") == F.col("id")).select("id", F.col("body").alias("text"), F.col("toxic").alias("label"), "message_type")
 
 
 _TOK = "regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]{2,})', 1)"
@@ -27,6 +27,15 @@ def _(i: Inputs):
     return c.groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"))
 
 
+@query("M1_char_counts", """
+WITH p AS (SELECT doc_id AS id, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B]+'), lambda w: w <> ''), lambda w: concat(' ', w, ' '))) AS p FROM documents),
+g AS (SELECT id, unnest(list_concat(list_concat(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i, 4))), list_transform(range(1, greatest(length(p) - 3, 1)), lambda i: substr(p, i, 5)))) AS term FROM p)
+SELECT id, count(DISTINCT term) AS terms, count(*) AS total FROM g GROUP BY id""")
+def _(i: Inputs):
+    c = tm.term_counts(i.table("documents").select(F.col("doc_id").alias("id"), "text"), kinds="c")
+    return c.groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"))
+
+
 @query("M1_vocabulary")
 def _(i: Inputs):
     d = i.table("documents").select(F.col("doc_id").alias("id"), "text")
@@ -46,14 +55,14 @@ def _(i: Inputs):
 @query("M3_train_and_score")
 def _(i: Inputs):
     d = labelled(i)
-    model = tm.train_classifier(d, max_iter=10)
+    model = tm.train_classifier(d)
     return tm.score_messages(model, d).select("id", "label", "pred", F.round("conf", 4).alias("conf"))
 
 
 @query("T3_top_terms")
 def _(i: Inputs):
     d = labelled(i)
-    return tm.top_terms(tm.train_classifier(d, max_iter=10), d, 5).select("id", "feature", "weight", "contribution")
+    return tm.top_terms(tm.train_classifier(d), d, 5).select("id", "feature", "weight", "contribution")
 
 
 @query("T4_weight_deltas", """
@@ -70,7 +79,7 @@ def _(i: Inputs):
 @query("M11_incremental_update")
 def _(i: Inputs):
     d = labelled(i)
-    model = tm.train_classifier(d, max_iter=10)
+    model = tm.train_classifier(d)
     after = tm.incremental_update(model, d)
     return tm.weight_deltas(model.terms.filter("kind = 'w'"), after.terms.filter("kind = 'w'"))
 

@@ -245,7 +245,7 @@ def _(i: Inputs):
     return out.select("input_count", "valid_expected_count", "prediction_count", "accuracy", "false_block_count", "false_block_rate", "legit_false_block_rate", "evaluation_valid")
 
 
-@query("A12_action_failures", f"WITH {_ACT} SELECT ord, id, outcome FROM jd WHERE outcome <> 'ok' ORDER BY ord LIMIT 25")
+@query("A12_action_failures", f"WITH {_ACT} SELECT ord, id, outcome FROM jd WHERE outcome <> 'ok'")
 def _(i: Inputs):
     return ev.action_failures(judged(i))
 
@@ -395,7 +395,7 @@ def _(i: Inputs):
 
 @query("W13_latest_versions", """
 WITH r AS (SELECT DISTINCT event_type AS channel, concat('v', user_id) AS version, user_id AS n FROM events), p AS (SELECT *, lag(version) OVER (PARTITION BY channel ORDER BY n) AS previous, row_number() OVER (PARTITION BY channel ORDER BY n DESC) AS rank FROM r)
-SELECT channel, version, previous, rank, rank = 1 AS is_latest FROM p WHERE rank <= 10""")
+SELECT channel, version, previous, rank, rank = 1 AS is_latest FROM p""")
 def _(i: Inputs):
     r = i.table("events").select(F.col("event_type").alias("channel"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("version")).distinct()
     return od.latest_versions(r).select("channel", "version", "previous", "rank", "is_latest")

@@ -32,7 +32,7 @@ def jsonl(i: Inputs, lines, name: str) -> str:
 def _(i: Inputs):
     path = folder(i, "ingest")
     rows = i.table("documents").repartition(4).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subject"), F.col("text").alias("body"))).alias("value"))
-    rows.write.json(path) if False else rows.write.text(path)
+    rows.write.text(path)
     got = i.spark.read.schema(schemas.INGEST).json(path)
     return got.filter(F.col("_corrupt_record").isNull()).select("id", "subject")
 
@@ -90,7 +90,7 @@ def _(i: Inputs):
     return raw.filter("type <> ''").select(F.col("identifier").alias("body"), F.col("type").alias("message_type"), F.lit(sub).alias("account_sub"), F.lit(1).alias("is_threat"), F.lit(1.0).alias("confidence"))
 
 
-@query("S10_load_labelled_corpus", "SELECT id, md5(substr(body, 1, 3000)) AS body_md5, substr(sender, 1, 150) AS sender, 'phishing' AS message_type, 1 AS is_threat, 'analyst_verified' AS label_source FROM messages", "messages")
+@query("S10_load_labelled_corpus", "SELECT id, md5(body) AS body_md5, sender, 'phishing' AS message_type, 1 AS is_threat, 'analyst_verified' AS label_source FROM messages", "messages")
 def _(i: Inputs):
     out = rd.load_labelled_corpus(i.messages)
     return out.select("id", F.md5("body").alias("body_md5"), "sender", "message_type", "is_threat", F.get_json_object("metadata", "$.label_source").alias("label_source"))

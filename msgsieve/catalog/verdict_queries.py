@@ -65,7 +65,7 @@ def _(i: Inputs):
 
 
 @query("P13_rescore_backfill", f"""
-WITH {VERDICT}, p AS (SELECT * FROM pv WHERE (label IS NULL OR label <> 0) AND confidence >= 0.5 ORDER BY id DESC LIMIT 8000)
+WITH {VERDICT}, p AS (SELECT * FROM pv WHERE (label IS NULL OR label <> 0) AND confidence >= 0.5)
 SELECT id, 0 AS label, 0 AS is_threat, policy_confidence AS confidence, matched_domain FROM p WHERE policy_pred = 0 AND policy_confidence <= 0.05 AND matched_domain IS NOT NULL""", "messages fleet")
 def _(i: Inputs):
     scored = with_policy(i).withColumnsRenamed({"policy_pred": "new_pred", "policy_confidence": "new_confidence"})
@@ -278,8 +278,8 @@ def _(i: Inputs):
 
 
 @query("U2_directory", f"""
-WITH m AS (SELECT {q.e164('sender')} AS number, {_DA} AS action, 'Suspicious Caller' AS label, 1 AS src_, row_number() OVER (ORDER BY ts DESC NULLS LAST, id DESC) AS ord FROM {_DASRC} WHERE account_sub='acct3' AND message_type IN ('vishing','smishing') AND is_threat=1 ORDER BY ts DESC NULLS LAST, id DESC LIMIT 5000),
-n AS (SELECT e164 AS number, CASE WHEN risk >= 0.85 THEN 'block' ELSE 'label' END AS action, CASE verdict WHEN 'fraud' THEN 'Fraud' ELSE 'Spam Likely' END AS label, 2 AS src_, row_number() OVER (ORDER BY risk DESC, e164) AS ord FROM number_reputation WHERE risk >= 0.4 ORDER BY risk DESC, e164 LIMIT 2000),
+WITH m AS (SELECT {q.e164('sender')} AS number, {_DA} AS action, 'Suspicious Caller' AS label, 1 AS src_, row_number() OVER (ORDER BY ts DESC NULLS LAST, id DESC) AS ord FROM {_DASRC} WHERE account_sub='acct3' AND message_type IN ('vishing','smishing') AND is_threat=1),
+n AS (SELECT e164 AS number, CASE WHEN risk >= 0.85 THEN 'block' ELSE 'label' END AS action, CASE verdict WHEN 'fraud' THEN 'Fraud' ELSE 'Spam Likely' END AS label, 2 AS src_, row_number() OVER (ORDER BY risk DESC, e164) AS ord FROM number_reputation WHERE risk >= 0.4),
 p AS (SELECT concat('+1', digits) AS number, CASE WHEN campaign_id = 'tax-01' THEN 'block' ELSE 'label' END AS action, 'Parcel scam' AS label, 4 AS src_, 0 AS ord FROM packs),
 a AS (SELECT * FROM m WHERE starts_with(number, '+') AND action <> 'none' UNION ALL SELECT * FROM n UNION ALL SELECT '+18665550137', 'block', '', 3, 0 UNION ALL SELECT * FROM p)
 SELECT number, CASE WHEN bool_or(action = 'block') THEN 'block' ELSE 'label' END AS action, CASE WHEN bool_or(action = 'block') THEN '' ELSE arg_min(label, src_ * 1000000 + ord) FILTER (WHERE action = 'label') END AS label FROM a GROUP BY number""", "messages number_reputation packs")

@@ -197,9 +197,8 @@ SEED_SAFE = (r"(?i)(?:https?://)?(?:[\w\-]+\.)*(?:google|apple|microsoft|github|
 
 
 def seed_weak_labels(df: DataFrame, **auth: str) -> DataFrame:
-    """Bootstrap label from link structure and auth stamps, with the 2000-character training text."""
-    full = F.substring(F.concat_ws(" ", t.text_or_empty(F.col("subject")), t.text_or_empty(F.col("body")),
-                                   t.text_or_empty(F.col("sender"))), 1, 2000)
+    """Bootstrap label from link structure and auth stamps, with the training text."""
+    full = F.concat_ws(" ", *[t.text_or_empty(F.col(c)) for c in ("subject", "body", "sender")])
     staged = with_auth_columns(df, **auth).withColumn("seed_text", full)
     text = F.col("seed_text")
     bad = (text.rlike(SEED_BAD_TLD) | text.rlike(SEED_SHORTENER)) & ~text.rlike(SEED_SAFE)
@@ -249,7 +248,7 @@ def screen_injection(df: DataFrame, body: str = "body", max_body: int = MAX_BODY
     flagged = df.withColumns({
         "sql_hit": b.rlike(joined(SQL_PATTERNS)), "xss_hit": b.rlike(joined(XSS_PATTERNS)), "command_hit": command,
         "path_hit": b.rlike(joined(TRAVERSAL_PATTERNS)), "xxe_hit": looks_xml & b.rlike(joined(XXE_PATTERNS)),
-        "too_long": F.length(b) > max_body, "escaped": F.trim(F.substring(escaped, 1, max_body)),
+        "too_long": F.length(b) > max_body, "escaped": F.trim(escaped),
     })
     return flagged.withColumn("quarantined", F.col("xss_hit") | F.col("xxe_hit"))
 

@@ -149,12 +149,12 @@ def preview(text: Column, limit: int = 220) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 1), F.lit("…"))).otherwise(s)
 
 
-def strip_html(html: Column, limit: int = 50_000) -> Column:
-    """HTML body to text: scripts, styles and tags out, blanks folded, cut at the stored body size."""
+def strip_html(html: Column) -> Column:
+    """HTML body to text: scripts, styles and tags out, blanks folded."""
     s = F.regexp_replace(text_or_empty(html), r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", " ")
     s = F.regexp_replace(s, r"(?is)<[^>]+>", " ")
     s = F.replace(s, F.lit("&nbsp;"), F.lit(" "))
-    return F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, limit)
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
 # --- look-alike letters ------------------------------------------------------
@@ -210,17 +210,16 @@ def fold_confusables(text: Column) -> Column:
 MIXED_TOKEN = r"([A-Za-z\x{370}-\x{3FF}\x{400}-\x{4FF}][A-Za-z0-9\x{370}-\x{3FF}\x{400}-\x{4FF}._\-]{1,})"
 
 
-def mixed_script_tokens(text: Column, limit: int = 5) -> Column:
-    """First tokens that mix Latin letters with Greek or Cyrillic ones."""
+def mixed_script_tokens(text: Column) -> Column:
+    """Tokens that mix Latin letters with Greek or Cyrillic ones."""
     found = F.regexp_extract_all(text_or_empty(text), F.lit(MIXED_TOKEN), F.lit(1))
     mixed = F.filter(found, lambda t: t.rlike(r"\p{IsLatin}") & t.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
-    first = F.slice(F.transform(mixed, lambda t: F.substring(t, 1, 64)), 1, limit)
     # Most texts have no such letter at all; only the others are tokenised.
-    return F.when(has_non_ascii(text) & text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), first).otherwise(F.array().cast("array<string>"))
+    return F.when(has_non_ascii(text) & text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"), mixed).otherwise(F.array().cast("array<string>"))
 
 
-def punycode_labels(text: Column, limit: int = 5) -> Column:
-    return F.slice(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"\b(xn--[a-z0-9-]+)"), F.lit(1)), 1, limit)
+def punycode_labels(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"\b(xn--[a-z0-9-]+)"), F.lit(1))
 
 
 def digit_swapped_brand(text: Column) -> Column:
@@ -260,12 +259,10 @@ def message_id(raw: Column) -> Column:
 
 
 def fingerprint(mid: Column, sender: Column, subject: Column, body: Column, ts: Column) -> Column:
-    """Stable content hash: the Message-ID when present, else cut and lower-cased parts."""
+    """Stable content hash: the Message-ID when present, else the lower-cased parts."""
     parts = F.concat_ws(
         "|",
-        F.substring(F.lower(F.trim(text_or_empty(sender))), 1, 200),
-        F.substring(F.lower(F.trim(text_or_empty(subject))), 1, 300),
-        F.substring(F.lower(F.trim(text_or_empty(body))), 1, 2000),
+        *[F.lower(F.trim(text_or_empty(part))) for part in (sender, subject, body)],
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
     )
     return F.sha2(F.when(mid != "", F.concat(F.lit("mid:"), mid)).otherwise(parts), 256)

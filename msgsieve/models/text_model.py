@@ -62,11 +62,11 @@ def padded_words(text: Column) -> Column:
 
 
 def char_grams(padded: Column) -> Column:
-    """3- to 5-character grams inside blank-padded words."""
+    """3- to 5-character grams inside blank-padded words; a word that is shorter than a gram has none of that length."""
     def cut(w: Column) -> Column:
         def grams(n: int) -> Column:
-            last = F.greatest(F.length(w) - n + 1, F.lit(1))
-            return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(w, i, F.lit(n)))
+            some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+            return F.when(F.length(w) >= n, some).otherwise(F.array().cast("array<string>"))
         return F.concat(grams(3), grams(4), grams(5))
 
     return F.flatten(F.transform(padded, cut))

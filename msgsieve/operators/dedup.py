@@ -78,12 +78,12 @@ def identity_keys(df: DataFrame) -> DataFrame:
 def existing_matches(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, existing_id): the stored row each batch row duplicates, within tenant and mailbox.
 
-    All three identity tests share one pass over the stored table: its keys are
-    joined to the (small) batch keys, so the stored rows themselves are never
-    shuffled when the batch is small enough for a broadcast.
+    All three identity tests share one pass over the stored table.  Stored keys
+    are reduced to their first id before the join, so a key that occurs in any
+    number of stored rows meets each batch row once.
     """
     b = identity_keys(batch.withColumn("folder", F.when(text_or_empty(F.col("folder")) == "", "INBOX").otherwise(F.col("folder"))))
-    s = identity_keys(stored).withColumnRenamed("id", "existing_id")
+    s = identity_keys(stored).groupBy("account_sub", "mailbox_id", "key").agg(F.min("id").alias("existing_id"))
     return (b.join(s, ["account_sub", "mailbox_id", "key"])
             .groupBy("id").agg(F.min(F.struct(F.substring("key", 1, 1).alias("tier"), "existing_id")).alias("m"))
             .select("id", "m.existing_id", F.col("m.tier").cast("int").alias("tier")))

@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from msgsieve.functions.phones import e164
 from msgsieve.functions.verdict import directory_action
-from msgsieve.operators.filters import clamp, hot_numbers, tenant_scope
+from msgsieve.operators.filters import hot_numbers, tenant_scope
 
 
-def directory(messages: DataFrame, numbers: DataFrame, seeds: DataFrame, packs: DataFrame, account_sub: str,
-              limit: int = 5000, hottest: int = 2000) -> DataFrame:
+def directory(messages: DataFrame, numbers: DataFrame, seeds: DataFrame, packs: DataFrame, account_sub: str) -> DataFrame:
     """(number, action, label): a block beats any label, the first label in source order wins.
 
     ``numbers`` (e164, risk, verdict), ``seeds`` (number), ``packs`` (number,
     action, label, ord).  Each source is reduced to (rank, ord) rows and merged
     by one map-side combined aggregate.
     """
-    newest = (tenant_scope(messages, account_sub)
-              .filter(F.col("message_type").isin("vishing", "smishing") & (F.col("is_threat") == 1))
-              .orderBy(F.desc("ts"), F.desc("id")).limit(clamp(limit, 1, 10_000)))
-    seen = (newest.withColumn("_a", directory_action(F.col("metadata"), F.col("label")))
+    calls = tenant_scope(messages, account_sub).filter(F.col("message_type").isin("vishing", "smishing") & (F.col("is_threat") == 1))
+    seen = (calls.withColumn("_a", directory_action(F.col("metadata"), F.col("label")))
             .select(e164(F.col("sender")).alias("number"), "_a.action", "_a.label", F.lit(1).alias("src"),
                     F.struct((-F.unix_micros("ts")).alias("a"), (-F.col("id")).alias("b")).alias("ord"))
             .filter(F.col("number").startswith("+")))
@@ -29,7 +26,7 @@ def directory(messages: DataFrame, numbers: DataFrame, seeds: DataFrame, packs:
     def order(a, b):
         return F.struct(F.lit(a).cast("bigint").alias("a") if isinstance(a, int) else a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
-    hot = hot_numbers(numbers, limit=hottest)
+    hot = hot_numbers(numbers)
     verdict = F.initcap(F.replace(F.coalesce(F.nullif(F.col("verdict"), F.lit("")), F.lit("Suspicious caller")), F.lit("_"), F.lit(" ")))
     vendor = hot.select(e164(F.col("e164")).alias("number"), F.when(F.col("risk") >= 0.85, "block").otherwise("label").alias("action"),
                         F.when(F.col("risk") >= 0.85, "").otherwise(verdict).alias("label"), F.lit(2).alias("src"),

@@ -165,9 +165,9 @@ def action_summary(judged: DataFrame) -> DataFrame:
     return out.withColumn("expectations_met", F.col("evaluation_valid") & (F.col("correct") == F.col("input_count"))).drop("_nonblock", "_legit")
 
 
-def action_failures(judged: DataFrame, keep: int = 25) -> DataFrame:
-    """The first 25 rows that could not be judged."""
-    return judged.filter(F.col("outcome") != "ok").orderBy("ord").limit(keep).select("ord", "id", "outcome")
+def action_failures(judged: DataFrame) -> DataFrame:
+    """All rows that could not be judged."""
+    return judged.filter(F.col("outcome") != "ok").select("ord", "id", "outcome")
 
 
 def action_support(judged: DataFrame) -> DataFrame:

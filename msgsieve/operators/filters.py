@@ -112,12 +112,11 @@ def list_threats(df: DataFrame, account_sub: str, message_type: str | None = Non
     return out.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
-def auto_triage_candidates(df: DataFrame, threshold: float = 0.85, limit: int = 100) -> DataFrame:
+def auto_triage_candidates(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Strong, not cleared, not yet processed threats."""
     return (df.filter((F.col("is_threat") == 1) & (F.col("confidence") > threshold)
                       & (F.col("label").isNull() | (F.col("label") == 1))
-                      & (F.coalesce(json_field(F.col("metadata"), "processed"), F.lit("false")) != "true"))
-            .orderBy(F.desc("confidence"), F.desc("id")).limit(limit))
+                      & (F.coalesce(json_field(F.col("metadata"), "processed"), F.lit("false")) != "true")))
 
 
 def auto_triage(candidates: DataFrame, geo: DataFrame) -> DataFrame:
@@ -172,27 +171,24 @@ def pattern_backfill(df: DataFrame, rules: list[tuple] = BACKFILL_RULES, message
     return out.withColumns({"is_threat": threat, "confidence": conf, "label": label, "stamp": stamp})
 
 
-def known_good_backfill(df: DataFrame, known_good: DataFrame, newest: int = 5000) -> DataFrame:
-    """Clear ungraded threat-like rows of known-good domains.
+def known_good_backfill(df: DataFrame, known_good: DataFrame) -> DataFrame:
+    """Clear all ungraded threat-like rows of known-good domains.
 
-    ``known_good`` is the look-up result (id, matched_domain); the newest rows
-    are taken first, as the job does, and only then matched.
+    ``known_good`` is the look-up result (id, matched_domain).
     """
     picked = (df.filter(F.col("label").isNull() & (F.col("message_type") == "phishing")
-                        & ((F.col("is_threat") == 1) | (F.col("confidence") >= 0.5)))
-              .orderBy(F.desc("id")).limit(newest))
+                        & ((F.col("is_threat") == 1) | (F.col("confidence") >= 0.5))))
     return (picked.join(known_good, "id")
             .withColumns({"label": F.lit(0), "is_threat": F.lit(0), "confidence": F.lit(0.02),
                           "stamp": F.concat(F.lit("known_good:"), F.col("matched_domain"), F.lit("+backfill_empty_headers"))}))
 
 
-def rescore_backfill(scored: DataFrame, known_good: DataFrame, newest: int = 8000) -> DataFrame:
+def rescore_backfill(scored: DataFrame, known_good: DataFrame) -> DataFrame:
     """Clear rows whose new verdict is confidently safe and whose domain is known-good.
 
     ``scored`` carries ``new_pred`` and ``new_confidence`` from the policy job.
     """
-    picked = (scored.filter((F.col("label").isNull() | (F.col("label") != 0)) & (F.col("confidence") >= 0.5))
-              .orderBy(F.desc("id")).limit(newest))
+    picked = scored.filter((F.col("label").isNull() | (F.col("label") != 0)) & (F.col("confidence") >= 0.5))
     return (picked.filter((F.col("new_pred") == 0) & (F.col("new_confidence") <= 0.05)).join(known_good, "id")
             .withColumns({"label": F.lit(0), "is_threat": F.lit(0), "confidence": F.col("new_confidence")}))
 
@@ -210,8 +206,9 @@ def trusted_labels(df: DataFrame, source: Column, allowed: list[str]) -> DataFra
             .filter(F.lower(F.trim(text_or_empty(source))).isin(allowed) & F.col("trusted_label").isNotNull()))
 
 
-def hot_numbers(df: DataFrame, min_risk: float = 0.4, limit: int = 2000) -> DataFrame:
-    return (df.filter(F.col("risk") >= min_risk).orderBy(F.desc("risk"), F.asc("e164")).limit(clamp(limit, 1, 5000)))
+def hot_numbers(df: DataFrame, min_risk: float = 0.4) -> DataFrame:
+    """All numbers at or above the risk."""
+    return df.filter(F.col("risk") >= min_risk)
 
 
 def threat_profiles(df: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -164,7 +164,7 @@ def harvest_verified(messages: DataFrame, account_sub: str) -> DataFrame:
     rows = trusted_labels(messages.filter(F.col("account_sub") == sub), json_field(F.col("metadata"), "label_source"), TRUSTED_DB_SOURCES)
     text = (text_or_empty(F.col("subject")) != "") | (text_or_empty(F.col("body")) != "")
     return rows.filter(text).select(
-        "id", F.col("message_type").alias("channel"), F.substring("subject", 1, 300).alias("subject"), F.substring("body", 1, 8000).alias("body"),
+        "id", F.col("message_type").alias("channel"), "subject", "body",
         redact_sender(F.col("sender")).alias("sender"), F.col("trusted_label").alias("label"), F.lit("retained-verified").alias("source"))
 
 

@@ -353,13 +353,12 @@ def queueable_actions(requests: DataFrame, messages: DataFrame, action: str = "j
 
 
 # --- numbers -----------------------------------------------------------------
-def prior_sightings(numbers: DataFrame, messages: DataFrame, newest: int = 50) -> DataFrame:
-    """Risk of numbers already seen as threats; at most the newest 50 rows count."""
-    seen = (messages.filter(F.col("is_threat") == 1).select("sender", "message_type", "ts", "id")
+def prior_sightings(numbers: DataFrame, messages: DataFrame) -> DataFrame:
+    """Risk of numbers already seen as threats; every row counts."""
+    seen = (messages.filter(F.col("is_threat") == 1).select("sender", "message_type")
             .join(numbers.select(F.col("number").alias("sender")).distinct(), "sender", "left_semi"))
-    top = top_per_key(seen, ["sender"], [F.desc("ts"), F.desc("id")], newest)
     n = F.count("*")
-    agg = top.groupBy(F.col("sender").alias("number")).agg(
+    agg = seen.groupBy(F.col("sender").alias("number")).agg(
         n.alias("report_count"), F.array_sort(F.collect_set("message_type")).alias("_c"))
     return agg.select("number", "report_count", F.least(F.lit(0.95), F.col("report_count") * 0.1 + 0.5).alias("risk"),
                       F.least(F.lit(1.0), F.col("report_count") * 0.1 + 0.5).alias("confidence"),
@@ -372,20 +371,19 @@ def callback_fanout(calls: DataFrame) -> DataFrame:
     return (calls.filter(F.col("is_threat") == 1)
             .select(F.col("id").alias("parent_id"), "account_sub", F.col("sender").alias("parent_caller_id"),
                     F.explode(numbers).alias("sender"), F.lit("label").alias("action"), F.lit("transcript-callback").alias("via"),
-                    F.substring(F.concat(F.lit("[callback from transcript of "), F.col("sender"), F.lit("] "), F.col("body")), 1, 2000).alias("content")))
+                    F.concat(F.lit("[callback from transcript of "), F.col("sender"), F.lit("] "), F.col("body")).alias("content")))
 
 
-def number_candidates(messages: DataFrame, limit: int = 500) -> DataFrame:
-    """Distinct numbers of the newest call and SMS rows."""
-    newest = (messages.filter(F.col("message_type").isin("vishing", "smishing"))
-              .orderBy(F.desc("ts"), F.desc("id")).limit(max(1, min(limit, 500))))
-    return newest.select(phones.e164(F.col("sender")).alias("number")).filter(F.col("number").startswith("+")).distinct()
+def number_candidates(messages: DataFrame) -> DataFrame:
+    """Distinct numbers of all call and SMS rows."""
+    calls = messages.filter(F.col("message_type").isin("vishing", "smishing"))
+    return calls.select(phones.e164(F.col("sender")).alias("number")).filter(F.col("number").startswith("+")).distinct()
 
 
-def number_enrichment_candidates(messages: DataFrame, feed: DataFrame, limit: int = 500, min_risk: float = 0.4) -> DataFrame:
+def number_enrichment_candidates(messages: DataFrame, feed: DataFrame, min_risk: float = 0.4) -> DataFrame:
     """Candidates with a feed risk worth storing; the feed is reduced to one row per number first."""
     best = feed.groupBy("number").agg(F.max("risk").alias("risk"))
-    return number_candidates(messages, limit).join(best.filter(F.col("risk") >= min_risk), "number")
+    return number_candidates(messages).join(best.filter(F.col("risk") >= min_risk), "number")
 
 
 def train_eval_overlap(evaluation: DataFrame, train_groups: DataFrame, overlap: bool = True) -> DataFrame:

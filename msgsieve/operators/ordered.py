@@ -166,7 +166,7 @@ def lease_queue(queue: DataFrame, as_of: Column, n: int = 20) -> DataFrame:
     c = F.col
     due = ((F.trim(F.coalesce("account_sub", F.lit(""))) != "") & c("mailbox_id").isNotNull() & (c("attempts") < 5) & (c("next_attempt_at") <= as_of)
            & ((c("status") == "pending") | ((c("status") == "processing") & (c("lease_until") < as_of))))
-    picked = queue.filter(due).orderBy("created_at", "id").limit(max(1, min(int(n), 100)))
+    picked = queue.filter(due).orderBy("created_at", "id").limit(n)
     return picked.withColumns({"status": F.lit("processing"), "attempts": c("attempts") + 1, "lease_until": as_of + F.make_dt_interval(mins=F.lit(5))})
 
 
@@ -224,15 +224,16 @@ def append_audit_chain(new: DataFrame, last: DataFrame | None = None) -> DataFra
 
 
 # --- registry ----------------------------------------------------------------
-def latest_versions(registry: DataFrame, keep: int = 10) -> DataFrame:
-    """Newest versions per channel by numeric suffix, with the one to roll back to.
+def latest_versions(registry: DataFrame) -> DataFrame:
+    """Versions per channel, newest first by numeric suffix, with the one to roll back to.
 
     A registry holds tens of rows per channel.
     """
     num = F.coalesce(F.regexp_extract("version", r"^v(\d+)$", 1).try_cast("int"), F.lit(0))
     w = Window.partitionBy("channel").orderBy("_n")
     ranked = registry.withColumn("_n", num).withColumn("previous", F.lag("version").over(w))
-    return top_per_key(ranked, ["channel"], [F.desc("_n")], keep).withColumn("is_latest", F.col("rank") == 1).drop("_n")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("_n"))))
+    return ranked.withColumn("is_latest", F.col("rank") == 1).drop("_n")
 
 
 def reservoir(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:

@@ -26,13 +26,15 @@ def _good(df: DataFrame) -> DataFrame:
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def read_ingest_batches(spark: SparkSession, path: str, newest: int = 20) -> DataFrame:
-    """Records of the newest JSON-array files by name; entries that are no objects are skipped.
+def read_ingest_batches(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
+    """Records of all JSON-array files, or of the ``newest`` by name; entries that are no objects are skipped.
 
     Only the list of file names is ordered, never the records.
     """
     raw = spark.read.schema(schemas.INGEST).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     named = raw.withColumn("file", F.col("_metadata.file_name"))
+    if newest is None:
+        return _good(named)
     names = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
              .select(F.element_at(F.split("path", "/"), -1).alias("file")).orderBy(F.desc("file")).limit(newest))
     return _good(named.join(F.broadcast(names), "file"))
@@ -90,10 +92,10 @@ def read_threat_list(spark: SparkSession, path: str, account_sub: str) -> DataFr
 
 
 def load_labelled_corpus(df: DataFrame, source: str = "corpus") -> DataFrame:
-    """Verified corpus rows in message form: body else subject, cut to the stored sizes."""
+    """Verified corpus rows in message form: body else subject."""
     content = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("subject"))
-    return df.select("id", F.substring(content, 1, 3000).alias("body"), F.substring("sender", 1, 150).alias("sender"),
-                     F.to_json(F.struct(F.substring("subject", 1, 200).alias("subject"), F.lit(1).alias("label"),
+    return df.select("id", content.alias("body"), "sender",
+                     F.to_json(F.struct("subject", F.lit(1).alias("label"),
                                         F.lit("analyst_verified").alias("label_source"), F.lit(source).alias("source"))).alias("metadata"),
                      F.lit("phishing").alias("message_type"), F.lit(1).alias("is_threat"))
 

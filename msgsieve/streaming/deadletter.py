@@ -55,15 +55,14 @@ def durable_sink(path: str, dead_path: str, bad: Column, kind: str = "threat") -
     return sink
 
 
-def replay_dead_letters(stored: DataFrame, works: Column, kind: str, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+def replay_dead_letters(stored: DataFrame, works: Column, kind: str) -> tuple[DataFrame, DataFrame]:
     """(replayed, kept): oldest first, stop at the first failure, keep the rest.
 
     ``works`` says whether the sink takes a row.  Rows without a tenant are
-    never replayed.  At most ``limit`` rows are tried.
+    never replayed.
     """
     mine = stored.filter(F.col("kind") == kind)
-    able = mine.filter(valid_tenant(F.col("account_sub")))
-    head = able.orderBy("failed_at", "id").limit(limit)
+    head = mine.filter(valid_tenant(F.col("account_sub")))
     stop = head.filter(~F.coalesce(works, F.lit(False))).agg(F.min(F.struct("failed_at", "id")).alias("stop"), F.lit(1).alias("_k"))
     marked = head.withColumn("_k", F.lit(1)).join(F.broadcast(stop), "_k", "left")
     replayed = marked.filter(F.col("stop").isNull() | (F.struct("failed_at", "id") < F.col("stop"))).drop("_k", "stop")

@@ -69,9 +69,3 @@ def stream_fleet_counts(df: DataFrame, delay: str = "1 day") -> DataFrame:
             .groupBy(F.window("created_at", "30 days", "1 day").alias("w"), "sender_key")
             .agg(F.approx_count_distinct("account_sub").alias("reporters"))
             .select(F.col("w.end").alias("window_end"), "sender_key", "reporters"))
-
-
-def drop_new(batch: DataFrame, capacity: int, order: Column) -> tuple[DataFrame, int]:
-    """The first ``capacity`` rows of a batch by arrival and how many were refused."""
-    total = batch.count()
-    return (batch if total <= capacity else batch.orderBy(order).limit(capacity)), max(0, total - capacity)
