@@ -44,7 +44,7 @@ from msgsieve.llm.words import byte_sums, run_hashes, text_chunks
 SEED = 64
 BLOCK = 1 << 19
 HELD_BYTES = 8 << 20
-HOT_LEAST, HOT_MOST_KEYS = 2000, 1_000_000
+HOT_LEAST, HOT_MOST_KEYS = 30_000, 1_000_000  # so many runs of one minimum are about 17 MB of text and 40 MB of hashes
 
 
 def _minima(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
