@@ -6,15 +6,15 @@ local minimum (by hash of ``SEED`` bytes), sorted by its first 8 bytes, then
 that hash.  Two equal windows hold the same suffix at the same place.  A new
 batch is merge-scanned against every level that exists; suffixes that agree
 in their first ``SEED`` bytes are reported.  Two levels of equal size merge
-into one of twice the size, so there are as many levels as the number of
-batches has one-bits.
+into one of twice the size before the next batch comes, so the number of
+levels grows with the logarithm of the number of batches.
 
 Long matches.  A window can repeat only if its local minimum was reported.
 Runs of such windows that share a minimum travel with their bytes to the task
 of that minimum, which compares all windows.  Minima that occur in very many
 places send single windows instead, counted by an aggregate with map-side
-combine.  Runs or windows that repeat within a block of texts are settled
-there and sent once.  Reported minima are a bit set of bounded size; what it
+combine.  Runs that repeat within a task, and such single windows within a
+block of texts, are settled there and sent once.  Reported minima are a bit set of bounded size; what it
 lets through by chance fails the comparison.
 
 Windows are compared by 64-bit hashes within the task of their minimum: a
@@ -97,7 +97,13 @@ class SuffixLevels:
         return self._keep(rows.select("head", "seed", "row", "pos").repartition("head", "seed", "row").sortWithinPartitions("head", "seed", "row", "pos"), "suffix-level")
 
     def add(self, batch: DataFrame) -> None:
-        """Index a batch; record the seeds that it shares with itself or with a level."""
+        """Index a batch; record the seeds that it shares with itself or with a level.
+
+        Levels of equal size merge when the next batch comes, so the last one costs no merge.
+        """
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * size, self._array(self.spark.read.parquet(a, b))))
         fresh = self._array(batch)
         keys = self.spark.read.parquet(fresh).groupBy("head", "seed").agg(F.count(F.lit(1)).alias("n"))
         found = keys.where("n > 1").select("seed")
@@ -105,12 +111,7 @@ class SuffixLevels:
             level = self.spark.read.parquet(path).select("head", "seed").distinct()
             found = found.unionByName(keys.join(level, ["head", "seed"]).select("seed"))
         self.matches.append(self._keep(found.distinct(), "suffix-matches"))
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, path = self.levels.pop()
-            fresh = self._array(self.spark.read.parquet(path, fresh))
-            size *= 2
-        self.levels.append((size, fresh))
+        self.levels.append((1, fresh))
 
     def repeated(self) -> DataFrame:
         """seed: every seed that occurs in two places or more."""
@@ -160,6 +161,7 @@ def _record(kind: int, row, low, high, hashes, twice, held) -> pa.RecordBatch:
 
 def _scan(repeated: HashFilter, hot: np.ndarray, length: int):
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int, int] | None] = {}  # a run's hash -> its first place in this task, until that is settled
         for part in parts:
             rows = part.column("row").to_numpy(zero_copy_only=False)
             for first_row, _, data, offs in text_chunks(part, limit=BLOCK):
@@ -182,13 +184,21 @@ def _scan(repeated: HashFilter, hot: np.ndarray, length: int):
                 warm = np.isin(seed.view(np.int64), hot)
                 cold = np.flatnonzero(~warm)
                 if len(cold):
-                    twice, lead = _repeats(run_hashes(sums, a[cold], b[cold] - a[cold] + length))
-                    done = cold[twice]
-                    if len(done):
-                        yield _record(SETTLED, row[done], a[done] - base[done], b[done] - base[done], None, None, None)
-                    send = cold[lead]
-                    raw = data.tobytes()
-                    yield _record(RUN, row[send], a[send] - base[send], b[send] - base[send], seed[send], twice[lead], [raw[x:y + length] for x, y in zip(a[send].tolist(), b[send].tolist())])
+                    send, done = [], []
+                    for i, h in zip(cold.tolist(), run_hashes(sums, a[cold], b[cold] - a[cold] + length).tolist()):
+                        place = (int(row[i]), int(a[i] - base[i]), int(b[i] - base[i]))
+                        if h not in seen:
+                            seen[h] = place
+                            send.append(i)
+                        else:
+                            done.append(place)
+                            if seen[h]:
+                                done.append(seen[h])
+                                seen[h] = None
+                    if done:
+                        yield _record(SETTLED, *map(np.array, zip(*done)), None, None, None)
+                    if send:
+                        yield _record(RUN, row[send], a[send] - base[send], b[send] - base[send], seed[send], np.zeros(len(send), bool), [data[x:y + length].tobytes() for x, y in zip(a[send].tolist(), b[send].tolist())])
                 if warm.any():
                     pick = np.repeat(warm, stop - begin + 1)
                     which = np.repeat(np.arange(len(begin)), stop - begin + 1)[pick]
@@ -258,7 +268,7 @@ def repeated_runs(docs: DataFrame, length: int = 400, batches: int = 4) -> DataF
         return _scan(HashFilter(bits.value), hot.value, length)(parts)
 
     path = scratch(spark, "suffix-runs")
-    _with_row(docs).select("row", "text").mapInArrow(scan, RECORD).write.parquet(path)
+    _with_row(docs).select("row", "text").mapInArrow(scan, RECORD).write.option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
     settled = found.where(F.col("kind") == SETTLED).select("row", "low", "high")
     runs = found.where(F.col("kind") == RUN).repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), RECORD).select("row", "low", "high")
