@@ -11,7 +11,6 @@ from msgsieve import lexicons as lx
 from msgsieve.functions import phones, urls
 from msgsieve.functions.text import entity_keys, has_any, text_or_empty
 from msgsieve.operators.ordered import top_per_key
-from msgsieve.session import small_side
 
 
 # --- exports -----------------------------------------------------------------
@@ -33,8 +32,7 @@ def match_safe_senders(df: DataFrame, rules: DataFrame) -> DataFrame:
     """
     pairs = (df.filter(F.col("sender").contains("@")).select("account_sub", "sender").distinct()
              .withColumn("_s", F.lower("sender")).withColumn("_d", F.element_at(F.split("_s", "@"), -1)))
-    r = small_side(rules)
-    hit = pairs.join(r, "account_sub").filter(
+    hit = pairs.join(rules, "account_sub").filter(
         ((F.col("match_type") == "exact") & (F.col("_s") == F.col("pattern")))
         | ((F.col("match_type") == "pattern") & F.like("_s", F.col("pattern")))
         | ((F.col("match_type") == "domain") & (F.col("_d") == F.col("pattern"))))
@@ -50,7 +48,7 @@ def sender_key(sender: Column) -> Column:
 
 def match_fleet_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Add ``fleet_hit`` and ``fleet_confidence`` from the shared threat list."""
-    k = small_side(keys.select(F.col("sender_key").alias("_k"), F.col("confidence").alias("fleet_confidence")))
+    k = keys.select(F.col("sender_key").alias("_k"), F.col("confidence").alias("fleet_confidence"))
     return (df.withColumn("_key", sender_key(F.col("sender"))).join(k, F.col("_key") == F.col("_k"), "left")
             .withColumn("fleet_hit", F.col("_k").isNotNull()).drop("_key", "_k"))
 
@@ -63,7 +61,7 @@ def match_campaign_packs(df: DataFrame, packs: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(text_or_empty(F.col("body")), F.lit(CAMPAIGN_PHONE), F.lit(1))
     tens = F.concat(F.array(phones.last_ten(F.col("sender"))), F.transform(found, phones.last_ten))
     keys = F.array_distinct(F.filter(tens, lambda d: F.length(d) == 10))
-    return (df.select("id", F.explode(keys).alias("digits")).join(small_side(packs), "digits")
+    return (df.select("id", F.explode(keys).alias("digits")).join(packs, "digits")
             .groupBy("id").agg(F.min("campaign_id").alias("campaign_id")))
 
 
@@ -143,7 +141,7 @@ def known_good_domain(df: DataFrame, domains: DataFrame) -> DataFrame:
     """(id, matched_domain) for a caller's own allow-list table ``domains(domain)``."""
     keyed = (df.withColumn("_d", urls.mailbox_domain(F.col("sender")))
              .select("id", F.explode(urls.parent_domains(F.col("_d"))).alias("domain")))
-    return (keyed.join(small_side(domains.select("domain").distinct()), "domain")
+    return (keyed.join(domains.select("domain").distinct(), "domain")
             .groupBy("id").agg(F.max_by("domain", F.length("domain")).alias("matched_domain")))
 
 

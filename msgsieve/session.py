@@ -7,10 +7,6 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only while it is provably below this many rows.
-BROADCAST_MAX_ROWS = 200_000
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -84,17 +80,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only if ``df`` has at most ``max_rows`` rows.
-
-    The check stops reading after ``max_rows + 1`` rows.  Above the bound the
-    frame is returned without a hint and the join shuffles on its key, where
-    adaptive execution splits skewed partitions.
-    """
-    over = df.limit(max_rows + 1).count() > max_rows
-    return df if over else F.broadcast(df)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input with too few splits (small files, one row group).
 
