@@ -41,6 +41,7 @@ from msgsieve.llm.hash_filter import HashFilter, build_filter, within
 from msgsieve.llm.words import sequence_hashes, text_chunks, word_hashes, word_spans
 
 NO_ID = -(1 << 63)
+BLOCK = 1 << 20
 TOP = np.uint64(2 ** 64 - 1)
 
 
@@ -107,7 +108,7 @@ def repeated_windows(docs: DataFrame, length: int = 20) -> DataFrame:
         repeated = HashFilter(shared.value)
         for batch in batches:
             ids = _ids(batch)
-            for at, stop, data, offs in text_chunks(batch):
+            for at, stop, data, offs in text_chunks(batch, limit=BLOCK):
                 begin, end, first = word_spans(data, offs)
                 words = word_hashes(data, begin, end, fold=False)
                 halves, starts, inside = _halves(words, first, length)

@@ -36,7 +36,7 @@ from msgsieve.llm.common import as_columns
 
 STEP = 512
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 900_000
+CACHED_WORDS = 700_000
 SHARD = "part int, shard long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, codes binary"
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -93,6 +93,11 @@ def unpack_codes(codes: bytes) -> np.ndarray:
     return ids
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` with room for ``size`` entries, at least doubled when it grows."""
+    return values if size <= len(values) else np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
+
+
 class WordIds(dict):
     """word (bytes) -> number of its row in (values, first); encodes new words in one call."""
 
@@ -106,7 +111,7 @@ class WordIds(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.values, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.values, self.first, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self)
@@ -122,8 +127,11 @@ class WordIds(dict):
         if self.new:
             coded = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in self.new], add_special_tokens=False)]
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.values = np.concatenate([self.values, np.fromiter((i for ids in coded for i in ids), np.uint32, int(sizes.sum()))])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            at, size = int(self.first[self.held - 1]), int(sizes.sum())
+            self.values, self.first = _room(self.values, at + size), _room(self.first, self.held + len(coded))
+            self.values[at:at + size] = np.fromiter(chain.from_iterable(coded), np.uint32, size)
+            self.first[self.held:self.held + len(coded)] = at + np.cumsum(sizes)
+            self.held += len(coded)
             self.new = []
         sizes = self.first[rows + 1] - self.first[rows]
         ends = np.cumsum(sizes)
