@@ -90,7 +90,7 @@ class SuffixLevels:
 
     def _keep(self, rows: DataFrame, name: str) -> str:
         path = scratch(self.spark, name)
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         return path
 
     def _array(self, rows: DataFrame) -> str:
@@ -127,7 +127,7 @@ class SuffixLevels:
 def build_levels(docs: DataFrame, length: int, batches: int) -> SuffixLevels:
     spark = docs.sparkSession
     path = scratch(spark, "suffixes")
-    suffixes(docs, length, batches).write.partitionBy("batch").parquet(path)
+    suffixes(docs, length, batches).write.option("compression", "zstd").partitionBy("batch").parquet(path)
     rows = spark.read.schema("head long, seed long, row long, pos int, batch int").parquet(path)
     family = SuffixLevels(spark)
     for batch in range(batches):
@@ -198,7 +198,7 @@ def _scan(repeated: HashFilter, hot: np.ndarray, length: int):
                     if done:
                         yield _record(SETTLED, *map(np.array, zip(*done)), None, None, None)
                     if send:
-                        yield _record(RUN, row[send], a[send] - base[send], b[send] - base[send], seed[send], np.zeros(len(send), bool), [data[x:y + length].tobytes() for x, y in zip(a[send].tolist(), b[send].tolist())])
+                        yield _record(RUN, row[send], a[send] - base[send], b[send] - base[send], seed[send], None, [data[x:y + length].tobytes() for x, y in zip(a[send].tolist(), b[send].tolist())])
                 if warm.any():
                     pick = np.repeat(warm, stop - begin + 1)
                     which = np.repeat(np.arange(len(begin)), stop - begin + 1)[pick]
@@ -216,24 +216,34 @@ def _scan(repeated: HashFilter, hot: np.ndarray, length: int):
 
 def _compare(length: int):
     """Windows that repeat among runs of bytes, all runs of one minimum together."""
+    def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, run, place in the run) of every window, hashed block by block."""
+        lengths = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]).astype(np.int64)
+        found, at = [], 0
+        while at < len(column):
+            end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:at + 4096]), BLOCK, side="right")))
+            offs = np.concatenate(([0], np.cumsum(lengths[at:end])))
+            data = np.frombuffer(b"".join(column.slice(at, end - at).to_pylist()), np.uint8)
+            start = np.flatnonzero(window_starts(offs, len(data), length))
+            run = np.searchsorted(offs, start, side="right") - 1
+            found.append((run_hashes(byte_sums(data), start, length), (run + at).astype(np.int32), (start - offs[run]).astype(np.int32)))
+            at = end
+        return tuple(map(np.concatenate, zip(*found)))
+
     def settle(held: pa.Table) -> pa.RecordBatch:
         held = held.combine_chunks()
-        column = held.column("bytes").chunk(0) if held.num_rows else pa.array([], pa.binary())
-        lengths = np.array([len(x) for x in column.to_pylist()], np.int64)
-        offs = np.concatenate(([0], np.cumsum(lengths)))
-        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-        at = np.flatnonzero(window_starts(offs, len(data), length))
-        hashes = run_hashes(byte_sums(data), at, length)
-        run = np.searchsorted(offs, at, side="right") - 1
-        known = held.column("twice").to_numpy()[run].astype(bool)
-        _, back = np.unique(hashes, return_inverse=True)
-        again = np.bincount(back, 1 + known)[back] > 1
+        hashes, run, place = windows(held.column("bytes").chunk(0))
+        order = np.argsort(hashes)
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        again = np.zeros(len(hashes), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
         if not again.any():
             return _record(SETTLED, np.zeros(0, np.int64), [], [], None, None, None)
-        x, y = _runs(run[again], at[again])
+        x, y = _runs(run[again], place[again])
         which = run[again][x]
         low = held.column("low").to_numpy()[which]
-        return _record(SETTLED, held.column("row").to_numpy()[which], low + at[again][x] - offs[which], low + at[again][y] - offs[which], None, None, None)
+        return _record(SETTLED, held.column("row").to_numpy()[which], low + place[again][x], low + place[again][y], None, None, None)
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -271,7 +281,7 @@ def repeated_runs(docs: DataFrame, length: int = 400, batches: int = 4) -> DataF
     _with_row(docs).select("row", "text").mapInArrow(scan, RECORD).write.option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
     settled = found.where(F.col("kind") == SETTLED).select("row", "low", "high")
-    runs = found.where(F.col("kind") == RUN).repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), RECORD).select("row", "low", "high")
+    runs = found.where(F.col("kind") == RUN).select("hash", "row", "low", "bytes").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), RECORD).select("row", "low", "high")
     windows = found.where(F.col("kind") == WINDOW)
     shared = windows.groupBy("hash").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash")
     single = windows.join(shared, "hash").select("row", "low", "high")
