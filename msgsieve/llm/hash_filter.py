@@ -6,7 +6,7 @@ checked exactly afterwards, so its size decides only how much that is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,17 +57,29 @@ def build_filter(hashes: DataFrame, column: str, max_bytes: int = MAX_BYTES) ->
     return HashFilter(bits)
 
 
-def within(docs: DataFrame, hashes: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose ``column`` may be among ``hashes``, rows whose is not), both hashes of ``column`` as long."""
+def split_by(docs: DataFrame, hashes: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among ``hashes``, ``work`` applied to the others), both hashes of ``column`` as long.
+
+    The others are filtered and worked on in one Python worker.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(build_filter(hashes, column).bits)
 
-    def part(found: bool):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = HashFilter(bits.value)
-            for batch in batches:
-                hit = test(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(hit == found))
+    def hit(batch: pa.RecordBatch) -> np.ndarray:
+        return HashFilter(bits.value)(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hit(batch)))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch):
+                yield work(piece.filter(pa.array(~hit(piece))))
+
+    return docs.mapInArrow(some, docs.schema), docs.mapInArrow(others, schema)
 
-        return docs.mapInArrow(keep, docs.schema)
 
-    return part(True), part(False)
+def pieces_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that Python objects of few rows exist at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns, scratch
-from msgsieve.llm.hash_filter import HashFilter, build_filter, within
+from msgsieve.llm.hash_filter import HashFilter, build_filter, pieces_of, split_by
 from msgsieve.llm.words import sequence_hashes, text_chunks, word_hashes, word_spans
 
 NO_ID = -(1 << 63)
@@ -189,26 +189,29 @@ def drop_repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
     repeated_windows(docs.drop("key"), length).groupBy(F.xxhash64("doc_id").alias("key")).agg(F.collect_list("pos").alias("cuts")).write.parquet(path)
     cuts = docs.sparkSession.read.parquet(path)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = piece.column("cuts") if "cuts" in piece.schema.names else [None] * piece.num_rows
+        out = []
+        for text, cuts in zip(piece.column("text").to_pylist(), found):
+            words = (text or "").encode().split()
+            cover = np.zeros(len(words) + 1, np.int32)
+            if cuts is not None and cuts.is_valid:
+                at = cuts.values.to_numpy(zero_copy_only=False)
+                at = at[at < len(words)]
+                np.add.at(cover, at, 1)
+                np.add.at(cover, np.minimum(at + length, len(words)), -1)
+            keep = np.cumsum(cover[:-1]) == 0
+            kept = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()])
+            out.append((len(words), int(len(words) - keep.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())],
+                                          ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts")):
-                words = (text or "").encode().split()
-                cover = np.zeros(len(words) + 1, np.int32)
-                if cuts.is_valid:
-                    at = cuts.values.to_numpy(zero_copy_only=False)
-                    at = at[at < len(words)]
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, np.minimum(at + length, len(words)), -1)
-                keep = np.cumsum(cover[:-1]) == 0
-                kept = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()])
-                out.append((len(words), int(len(words) - keep.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())],
-                                             ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+            yield from map(cut, pieces_of(batch))
 
     # Only texts that may lose words are shuffled.
-    some, none = within(docs, cuts, "key")
-    met = some.join(cuts, "key", "left").select("doc_id", "text", "cuts")
-    met = met.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<int>").alias("cuts")))
-    return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+    some, others = split_by(docs, cuts, "key", cut, schema)
+    return some.join(cuts, "key", "left").select("doc_id", "text", "cuts").mapInArrow(cut_all, schema).unionByName(others)

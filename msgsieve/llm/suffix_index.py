@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns, scratch
-from msgsieve.llm.hash_filter import HashFilter, build_filter, within
+from msgsieve.llm.hash_filter import HashFilter, build_filter, pieces_of, split_by
 from msgsieve.llm.substring_dedup import local_minima, rolling, window_starts
 from msgsieve.llm.words import byte_sums, run_hashes, text_chunks
 
@@ -294,30 +294,31 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400, batches: int = 4) ->
     repeated_runs(docs, length, batches).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("cuts")).write.parquet(path)
     cuts = docs.sparkSession.read.parquet(path)
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = piece.column("cuts") if "cuts" in piece.schema.names else [None] * piece.num_rows
+        out = []
+        for text, cuts in zip(piece.column("text").to_pylist(), found):
+            kept = data = (text or "").encode()
+            removed = spans = 0
+            if cuts is not None and cuts.is_valid:
+                low = cuts.values.field("low").to_numpy(zero_copy_only=False)
+                high = cuts.values.field("high").to_numpy(zero_copy_only=False)
+                cover = np.zeros(len(data) + 1, np.int32)
+                np.add.at(cover, low, 1)
+                np.add.at(cover, high + length, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            out.append((len(data), removed, spans, kept, hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]],
+                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    def cut_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for text, cuts in zip(part.column("text").to_pylist(), part.column("cuts")):
-                data = (text or "").encode()
-                removed = spans = 0
-                if cuts.is_valid:
-                    low = cuts.values.field("low").to_numpy(zero_copy_only=False)
-                    high = cuts.values.field("high").to_numpy(zero_copy_only=False)
-                    cover = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(cover, low, 1)
-                    np.add.at(cover, high + length, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
-                    removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                else:
-                    kept = data
-                out.append((len(data), removed, spans, kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield from map(cut, pieces_of(part))
 
     # Only texts that may lose bytes are shuffled.
-    some, none = within(_with_row(docs), cuts, "row")
-    met = some.join(cuts, "row", "left").select("doc_id", "text", "cuts")
-    met = met.unionByName(none.select("doc_id", "text", F.lit(None).cast("array<struct<low:int,high:int>>").alias("cuts")))
-    return met.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    some, others = split_by(_with_row(docs), cuts, "row", cut, schema)
+    return some.join(cuts, "row", "left").select("doc_id", "text", "cuts").mapInArrow(cut_all, schema).unionByName(others)
