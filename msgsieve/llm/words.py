@@ -54,12 +54,11 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     col = batch.column(batch.schema.get_field_index(column))
     if col.null_count:
         col = col.fill_null("")
-    col = col.cast(pa.large_string()) if col.type != pa.large_string() else col
     _, offs, data = col.buffers()
     n = len(col)
     if not n:
         return
-    offs = np.frombuffer(offs, np.int64)[col.offset:col.offset + n + 1]
+    offs = np.frombuffer(offs, np.int64 if col.type == pa.large_string() else np.int32)[col.offset:col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
