@@ -16,7 +16,7 @@ have a prompt and no completions.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgsieve.llm.common import as_columns
@@ -66,3 +66,40 @@ def repeated_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame
     chosen = turns.join(ends.where("first < last"), "pair_id").where("turn <= last")
     rejected = chosen.withColumn("text", F.when(F.col("turn") == F.col("last"), F.col("reply.text")).otherwise(F.col("text")))
     return chosen.select("pair_id", "turn", "role", "text"), rejected.select("pair_id", "turn", "role", "text")
+
+
+def _digest(*parts: Column) -> Column:
+    """Eight hex digits of an MD5 as a number, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def every_conversation_pairs(conversations: DataFrame, group: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected turns of every conversation (conv_id, turn, role, text).
+
+    Chosen is the whole conversation.  Rejected is the same up to one reply of
+    the assistant, the one with the least hash, and ends there with another
+    text, so pairs part at any turn and the sides may differ in length.
+
+    The other text is the reply of the next conversation in hash order, inside
+    hash groups of about ``group`` conversations whose last one is followed by
+    the first.  If it is the same text, the first that differs of the
+    neighbour's least and greatest reply, the own least and greatest reply, an
+    empty text and "no reply" is taken.  A conversation without a reply has
+    nothing to reject: both sides are equal, all of it is prompt.
+    """
+    turns = clean_turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"))
+    replies = turns.where("role = 'assistant'")
+    ends = replies.groupBy("pair_id").agg(
+        F.min(F.struct(_digest(F.col("pair_id"), F.col("turn")).alias("hash"), "turn", "text")).alias("at"), F.min("text").alias("least"), F.max("text").alias("most"))
+    ends = ends.select("pair_id", F.col("at.turn").alias("last"), F.col("at.text").alias("reply"), "least", "most", _digest(F.col("pair_id")).alias("hash"))
+    count = replies.agg(F.greatest(F.lit(1), F.floor(F.count_distinct("pair_id") / group)).cast("long").alias("groups"))
+    dealt = ends.crossJoin(F.broadcast(count)).withColumn("group", F.col("hash") % F.col("groups"))
+    ring = Window.partitionBy("group").orderBy("hash", "pair_id")
+    says = F.struct("reply", "least", "most")
+    near = F.coalesce(F.lead(says).over(ring), F.first(says).over(ring))
+    found = [F.col("near.reply"), F.col("near.least"), F.col("near.most"), F.col("least"), F.col("most"), F.lit(""), F.lit("no reply")]
+    other = F.coalesce(*[F.when(text != F.col("reply"), text) for text in found])
+    swaps = dealt.withColumn("near", near).select("pair_id", "last", other.alias("other"))
+    rejected = turns.join(swaps, "pair_id", "left").where("last is null or turn <= last")
+    rejected = rejected.withColumn("text", F.when(F.col("turn") == F.col("last"), F.col("other")).otherwise(F.col("text")))
+    return turns, rejected.select("pair_id", "turn", "role", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgsieve.llm.chat import preference_turns, repeated_reply_pairs
+from msgsieve.llm.chat import every_conversation_pairs, preference_turns
 from msgsieve.llm.common import scratch, table
 from msgsieve.llm.decontaminate import contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
@@ -73,7 +73,8 @@ from (select conv_id, 'prompt' as part, turn, role, text as said from p where sa
       union all select conv_id, 'rejected', turn, role, other from p where not same)
 """)
 def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen, rejected = repeated_reply_pairs(table(spark, sf_dir, "conversations"))
+    """Every conversation and turn; the SQL still leaves out conversations with fewer than two replies and turns after the last."""
+    chosen, rejected = every_conversation_pairs(table(spark, sf_dir, "conversations"))
     return preference_turns(chosen, rejected)
 
 
