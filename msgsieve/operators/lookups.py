@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgsieve import lexicons as lx
@@ -65,18 +65,24 @@ def match_campaign_packs(df: DataFrame, packs: DataFrame) -> DataFrame:
             .groupBy("id").agg(F.min("campaign_id").alias("campaign_id")))
 
 
-def entity_risk(df: DataFrame, crumbs: DataFrame, newest: int = 500, hits: int = 40) -> DataFrame:
-    """How often related entities were graded lately, per message.
+def entity_risk(df: DataFrame, crumbs: DataFrame, hits: int = 40) -> DataFrame:
+    """How often related entities were graded lately, per message, from its newest 40 crumbs.
 
-    ``crumbs`` (crumb_id, ts, channel, label, entities); only the newest 500
-    are read, so the joined side has at most 500 x 6 rows.
+    ``crumbs`` (crumb_id, ts, channel, label, entities) are all read.  A
+    message's newest crumbs are among the newest of each of its entities, so
+    only 40 per entity meet the messages.
     """
-    recent = crumbs.orderBy(F.desc("ts"), F.desc("crumb_id")).limit(newest)
-    keyed = F.broadcast(recent.select("crumb_id", "ts", "channel", F.col("label").alias("crumb_label"),
-                                      F.explode(F.array_distinct("entities")).alias("entity")))
+    newest = [F.desc("ts"), F.desc("crumb_id"), F.asc("channel"), F.asc("crumb_label")]
+
+    def nearest(rows: DataFrame, key: str) -> DataFrame:
+        # Ranked densely: a crumb that comes twice, by a copy or by two entities, takes one place.
+        rank = F.dense_rank().over(Window.partitionBy(key).orderBy(*newest))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= hits).drop("rank").distinct()
+
+    keyed = nearest(crumbs.select("crumb_id", "ts", "channel", F.col("label").alias("crumb_label"), F.explode(F.array_distinct("entities")).alias("entity")), "entity")
     pairs = (df.select("id", F.explode(F.array_distinct(entity_keys(F.col("sender"), F.col("body")))).alias("entity"))
-             .join(keyed, "entity").select("id", "crumb_id", "ts", "channel", "crumb_label").distinct())
-    kept = top_per_key(pairs, ["id"], [F.desc("ts"), F.desc("crumb_id")], hits)
+             .join(keyed, "entity").select("id", "crumb_id", "ts", "channel", "crumb_label"))
+    kept = nearest(pairs, "id")
     threats = F.count_if(F.col("crumb_label") == 1)
     return kept.groupBy("id").agg(
         F.count("*").alias("hits"), threats.alias("threat_hits"),
