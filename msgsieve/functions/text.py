@@ -274,8 +274,8 @@ def campaign_id(sender: Column) -> Column:
     return F.substring(F.sha2(F.when(s.contains("@"), domain).otherwise(s), 256), 1, 16)
 
 
-def entity_keys(sender: Column, body: Column, limit: int = 6) -> Column:
-    """Phone, domain and alpha-sender keys of a record, at most six."""
+def entity_keys(sender: Column, body: Column) -> Column:
+    """All phone, domain and alpha-sender keys of a record, in this order, repeats included."""
     s = text_or_empty(sender)
     blob = F.concat_ws(" ", s, text_or_empty(body))
     phones = F.transform(
@@ -288,7 +288,7 @@ def entity_keys(sender: Column, body: Column, limit: int = 6) -> Column:
                           lambda d: F.concat(F.lit("domain:"), F.lower(d)))
     alpha = F.when(F.trim(s).rlike(r"^[A-Za-z]{3,15}$"),
                    F.array(F.concat(F.lit("alpha:"), F.upper(F.trim(s))))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(phones, domains, alpha), 1, limit)
+    return F.concat(phones, domains, alpha)
 
 
 def redact_sender(sender: Column) -> Column:
