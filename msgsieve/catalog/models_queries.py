@@ -98,14 +98,14 @@ def _vectors(i: Inputs):
 
 @query("M6_fit_novelty")
 def _(i: Inputs):
-    t = nv.fit_novelty(_vectors(i), trees=50)
+    t = nv.fit_novelty(_vectors(i))
     return t.groupBy("channel").agg(F.count_distinct("tree").alias("trees"), F.count("*").alias("nodes"))
 
 
 @query("M7_score_novelty")
 def _(i: Inputs):
     v = _vectors(i)
-    return nv.novelty(v, v, trees=50).select("channel", "id", F.round("score", 6).alias("score"), F.round("novelty", 6).alias("novelty"), "level")
+    return nv.novelty(v, v).select("channel", "id", F.round("score", 6).alias("score"), F.round("novelty", 6).alias("novelty"), "level")
 
 
 def wav_rows(i: Inputs):
