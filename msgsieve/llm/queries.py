@@ -12,12 +12,15 @@ from msgsieve.llm.common import scratch, table
 from msgsieve.llm.decontaminate import contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
 from msgsieve.llm.html_blocks import extract_pages
+from msgsieve.llm.lexical import rank_documents
+from msgsieve.llm.merkle import audit, leaf_digest
 from msgsieve.llm.mixing import taken_words
 from msgsieve.llm.ngram_join import ngram_groups
 from msgsieve.llm.substring_dedup import drop_repeated_words
 from msgsieve.llm.suffix_index import drop_repeated_bytes
 from msgsieve.llm.token_store import read_store, write_store
 from msgsieve.llm.toxicity import fit_toxicity, learnable, score_toxicity
+from msgsieve.llm.warc import convert_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +137,78 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per byte is too much for SQL on whole tables; tests use brute force."""
     return drop_repeated_bytes(table(spark, sf_dir, "documents"), 400, batches=4).drop("kept")
+
+
+@query("op11_merkle_manifest", """
+with recursive c as (
+  select *, list_reduce(flatten([[4294967295::bigint], flatten([[ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(doc_id::varchar, '')])]),
+                        lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) as crc
+  from documents),
+s as (
+  select doc_id, lang, n_chars, coalesce(strlen(source) || ':' || source, '-') as src, coalesce(strlen(lang) || ':' || lang, '-') as lng,
+         coalesce(strlen(text) || ':' || text, '-') as txt, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') as id,
+         coalesce(xor(crc, 4294967295) % 7 = 0, false) as tamper
+  from c),
+l as (
+  select doc_id, lang, sha256(id || src || lng || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || txt) as leaf,
+         sha256(id || src || lng || coalesce(strlen((n_chars::hugeint + tamper::int)::varchar) || ':' || (n_chars::hugeint + tamper::int), '-') || txt) as other
+  from s),
+p as (select *, coalesce('=' || lang, '') as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from l),
+t(g, lvl, i, n, h) as (
+  select g, 0, i, n, leaf from p
+  union all
+  select a.g, a.lvl + 1, a.i // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  from t a left join t b on a.g = b.g and a.lvl = b.lvl and b.i = a.i + 1 where a.n > 1 and a.i % 2 = 0),
+r as (select g, h as subroot, row_number() over (order by encode(g)) - 1 as i, count(*) over () as n from t where n = 1),
+u(lvl, i, n, h) as (
+  select 0, i, n, subroot from r
+  union all
+  select a.lvl + 1, a.i // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  from u a left join u b on a.lvl = b.lvl and b.i = a.i + 1 where a.n > 1 and a.i % 2 = 0),
+w(id, g, top, lvl, i, n, proof, h) as (
+  select row_number() over (), g, false, 0, i, n, '', other from p
+  union all
+  select w.id, w.g, w.top or w.n = 1, case when w.n = 1 then 0 else w.lvl + 1 end, case when w.n = 1 then r.i else w.i // 2 end, case when w.n = 1 then r.n else (w.n + 1) // 2 end,
+         case when w.n = 1 then w.proof else w.proof || coalesce(t.h, u.h, '') end,
+         case when w.n = 1 then w.h when w.i % 2 = 0 then sha256(w.h || coalesce(t.h, u.h, '')) else sha256(coalesce(t.h, u.h) || w.h) end
+  from w left join r on r.g = w.g
+         left join t on not w.top and t.g = w.g and t.lvl = w.lvl and t.i = xor(w.i, 1) and w.n > 1
+         left join u on w.top and u.lvl = w.lvl and u.i = xor(w.i, 1) and w.n > 1
+  where w.n > 1 or not w.top),
+f as (select id, sha256(proof) as proof_sha256, h as folded_root from w where top and n = 1)
+select p.doc_id, p.leaf, r.subroot, x.h as root, f.proof_sha256, f.folded_root, f.folded_root = x.h as verified
+from (select *, row_number() over () as id from p) p join f using (id) join r using (g) cross join (select h from u where n = 1) x
+""")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    other = [*leaf[:3], F.col("n_chars").cast("decimal(20)") + 1, leaf[4]]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    rows = docs.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), leaf_digest(*leaf).alias("leaf"), F.when(tampered, leaf_digest(*other)).alias("presented"))
+    return audit(rows).withColumnRenamed("key", "doc_id").drop("grp")
+
+
+@query("op12_warc", """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest, payload_bytes) else page_id end as f from d)
+select page_id, payload_bytes, payload_digest, case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to from f
+""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert_pages(table(spark, sf_dir, "pages")).drop("record_id")
+
+
+@query("op13_ranked_search", """
+with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents where text is not null),
+d as (select doc_id, len(w)::bigint as n, w from t where len(w) > 0),
+s as (select count(*)::bigint as nn, sum(n)::bigint as l from d),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as w from benchmark where text is not null),
+v as (select distinct w from q),
+c as (select doc_id, n, w, count(*)::bigint as tf from (select doc_id, n, unnest(w) as w from d) join v using (w) group by all),
+g as (select w, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as g from c cross join s group by w),
+k as (select q.item_id, c.doc_id, sum(g.g * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (10 + (90 * c.n * s.nn) // s.l))))::bigint as score from q join c using (w) join g using (w) cross join s group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from k where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+""")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
