@@ -298,10 +298,10 @@ def _(i: Inputs):
 
 @query("F29_keys", f"""
 WITH a AS (SELECT id, sender, body, lower(trim(sender)) AS s FROM messages),
-b AS (SELECT *, list_slice(list_concat(list_concat(
+b AS (SELECT *, list_concat(list_concat(
   list_transform(list_filter(list_transform(regexp_extract_all(concat(sender, ' ', body), '(\\+?[0-9][0-9\\-.\\s\\x0B()]{{7,}}[0-9])', 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) >= 10), lambda d: concat('phone:', right(d, 10))),
   list_transform(regexp_extract_all(sender, '@([A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1), lambda d: concat('domain:', lower(d)))),
-  CASE WHEN regexp_matches(trim(sender), '^[A-Za-z]{{3,15}}$') THEN [concat('alpha:', upper(trim(sender)))] ELSE [] END), 1, 6) AS keys FROM a)
+  CASE WHEN regexp_matches(trim(sender), '^[A-Za-z]{{3,15}}$') THEN [concat('alpha:', upper(trim(sender)))] ELSE [] END) AS keys FROM a)
 SELECT id, array_to_string(keys, ',') AS entity_keys, substr(sha256(CASE WHEN contains(s, '@') THEN regexp_replace(list_extract(string_split(s, '@'), -1), '^>+|>+$', '', 'g') ELSE s END), 1, 16) AS campaign_id,
   CASE WHEN {q.sender_domain('sender')} <> '' THEN {q.sender_domain('sender')} ELSE s END AS sender_key,
   CASE WHEN regexp_extract(s, '^[^@\\s]+@([^@\\s]+)$', 1) <> '' THEN concat('redacted@', regexp_extract(s, '^[^@\\s]+@([^@\\s]+)$', 1))

@@ -60,16 +60,15 @@ def _(i: Inputs):
 
 
 def _keys_sql(s: str, b: str) -> str:
-    return (f"list_distinct(list_slice(list_concat(list_concat(list_transform(list_filter(list_transform(regexp_extract_all(concat({s}, ' ', {b}), '(\\+?[0-9][0-9\\-.\\s\\x0B()]{{7,}}[0-9])', 1), "
+    return (f"list_distinct(list_concat(list_concat(list_transform(list_filter(list_transform(regexp_extract_all(concat({s}, ' ', {b}), '(\\+?[0-9][0-9\\-.\\s\\x0B()]{{7,}}[0-9])', 1), "
             f"lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) >= 10), lambda d: concat('phone:', right(d, 10))), "
             f"list_transform(regexp_extract_all({s}, '@([A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1), lambda d: concat('domain:', lower(d)))), "
-            f"CASE WHEN regexp_matches(trim({s}), '^[A-Za-z]{{3,15}}$') THEN [concat('alpha:', upper(trim({s})))] ELSE [] END), 1, 6))")
+            f"CASE WHEN regexp_matches(trim({s}), '^[A-Za-z]{{3,15}}$') THEN [concat('alpha:', upper(trim({s})))] ELSE [] END))")
 
 
 @query("J9_entity_risk", f"""
 WITH crumbs AS (SELECT id AS crumb_id, ts, message_type AS channel, label, {_keys_sql('sender', 'body')} AS ents FROM messages WHERE label IS NOT NULL AND ts IS NOT NULL),
-recent AS (SELECT * FROM (SELECT * FROM crumbs WHERE len(ents) > 0 ORDER BY ts DESC, crumb_id DESC LIMIT 500)),
-ce AS (SELECT crumb_id, ts, channel, label, unnest(ents) AS entity FROM recent), me AS (SELECT id, unnest({_keys_sql('sender', 'body')}) AS entity FROM messages),
+ce AS (SELECT crumb_id, ts, channel, label, unnest(ents) AS entity FROM crumbs), me AS (SELECT id, unnest({_keys_sql('sender', 'body')}) AS entity FROM messages),
 p AS (SELECT DISTINCT me.id, ce.crumb_id, ce.ts, ce.channel, ce.label FROM me JOIN ce ON ce.entity = me.entity),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, crumb_id DESC) AS rn FROM p) WHERE rn <= 40)
 SELECT id, count(*) AS hits, CAST(count_if(label = 1) AS bigint) AS threat_hits, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels, round(least(0.25, 0.05 * count_if(label = 1)), 3)::DOUBLE AS boost FROM k GROUP BY id""", "messages")

@@ -401,9 +401,8 @@ def _(i: Inputs):
     return od.latest_versions(r).select("channel", "version", "previous", "rank", "is_latest")
 
 
-@query("W12_recent_lookback", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)) WHERE rank <= 40")
+@query("W12_recent_lookback", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 40")
 def _(i: Inputs):
-    # Every event is ranked; the SQL still looks at the newest 500 only.
     return od.top_per_key(i.table("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 40).select("user_id", "event_id", "rank")
 
 
