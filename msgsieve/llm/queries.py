@@ -66,17 +66,21 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chat_preferences", """
 with t as (select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
            qualify row_number() over (partition by conv_id, turn order by coalesce(role, 'user'), coalesce(text, '')) = 1),
-e as (select conv_id, min(turn) as f, max(turn) as l from t where role = 'assistant' group by 1 having min(turn) < max(turn)),
-c as (select t.*, e.l, case when t.turn = e.l then r.text else t.text end as other
-      from t join e using (conv_id) join t r on r.conv_id = t.conv_id and r.turn = e.f where t.turn <= e.l),
-p as (select conv_id, turn, role, text, other, text = other as same from c)
+a as (select *, min(text) over (partition by conv_id) as least, max(text) over (partition by conv_id) as most,
+             row_number() over (partition by conv_id order by ('0x' || substr(md5(conv_id || ':' || turn), 1, 8))::bigint, turn) as k
+      from t where role = 'assistant'),
+e as (select conv_id, turn as last, text as reply, least, most, ('0x' || substr(md5(conv_id::varchar), 1, 8))::bigint as h from a where k = 1),
+g as (select *, h % greatest(1, (select count(*) // 64 from e)) as g from e),
+n as (select *, coalesce(lead(reply) over w, first_value(reply) over w) as n1, coalesce(lead(least) over w, first_value(least) over w) as n2,
+             coalesce(lead(most) over w, first_value(most) over w) as n3 from g window w as (partition by g order by h, conv_id)),
+o as (select conv_id, last, coalesce(nullif(n1, reply), nullif(n2, reply), nullif(n3, reply), nullif(least, reply), nullif(most, reply), nullif('', reply), 'no reply') as other from n),
+p as (select t.*, o.last, o.other from t left join o using (conv_id))
 select conv_id as pair_id, part, turn, '<|' || role || '|>' || chr(10) || said || '<|end|>' || chr(10) as rendered, part <> 'prompt' and role = 'assistant' as loss
-from (select conv_id, 'prompt' as part, turn, role, text as said from p where same
-      union all select conv_id, 'chosen', turn, role, text from p where not same
-      union all select conv_id, 'rejected', turn, role, other from p where not same)
+from (select conv_id, case when last is null or turn < last then 'prompt' else 'chosen' end as part, turn, role, text as said from p
+      union all select conv_id, 'rejected', turn, role, other from p where turn = last)
 """)
 def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and turn; the SQL still leaves out conversations with fewer than two replies and turns after the last."""
+    """Every conversation and turn."""
     chosen, rejected = every_conversation_pairs(table(spark, sf_dir, "conversations"))
     return preference_turns(chosen, rejected)
 
