@@ -6,7 +6,7 @@ from msgsieve import lexicons as lx
 from msgsieve.catalog import sqltext as q
 from msgsieve.catalog.registry import Inputs, query
 from msgsieve.functions import features as fe, urls
-from msgsieve.operators import filters, lookups as lk
+from msgsieve.operators import filters, lookups as lk, vector_index
 
 SKEY = f"CASE WHEN {q.sender_domain('sender')} <> '' THEN {q.sender_domain('sender')} ELSE lower(trim(coalesce(sender, ''))) END"
 
@@ -195,7 +195,20 @@ def _(i: Inputs):
 @query("J15_similar_approximate")
 def _(i: Inputs):
     v = vectors(i)
-    return lk.similar_messages_ann(v, v, 0.9, 5)
+    return lk.similar_messages_ann(v, v, 5).select("query_id", "match_id", "rank", lk.similarity(F.col("distance")).alias("similarity"))
+
+
+@query("J15_recall")
+def _(i: Inputs):
+    """Recall of the approximate form against the exact one, and what share of all pairs it looked at."""
+    v = vectors(i).drop("label")
+    return vector_index.recall(lk.similar_messages_ann(v, v, 5), lk.similar_messages(v, v, 5), v.count())
+
+
+@query("J15_approximate_within_type")
+def _(i: Inputs):
+    v = vectors(i)
+    return lk.similar_messages_ann(v, v, 3, same=["label"]).select("query_id", "label", "match_id", "rank")
 
 
 @query("J17_owned_reports", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from msgsieve import lexicons as lx
 from msgsieve.functions import phones, urls
 from msgsieve.functions.text import entity_keys, has_any, text_or_empty
+from msgsieve.operators import vector_index
 from msgsieve.operators.ordered import top_per_key
 
 
@@ -315,20 +316,9 @@ def nearest_label(queries: DataFrame, corpus: DataFrame, same: list[str] | None
     return best.join(corpus.select(F.col("vec_id").alias("match_id"), "is_threat"), "match_id")
 
 
-def similar_messages_ann(queries: DataFrame, corpus: DataFrame, max_distance: float, k: int,
-                         bucket_length: float = 2.0, tables: int = 3) -> DataFrame:
-    """Approximate variant on Spark's random-projection hashing, pairs within ``max_distance``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def vec(df: DataFrame) -> DataFrame:
-        return df.select("vec_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=7).fit(vec(corpus))
-    pairs = model.approxSimilarityJoin(vec(queries), vec(corpus), max_distance, "distance").select(
-        F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("match_id"), "distance")
-    return top_per_key(pairs, ["query_id"], [F.asc("distance"), F.asc("match_id")], k)
+def similar_messages_ann(queries: DataFrame, corpus: DataFrame, k: int, same: list[str] | None = None, share: float = 0.98) -> DataFrame:
+    """About the ``k`` nearest corpus vectors per query by an inverted file with product codes; see ``vector_index``."""
+    return vector_index.search(vector_index.build_index(corpus, k, share, same=same), queries, k)
 
 
 # --- ownership ---------------------------------------------------------------
