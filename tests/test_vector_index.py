@@ -41,7 +41,7 @@ def test_recall_and_work(spark, dims, groups):
 def test_small_shards_change_nothing(spark):
     """A list of a third of all rows is cut into shards; every row is still met."""
     x = clusters(1200, 8, 12, 5).astype("float32")
-    x[:400] = x[0] + 1e-4 * np.random.default_rng(1).normal(size=(400, 8))
+    x[:400] = x[0] + 0.02 * np.random.default_rng(1).normal(size=(400, 8))
     v = table(spark, x).drop("label")
     index = vi.build_index(v, 4, lists=12)
     a, b = (sorted((r["query_id"], r["match_id"]) for r in vi.search(index, v, 4, shard_rows=room).collect()) for room in (1 << 16, 100))
