@@ -13,15 +13,17 @@ row holds whole documents:
 Layout of codes: number of levels (uint32), then per level its length
 (uint64), directory (uint64 each), bitmap padded to bytes, chunks.
 
-Texts are encoded by the tokenizers library.  Its normaliser and splitter are
-applied per white-space-free word here, because neither joins anything over
-ASCII white space, so each distinct word is encoded once per Python worker
-while it stays in a bounded cache.
+Texts are encoded by the tokenizers library.  Its splitter cuts a text into
+pieces that are encoded on their own, so each distinct piece is encoded once
+per Python worker while it stays in a bounded cache.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +38,16 @@ from msgsieve.llm.common import as_columns
 
 STEP = 512
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 700_000
+CACHED_PIECES = 900_000
+# The normaliser and splitter whose cuts are made here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# Characters of blocks that every Unicode version cuts and lower-cases alike, and what lower case makes of them.
+SAFE = re.compile("[\x00-\u012f\u0131-\u024f\u0300-\u036f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*")
+LETTERS, NUMBERS, BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af\u1e00-\u1eff\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANK}{LETTERS}{NUMBERS}]+")
 SHARD = "part int, shard long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, codes binary"
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -98,53 +109,81 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
     return values if size <= len(values) else np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
 
 
-class WordIds(dict):
-    """word (bytes) -> number of its row in (values, first); encodes new words in one call."""
+class PieceIds(dict):
+    """piece -> number of its row in (values, first); every piece is encoded once while it is remembered.
+
+    Texts of ``SAFE`` characters are cut into pieces here, by the tokenizer's
+    own pattern.  New pieces are encoded many in one call and told apart by the
+    ids that end a piece.  Other texts, and tokenizers of another form, are
+    encoded whole by the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: list[bytes] = []
+        form = json.loads(self.tokenizer.to_str())
+        suffix, vocabulary = form["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.special = [x["content"] for x in form["added_tokens"]]
+        self.cuts = bool(suffix) and form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == SPLITTER
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        self.new: list[str] = []
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.values, self.first, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = row = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = row = len(self)
+        self.new.append(piece)
         return row
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        if len(self) > CACHED_WORDS:
+    def learn(self) -> None:
+        for at in range(0, len(self.new), 4000):
+            some = self.new[at:at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                coded = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                ids, ends = np.fromiter(chain.from_iterable(coded), np.uint32), np.cumsum([len(x) for x in coded])
+            start = int(self.first[self.held - 1])
+            self.values, self.first = _room(self.values, start + len(ids)), _room(self.first, self.held + len(some))
+            self.values[start:start + len(ids)] = ids
+            self.first[self.held:self.held + len(some)] = start + ends
+            self.held += len(some)
+        self.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self) > CACHED_PIECES:
             self.forget()
-        words = [text.split() for text in texts]
-        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-        if self.new:
-            coded = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in self.new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            at, size = int(self.first[self.held - 1]), int(sizes.sum())
-            self.values, self.first = _room(self.values, at + size), _room(self.first, self.held + len(coded))
-            self.values[at:at + size] = np.fromiter(chain.from_iterable(coded), np.uint32, size)
-            self.first[self.held:self.held + len(coded)] = at + np.cumsum(sizes)
-            self.held += len(coded)
-            self.new = []
-        sizes = self.first[rows + 1] - self.first[rows]
-        ends = np.cumsum(sizes)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.first[rows], sizes)
-        bounds = np.concatenate(([0], np.cumsum([len(each) for each in words]))).astype(np.int64)
-        total = np.concatenate(([0], ends))
-        return self.values[place], np.diff(total[bounds])
+        rows: list[np.ndarray | None] = []
+        for text in texts:
+            text = unicodedata.normalize("NFC", text)
+            if self.cuts and SAFE.fullmatch(text) and not any(x in text for x in self.special):
+                rows.append(np.array(list(map(self.__getitem__, PIECES.findall(text.lower()))), np.int64))
+            else:
+                rows.append(None)
+        self.learn()
+        out = []
+        for text, own in zip(texts, rows):
+            if own is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            begin = self.first[own]
+            sizes = self.first[own + 1] - begin
+            ends = np.cumsum(sizes)
+            out.append(self.values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)])
+        return out
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
+def piece_ids(path: str) -> PieceIds:
     """One cache for all tasks of a Python worker."""
-    return WordIds(path)
+    return PieceIds(path)
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
@@ -158,7 +197,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id())
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, sizes, ids, number, part = word_ids(tokenizer_path), [], [], [], 0, 0
+        pieces, held, sizes, ids, number, part = piece_ids(tokenizer_path), [], [], [], 0, 0
 
         def out():
             flat = np.concatenate(ids)
@@ -168,12 +207,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
             for at in range(0, len(batch), 64):
                 piece = batch.iloc[at:at + 64]
                 part = int(piece["part"].iloc[0])
-                flat, counts = words.encode([t.encode() for t in piece["text"]])
-                ends = np.cumsum(counts)
-                for doc, a, b in zip(piece["doc_id"].astype(object), (ends - counts).tolist(), ends.tolist()):
+                for doc, own in zip(piece["doc_id"].astype(object), pieces.encode(list(piece["text"]))):
                     held.append(None if pd.isna(doc) else int(doc))
-                    sizes.append(b - a + 1)
-                    ids += [flat[a:b], np.array([end_id], np.uint32)]
+                    sizes.append(len(own) + 1)
+                    ids += [own, np.array([end_id], np.uint32)]
                 if sum(sizes) >= SHARD_TOKENS:
                     yield out()
                     held, sizes, ids, number = [], [], [], number + 1
