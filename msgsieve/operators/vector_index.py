@@ -142,7 +142,7 @@ def build_index(corpus: DataFrame, k: int = 5, share: float = 0.98, lists: int |
     id_type = corpus.schema["vec_id"].dataType.simpleString()
     ranked = corpus.select("vec_id", "vec", *same).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
     sample = cut_lineage(ranked.limit(SAMPLE))
-    lists = lists or max(1, min(int(2 * n ** 0.5), SAMPLE // 32, n // 8))
+    lists = max(2, lists or min(int(2 * n ** 0.5), SAMPLE // 32, n // 8))
     centres = _centres(sample, lists)
     dims = -(-centres.shape[1] // WIDTH) * WIDTH
     centres = np.pad(centres, ((0, 0), (0, dims - centres.shape[1])))
