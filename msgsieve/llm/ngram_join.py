@@ -77,6 +77,45 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return overlap_bound(a[:i], b[:j], depth - 1) + overlap_bound(a[i:], b[j:], depth - 1)
 
 
+def parity_bits(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Parities of hash cells as int64 words: two sets differ in at least as many n-grams as their parities differ in bits.
+
+    A power of two of cells, about sixteen times the difference that a linked pair
+    may have; halves folded onto each other give the parities of fewer cells.
+    """
+    allowed = 2 * len(grams) * (100 - percent) // (100 + percent)
+    width = max(64, 1 << int(16 * allowed).bit_length())
+    cells = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _parities(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """cls, bits of every class in ``texts``."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parity_bits(grams, percent) for grams in ngram_sets(batch, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tolist() for b in bits], pa.list_(pa.int64()))], ["cls", "bits"])
+
+    return cut_lineage(texts.select("cls", "text").mapInArrow(scan, "cls long, bits array<long>"))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Parity filter: the sets do not differ in too many n-grams.  The longer array is folded onto the shorter one's length."""
+    bits_a, bits_b = F.col(f"bits_{a}"), F.col(f"bits_{b}")
+
+    def folded(long: Column, short: Column) -> Column:
+        return F.when(F.size(long) == F.size(short), long).otherwise(
+            F.transform(F.sequence(F.lit(1), F.size(short)), lambda i: F.aggregate(
+                F.sequence(F.lit(0), (F.size(long) / F.size(short)).cast("int") - 1), F.lit(0).cast("long"),
+                lambda x, k: x.bitwiseXOR(F.element_at(long, i + k * F.size(short))))))
+
+    def gap(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+
+    differ = F.when(F.size(bits_a) >= F.size(bits_b), gap(folded(bits_a, bits_b), bits_b)).otherwise(gap(bits_a, folded(bits_b, bits_a)))
+    return differ * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent)
+
+
 def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
@@ -150,12 +189,11 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> D
     return docs.select("text").mapInArrow(scan, "gram long, cls long, n int, pos int")
 
 
-def _texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cls, text: a text of every class in ``pairs``.
+def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, text: a text of every class in ``wanted`` (cls).
 
     A bit set of the wanted ids keeps the other texts out of the shuffle.
     """
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     speakers = cut_lineage(members.join(wanted, "cls").groupBy("cls").agg(F.min("mark").alias("mark")))
     shared = docs.sparkSession.sparkContext.broadcast(build_filter(speakers, "mark").bits)
 
@@ -170,10 +208,8 @@ def _texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link."""
-    pairs = cut_lineage(pairs)
-    texts = _texts(docs, members, pairs)
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link; ``texts`` (cls, text) has their classes."""
     full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,20 +238,23 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     prefixes = _prefixes(docs, size, percent, sketch)
     shared = prefixes.groupBy("gram").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last")
     lists = cut_lineage(prefixes.join(shared, "gram").dropDuplicates(["gram", "cls"]))
-    side = lambda df, s, *more: df.select("gram", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", *(["comp"] if "comp" in df.columns else []))])
+    side = lambda df, s, *more: df.select("gram", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", *(x for x in ("comp", "bits") if x in df.columns))])
     pair = F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")
     # Two hubs for each shared n-gram, then whatever pairs still lie between components.
     hubs = side(lists.where("cls = first or cls = last"), "b")
     tried = side(lists, "a").join(hubs, "gram").where(F.expr("cls_a <> cls_b") & _possible("a", "b", percent)).select(*pair).distinct()
     tried = cut_lineage(tried)
-    links = _verified(tried, docs, members, size, percent)
+    ends = tried.select(F.col("a").alias("cls")).unionByName(tried.select(F.col("b").alias("cls"))).distinct()
+    links = _verified(tried, _texts(docs, members, ends), size, percent)
     comps = components(links)
     known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
     rows = cut_lineage(known.join(major.where("comps > 1"), "gram"))
+    texts = _texts(docs, members, rows.select("cls").distinct())
+    rows = rows.join(_parities(texts, size, percent), "cls")
     apart = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
-    pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent)).select(*pair).distinct()
-    more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, members, size, percent)
+    pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent) & _may_link("a", "b", percent)).select(*pair).distinct()
+    more = _verified(cut_lineage(pairs.join(tried, ["a", "b"], "left_anti")), texts, size, percent)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = comps.withColumnRenamed("node", "cls")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from msgsieve.llm import queries, suffix_index
+from msgsieve.llm import ngram_join, queries, suffix_index
 from msgsieve.llm.chat import preference_turns, repeated_reply_pairs
 from msgsieve.llm.decontaminate import benchmark_matches, clean_documents, contaminated_documents
 from msgsieve.llm.exact_dedup import exact_duplicates
@@ -469,3 +469,28 @@ def test_pipeline(spark, tmp_path):
         if name == "token_ids":
             assert out.count() == len(before)
         held = out
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(4)
+    for n, m in ((3, 3), (50, 55), (400, 340), (2000, 2300)):
+        a = np.unique(r.integers(0, 2 ** 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], r.integers(0, 2 ** 63, m - n // 2, dtype=np.uint64))))
+        x, y = ngram_join.parity_bits(a, 80), ngram_join.parity_bits(b, 80)
+        while len(x) != len(y):
+            x, y = (x[:len(x) // 2] ^ x[len(x) // 2:], y) if len(x) > len(y) else (x, y[:len(y) // 2] ^ y[len(y) // 2:])
+        assert sum(int(v & (2 ** 64 - 1)).bit_count() for v in (x ^ y).tolist()) <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_under_the_threshold(spark):
+    """Copies of one text that each lack other words: few of the many candidate pairs link, sets of unlike sizes meet folded parities."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(r.choice([0, 2, 4, 8])):
+            text[r.randrange(len(text))] = f"x{i}"
+        rows.append((i, " ".join(text + [f"t{i % 9}"] * r.choice([0, 1, 12])), "a"))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_groups(corpus(spark, rows), 4, 85).collect()}
+    assert got == {i: low for i, _, low in brute_groups(rows, 4, 85)}
