@@ -17,35 +17,35 @@ from msgsieve.llm.mixing import mixed_documents
 from msgsieve.llm.ngram_join import keep_one_of_each
 from msgsieve.llm.token_store import read_store, write_store
 from msgsieve.llm.toxicity import drop_toxic, fit_toxicity, learnable
-from msgsieve.session import ship
+from msgsieve.session import prepare, ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go."""
-    labels = table(ship(spark), sf_dir, "labels").where(learnable(F.col("doc_id")))
+    labels = table(prepare(ship(spark)), sf_dir, "labels").where(learnable(F.col("doc_id")))
     return drop_toxic(docs, fit_toxicity(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 over five words, the smallest id stays."""
-    ship(spark)
+    prepare(ship(spark))
     return keep_one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage like a benchmark item go."""
-    return clean_documents(docs, table(ship(spark), sf_dir, "benchmark"))
+    return clean_documents(docs, table(prepare(ship(spark)), sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship(spark)
+    prepare(ship(spark))
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written to a store and read back: one row per document."""
-    path = scratch(ship(spark), "token-store")
+    path = scratch(prepare(ship(spark)), "token-store")
     write_store(docs, public_tokenizers.path("word_bpe_49k.json"), path)
     return read_store(spark, path)
 

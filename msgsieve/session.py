@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts travel to Python workers in small batches.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Keep the map-side cut of per-key top-k also for the larger k of samples and vocabularies.
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     # Keyed streaming state with TTL needs the RocksDB provider.
