@@ -13,7 +13,11 @@
 5. Groups: first every class meets two hubs of each prefix n-gram it shares.
    Then every candidate pair whose components still differ is tried, so no
    link between groups is lost, and none inside a group is needed.  A list of
-   near copies thus costs about its length, not its square.
+   near copies thus costs about its length, not its square.  Near copies that
+   stay under the threshold would leave many pairs: for the classes of lists of
+   ``CROWDED`` entries or more, a parity sketch of each set, which bounds the
+   difference of two sets from below, drops almost all of these pairs before
+   any text is fetched.
 
 N-grams and sets are 64-bit hashes: among 10**9 classes, about 0.03 pairs of
 different sets would be taken for equal.
@@ -42,6 +46,7 @@ from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_span
 
 SKETCH_BITS = 20
 SKETCH_PART = 4096
+CROWDED = 32
 
 
 def ngram_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -113,7 +118,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
 
     differ = F.when(F.size(bits_a) >= F.size(bits_b), gap(folded(bits_a, bits_b), bits_b)).otherwise(gap(bits_a, folded(bits_b, bits_a)))
-    return differ * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent)
+    return F.coalesce(differ * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent), F.lit(True))
 
 
 def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -208,8 +213,10 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link; ``texts`` (cls, text) has their classes."""
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link."""
+    pairs = cut_lineage(pairs)
+    texts = _texts(docs, members, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
     full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +251,16 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     hubs = side(lists.where("cls = first or cls = last"), "b")
     tried = side(lists, "a").join(hubs, "gram").where(F.expr("cls_a <> cls_b") & _possible("a", "b", percent)).select(*pair).distinct()
     tried = cut_lineage(tried)
-    ends = tried.select(F.col("a").alias("cls")).unionByName(tried.select(F.col("b").alias("cls"))).distinct()
-    links = _verified(tried, _texts(docs, members, ends), size, percent)
+    links = _verified(tried, docs, members, size, percent)
     comps = components(links)
     known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("length"))
     rows = cut_lineage(known.join(major.where("comps > 1"), "gram"))
-    texts = _texts(docs, members, rows.select("cls").distinct())
-    rows = rows.join(_parities(texts, size, percent), "cls")
+    crowded = rows.where(F.col("length") >= CROWDED).select("cls").distinct()
+    rows = rows.join(_parities(_texts(docs, members, crowded), size, percent), "cls", "left")
     apart = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
     pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent) & _may_link("a", "b", percent)).select(*pair).distinct()
-    more = _verified(cut_lineage(pairs.join(tried, ["a", "b"], "left_anti")), texts, size, percent)
+    more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, members, size, percent)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = comps.withColumnRenamed("node", "cls")
