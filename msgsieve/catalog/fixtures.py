@@ -171,6 +171,16 @@ VIEWS["profiles"] = """
 SELECT c_name AS email, CAST((c_custkey * 41) % 101 AS double) / 100 AS threat_score FROM customer
 """
 
+# Two versions of a small classifier: word terms with their idf and weight, and the numbers around them.
+VIEWS["model_terms"] = """
+SELECT * FROM (VALUES (1, 'w', 'account', 1.5D0, 1.0D0), (1, 'w', 'lunch', 2.0D0, -1.0D0), (1, 'x', 'intercept', 0.0D0, 0.0D0), (1, 'x', 'platt_a', 0.0D0, 1.0D0), (1, 'x', 'platt_b', 0.0D0, 0.0D0),
+  (2, 'w', 'account', 1.4D0, 1.3D0), (2, 'w', 'verify', 1.9D0, 1.6D0), (2, 'w', 'package on hold', 2.2D0, 2.4D0), (2, 'w', 'claim your', 2.1D0, 1.9D0), (2, 'w', 'press', 1.7D0, 0.8D0),
+  (2, 'w', 'the', 0.4D0, -0.2D0), (2, 'w', 'and', 0.4D0, 0.3D0), (2, 'w', 'de', 0.5D0, -0.6D0), (2, 'w', 'lunch on friday', 2.6D0, -2.2D0), (2, 'w', 'newsletter', 1.8D0, -1.5D0),
+  (2, 'w', 'code', 1.3D0, 0.5D0), (2, 'w', 'update', 1.6D0, 0.7D0), (2, 'w', 'paypal', 1.2D0, 1.1D0), (2, 'w', 'github', 1.1D0, -1.4D0),
+  (2, 'x', 'intercept', 0.0D0, -0.15D0), (2, 'x', 'platt_a', 0.0D0, 1.8D0), (2, 'x', 'platt_b', 0.0D0, 0.1D0))
+AS t(version, kind, term, idf, weight)
+"""
+
 _cache: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -34,12 +34,14 @@ def _(i: Inputs):
     return lk.sms_with_handles(*_sms(i), how="inner")
 
 
-@query("J6_match_safe_senders", """
-WITH h AS (SELECT m.id, CASE r.match_type WHEN 'exact' THEN 1 WHEN 'pattern' THEN 2 ELSE 3 END AS tier, r.pattern
+SAFE = """h AS (SELECT m.id, CASE r.match_type WHEN 'exact' THEN 1 WHEN 'pattern' THEN 2 ELSE 3 END AS tier, r.pattern
   FROM messages m JOIN safe_rules r ON r.account_sub = m.account_sub AND contains(m.sender, '@') AND (
    (r.match_type='exact' AND lower(m.sender)=r.pattern) OR (r.match_type='pattern' AND lower(m.sender) LIKE r.pattern)
-   OR (r.match_type='domain' AND list_extract(string_split(lower(m.sender), '@'), -1) = r.pattern)))
-SELECT id, tier, pattern FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, pattern) AS rn FROM h) WHERE rn = 1""", "messages safe_rules")
+   OR (r.match_type='domain' AND list_extract(string_split(lower(m.sender), '@'), -1) = r.pattern))),
+safe AS (SELECT id, tier, pattern FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, pattern) AS rn FROM h) WHERE rn = 1)"""
+
+
+@query("J6_match_safe_senders", f"WITH {SAFE} SELECT id, tier, pattern FROM safe", "messages safe_rules")
 def _(i: Inputs):
     return lk.match_safe_senders(i.messages, i.view("safe_rules"))
 
@@ -159,6 +161,27 @@ def _(i: Inputs):
     return i.messages.select("id", lk.lookalike_host(s).alias("host"), lk.lookalike_brand(s).alias("brand")).filter("brand is not null")
 
 
+# Names and senders from the customer table: keys spelled with letters, hosts with odd edits.
+_LETTERS = "translate(lpad(CAST({} AS string), 7, '0'), '0123456789', 'bcdfghjkmn')"
+_IMITATED = f"""imitated AS (SELECT o_orderkey AS id, concat('x@', CASE o_orderkey % 6 WHEN 0 THEN w WHEN 1 THEN substr(w, 2) WHEN 2 THEN concat(substr(w, 1, 3), 'z', substr(w, 5)) WHEN 3 THEN concat(w, 'pay') WHEN 4 THEN concat('q', w, 'x') ELSE concat(w, 'secure') END,
+  CASE WHEN o_orderkey % 10 = 0 THEN '.com' ELSE '.example' END) AS sender, w FROM (SELECT o_orderkey, {_LETTERS.format('o_custkey')} AS w FROM orders)),
+names AS (SELECT c_custkey AS rank, {_LETTERS.format('c_custkey')} AS name, concat({_LETTERS.format('c_custkey')}, '.com') AS domain FROM customer)"""
+
+
+@query("J13_lookalike_table", f"""
+WITH {_IMITATED}, h AS (SELECT DISTINCT list_extract(string_split(sender, '@'), -1) AS host FROM imitated),
+s AS (SELECT host, regexp_replace(translate(split_part(host, '.', 1), '01345', 'oieas'), '[^a-z]', '', 'g') AS slug FROM h WHERE host NOT IN (SELECT domain FROM names)),
+p AS (SELECT host, name, row_number() OVER (PARTITION BY host ORDER BY rank) AS rn FROM s JOIN names ON slug = name OR (abs(length(slug) - length(name)) <= 1 AND levenshtein(slug, name) = 1)
+  OR (contains(slug, name) AND length(slug) <= length(name) + 3 AND levenshtein(substr(slug, 1, length(name) + 1), name) <= 1))
+SELECT id, host, name FROM imitated JOIN p ON host = list_extract(string_split(sender, '@'), -1) WHERE rn = 1""")
+def _(i: Inputs):
+    i.table("orders").createOrReplaceTempView("orders")
+    i.table("customer").createOrReplaceTempView("customer")
+    senders = i.spark.sql(f"WITH {_IMITATED} SELECT id, sender FROM imitated")
+    names = i.spark.sql(f"WITH {_IMITATED} SELECT name, rank, domain FROM names")
+    return lk.lookalike_names(senders, names.select("name", "rank"), names.select("domain"))
+
+
 @query("J14_typosquat_urls", f"""
 WITH links AS (SELECT id, unnest({q.scheme_urls('body')}) AS url FROM messages), {q.url_risk_cte('links', lx)} SELECT id, url, target AS typo_target FROM url_risk WHERE target IS NOT NULL""", "messages")
 def _(i: Inputs):

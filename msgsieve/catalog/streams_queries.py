@@ -4,9 +4,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-
+from msgsieve.catalog import fixtures
+from msgsieve.catalog.columns_queries import HIGH
+from msgsieve.catalog.keyed_queries import _ID
+from msgsieve.catalog.lookups_queries import SAFE, _GEO
 from msgsieve.catalog.registry import Inputs, ORACLES, query
 from msgsieve.catalog.rollups_queries import PS, _SEQ  # noqa: F401
+from msgsieve.catalog.verdict_queries import VERDICT
+from msgsieve.models import text_model as tm
 from msgsieve.operators import dedup
 from msgsieve.plans.ingest import batch_ingest
 from msgsieve.session import checkpoint_dir
@@ -33,10 +38,55 @@ def appended(i: Inputs, df, name: str):
     return i.spark.read.schema(df.schema).parquet(path)
 
 
-@query("R1_stream_score", "SELECT doc_id AS id, CASE WHEN " + " OR ".join(f"contains(lower(concat(text, ' gift card')), '{w}')" for w in ("wire transfer", "gift card")) + " THEN 'quarantine' ELSE 'pass' END AS action FROM documents")
+def message_stream(i: Inputs):
+    """The portable messages view over the documents as a stream; its other tables are static."""
+    i.messages
+    document_stream(i).createOrReplaceTempView("documents")
+    stream = i.spark.sql(fixtures.VIEWS["messages"].replace("D0)", "D)").replace("D0,", "D,"))
+    i.table("documents").createOrReplaceTempView("documents")
+    return stream
+
+
+def published_models(i: Inputs) -> str:
+    """Both versions of the model view, published in turn."""
+    path, rows = place(i, "models"), i.view("model_terms")
+    for version in (1, 2):
+        own = rows.filter(F.col("version") == version)
+        numbers = {r["term"]: float(r["weight"]) for r in own.filter("kind = 'x'").collect()}
+        terms = own.filter("kind = 'w'").withColumn("idx", F.pmod(F.xxhash64("term"), F.lit(2 ** 31 - 1)).cast("int"))
+        tm.publish_model(tm.TextModel(terms, (), (), numbers["intercept"], numbers["platt_a"], numbers["platt_b"], True), path, version)
+    return path
+
+
+def model_sql(text: str) -> str:
+    """CTEs up to ``ml`` (id, model_pred, model_conf): sums of term weights of the newest version."""
+    tok = f"regexp_extract_all(lower({text}), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1)"
+    return f"""mt AS (SELECT term, idf, weight FROM model_terms WHERE kind = 'w' AND version = (SELECT max(version) FROM model_terms)),
+mx AS (SELECT max(CASE WHEN term = 'intercept' THEN weight END) AS i0, max(CASE WHEN term = 'platt_a' THEN weight END) AS pa, max(CASE WHEN term = 'platt_b' THEN weight END) AS pb
+  FROM model_terms WHERE kind = 'x' AND version = (SELECT max(version) FROM model_terms)),
+mw AS (SELECT id, {text} AS t, {tok} AS t1 FROM messages),
+mg AS (SELECT id, unnest(list_concat(list_concat(t1, list_transform(range(1, greatest(len(t1), 1)), lambda i: array_to_string(list_slice(t1, i, i + 1), ' '))), list_transform(range(1, greatest(len(t1) - 1, 1)), lambda i: array_to_string(list_slice(t1, i, i + 2), ' ')))) AS term FROM mw),
+mc AS (SELECT id, term, (ln(count(*)) + 1) * any_value(idf) AS x, any_value(weight) AS w FROM mg JOIN mt USING (term) GROUP BY id, term),
+mm AS (SELECT id, sum(x * w) / sqrt(sum(x * x)) AS m FROM mc GROUP BY id),
+mp AS (SELECT mw.id, CASE WHEN length(trim(t)) = 0 THEN 0 ELSE 1 / (1 + exp(-((coalesce(m, 0) + i0) * pa + pb))) END AS p, length(trim(t)) = 0 AS blank FROM mw LEFT JOIN mm USING (id) CROSS JOIN mx),
+ml AS (SELECT id, (NOT blank AND p >= 0.5)::int AS model_pred, CASE WHEN blank THEN 0 WHEN p >= 0.5 THEN p ELSE 1 - p END AS model_conf FROM mp)"""
+
+
+@query("R1_stream_score", f"""
+WITH {VERDICT}, {model_sql("trim(concat(sender, ' ', body))")},
+s AS (SELECT pv.id, coalesce(policy_pred, model_pred) AS pred, coalesce(policy_confidence, model_conf) AS conf FROM pv JOIN ml USING (id))
+SELECT id, pred, round(conf, 6) AS conf, CASE WHEN pred = 1 AND conf >= 0.85 THEN 'quarantine' WHEN pred = 1 THEN 'review' ELSE 'pass' END AS action, 2 AS model_version FROM s""", "messages fleet model_terms")
+def _(i: Inputs):
+    out = place(i, "scored")
+    flow.score_available(message_stream(i), "smishing", published_models(i), out, place(i, "ckpt"), i.view("fleet"), ["id", "pred", "conf", "action", "model_version"])
+    return i.spark.read.schema("id bigint, pred int, conf double, action string, model_version int").parquet(out).withColumn("conf", F.round("conf", 6)).drop("batch")
+
+
+@query("R1_stream_policy", f"""
+WITH {VERDICT}, s AS (SELECT id, coalesce(policy_pred, 0) AS pred, coalesce(policy_confidence, 0.5) AS conf FROM pv)
+SELECT id, CASE WHEN pred = 1 AND conf >= 0.85 THEN 'quarantine' WHEN pred = 1 THEN 'review' ELSE 'pass' END AS action FROM s""", "messages fleet")
 def _(i: Inputs):
-    r = document_stream(i).select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" gift card")).alias("body"), F.col("source").alias("sender"))
-    return appended(i, flow.stream_score(r, "smishing").select("id", "action"), "score")
+    return appended(i, flow.stream_score(message_stream(i), "smishing", i.view("fleet")).select("id", "action"), "policy")
 
 
 @query("R3_retry_dead_letter", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'dead' ELSE 'stored' END AS place FROM events WHERE NOT (event_type = 'error' AND event_id % 5 = 0)")
@@ -130,12 +180,25 @@ def _(i: Inputs):
     return i.spark.read.schema("id bigint, batch_id int").parquet(good).select("id")
 
 
-@query("R15_batch_ingest")
+@query("R15_batch_ingest", f"""
+WITH fresh AS (SELECT id, received FROM messages WHERE id NOT IN (SELECT id FROM (WITH {_ID} SELECT id FROM best))),
+links AS (SELECT id, n FROM ({HIGH} SELECT id, n FROM high)),
+policy AS (SELECT id, policy_pred, policy_confidence FROM (WITH {VERDICT} SELECT * FROM pv)),
+model AS (SELECT * FROM (WITH {model_sql("trim(concat(sender, ' ', body))")} SELECT * FROM ml)),
+allowed AS (SELECT id, tier FROM (WITH {SAFE} SELECT * FROM safe)),
+place AS (SELECT ip, country_code, risk_level FROM (WITH {_GEO} SELECT * FROM geo)),
+origin AS (SELECT id, list_extract(list_sort(list_distinct(list_filter(regexp_extract_all(received, '\\b([0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}})\\b', 1),
+  lambda ip: len(list_filter(string_split(ip, '.'), lambda o: CAST(o AS int) > 255)) = 0 AND NOT regexp_matches(ip, '^(127\\.|10\\.|192\\.168\\.|172\\.16\\.|172\\.31\\.)')))), 1) AS ip FROM fresh),
+v AS (SELECT id, coalesce(links.n, 0) AS n, CASE WHEN tier IS NOT NULL THEN 0.02 ELSE coalesce(policy_confidence, model_conf) END AS c, CASE WHEN tier IS NOT NULL THEN 0 ELSE coalesce(policy_pred, model_pred) END AS p
+  FROM fresh JOIN policy USING (id) JOIN model USING (id) LEFT JOIN links USING (id) LEFT JOIN allowed USING (id))
+SELECT v.id, CASE WHEN n > 0 THEN 1 ELSE p END AS is_threat, round(CASE WHEN n > 0 THEN greatest(c, 0.85) ELSE c END, 6)::DOUBLE AS confidence, country_code, risk_level, n::int AS high_risk_links
+FROM v JOIN origin USING (id) LEFT JOIN place ON place.ip = origin.ip""", "messages fleet ip_ranges safe_rules model_terms")
 def _(i: Inputs):
     m = i.messages.withColumn("ingest_fp", F.sha2("body", 256))
     stored = m.filter(F.col("label").isNotNull())
-    out = batch_ingest(m, stored, i.view("fleet"), i.view("ip_ranges"), i.view("safe_rules"))
-    return out.select("id", "is_threat", "confidence", "country_code", "risk_level", "high_risk_links")
+    model = tm.load_model(i.spark, published_models(i))
+    out = batch_ingest(m, stored, i.view("fleet"), i.view("ip_ranges"), i.view("safe_rules"), model=model)
+    return out.select("id", "is_threat", F.round("confidence", 6).alias("confidence"), "country_code", "risk_level", "high_risk_links")
 
 
 @query("A21_stream_stats", "SELECT count(*) AS submitted, count_if(event_type <> 'error')::bigint AS processed, count_if(event_type='error')::bigint AS dead_lettered, count_if(event_type='click')::bigint AS threats, round(avg(CASE WHEN event_type <> 'error' THEN value END), 6) AS avg_latency_ms, 0 AS dropped FROM events")

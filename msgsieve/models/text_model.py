@@ -36,6 +36,49 @@ class TextModel:
     platt_a: float = 1.0
     platt_b: float = 0.0
     calibrated: bool = False
+    kinds: str = "wc"
+    version: int = 0
+
+
+MODEL_ROWS = "kind string, term string, idx int, idf double, weight double"
+
+
+def publish_model(model: TextModel, path: str, version: int) -> None:
+    """Write ``model`` as one version of the model table under ``path``; versions that are there stay as they are.
+
+    A version is complete or absent: readers look for the marker that Spark's
+    writer leaves when all of its files are there.
+    """
+    numbers = [("intercept", model.intercept), ("platt_a", model.platt_a), ("platt_b", model.platt_b), ("calibrated", float(model.calibrated)),
+               *[(f"s:{name}", w) for name, w in zip(model.structural, model.structural_weights)]]
+    extras = model.terms.sparkSession.createDataFrame([("x", name, i, 0.0, float(v)) for i, (name, v) in enumerate(numbers)], MODEL_ROWS)
+    rows = model.terms.select("kind", "term", F.col("idx").cast("int").alias("idx"), "idf", "weight").unionByName(extras)
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/version={version}")
+
+
+def newest_version(spark, path: str) -> int | None:
+    """The highest complete version under ``path``, asked from whatever store holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return None
+    names = [f.getPath().getName() for f in store.listStatus(place)]
+    ready = [int(n.split("=")[1]) for n in names if n.startswith("version=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(ready, default=None)
+
+
+def load_model(spark, path: str, version: int | None = None) -> TextModel | None:
+    """A published version of the model, the newest unless one is named."""
+    version = newest_version(spark, path) if version is None else version
+    if version is None:
+        return None
+    rows = spark.read.schema(MODEL_ROWS).parquet(f"{path}/version={version}")
+    numbers = {r["term"]: r["weight"] for r in rows.filter("kind = 'x'").orderBy("idx").collect()}  # a row per structural feature
+    terms = rows.filter("kind <> 'x'")
+    kinds = "".join(sorted(r["kind"] for r in terms.select("kind").distinct().collect()))
+    names = [n for n in numbers if n.startswith("s:")]
+    return TextModel(terms, tuple(n[2:] for n in names), tuple(numbers[n] for n in names), numbers["intercept"], numbers["platt_a"], numbers["platt_b"],
+                     bool(numbers["calibrated"]), kinds or "w", version)
 
 
 def word_list(text: Column) -> Column:
@@ -166,7 +209,7 @@ def train_classifier(df: DataFrame, structural: list[str] | None = None, reg: fl
 def margins(model: TextModel, df: DataFrame, text: str = "text", x: DataFrame | None = None) -> DataFrame:
     """Add ``margin`` by a join with the term table and a sum per message; ``x`` are ready term rows."""
     if x is None:
-        x = tfidf_rows(term_counts(df, text), model.terms.select("kind", "term", "idx", "idf", "weight"))
+        x = tfidf_rows(term_counts(df, text, model.kinds), model.terms.select("kind", "term", "idx", "idf", "weight"))
     else:
         x = x.join(F.broadcast(model.terms.select("idx", "weight")), "idx")
     part = x.groupBy("id").agg(F.sum(F.col("x") * F.col("weight")).alias("_m"))

@@ -26,19 +26,62 @@ def sms_with_handles(messages: DataFrame, handles: DataFrame, how: str = "left",
 
 
 # --- sender lists ------------------------------------------------------------
+GRAMS = (8, 4, 2, 1)
+
+
+def pattern_keys(pattern: Column) -> Column:
+    """The index key (kind, key) of a LIKE pattern, from its longest literal piece.
+
+    ``p``: the piece begins the pattern, ``s``: it ends it, ``g``: the first 8,
+    4, 2 or 1 characters of a piece in the middle, ``a``: no piece, or an escape
+    that hides one.  Every text that matches the pattern has the key among its
+    ``text_keys``.
+    """
+    piece = F.reduce(F.split(pattern, "[%_]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    gram = F.coalesce(*[F.when(F.length(piece) >= n, F.substring(piece, 1, n)) for n in GRAMS])
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    return (F.when(pattern.contains("\\") | (piece == ""), key("a", F.lit(""))).when(F.startswith(pattern, piece), key("p", piece))
+            .when(F.endswith(pattern, piece), key("s", piece)).otherwise(key("g", gram)))
+
+
+def text_keys(text: Column) -> Column:
+    """All (kind, key) under which a pattern that matches ``text`` may be filed."""
+    n = F.length(text)
+    spans = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+
+    def keys(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("key")))
+
+    def grams(size: int) -> Column:
+        return F.filter(F.transform(spans, lambda i: F.substring(text, i, F.lit(size))), lambda x: F.length(x) == size)
+
+    return F.array_distinct(F.concat(
+        keys("a", F.array(F.lit(""))), keys("p", F.transform(spans, lambda i: F.substring(text, F.lit(1), i))),
+        keys("s", F.transform(spans, lambda i: F.substring(text, i, n))), *[keys("g", grams(size)) for size in GRAMS]))
+
+
 def match_safe_senders(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Best rule per message as (id, tier, pattern): exact sender, then pattern, then domain.
 
-    The pattern test runs once per distinct (tenant, sender), not per message.
+    The tests run once per distinct (tenant, sender), not per message.  Exact
+    and domain rules are equal joins.  Patterns are filed under a key from
+    their longest literal piece and meet only senders that have the key; LIKE
+    comes last, so a tenant's rules and senders are never paired as a whole.
     """
     pairs = (df.filter(F.col("sender").contains("@")).select("account_sub", "sender").distinct()
              .withColumn("_s", F.lower("sender")).withColumn("_d", F.element_at(F.split("_s", "@"), -1)))
-    hit = pairs.join(rules, "account_sub").filter(
-        ((F.col("match_type") == "exact") & (F.col("_s") == F.col("pattern")))
-        | ((F.col("match_type") == "pattern") & F.like("_s", F.col("pattern")))
-        | ((F.col("match_type") == "domain") & (F.col("_d") == F.col("pattern"))))
-    tier = F.when(F.col("match_type") == "exact", 1).when(F.col("match_type") == "pattern", 2).otherwise(3)
-    best = hit.groupBy("account_sub", "sender").agg(F.min(F.struct(tier.alias("tier"), "pattern")).alias("b"))
+
+    def equal(kind: str, tier: int, on: str) -> DataFrame:
+        own = rules.filter(F.col("match_type") == kind).select("account_sub", F.col("pattern").alias(on)).distinct()
+        return pairs.join(own, ["account_sub", on]).select("account_sub", "sender", F.lit(tier).alias("tier"), F.col(on).alias("pattern"))
+
+    patterns = rules.filter(F.col("match_type") == "pattern").select("account_sub", "pattern").distinct()
+    filed = patterns.withColumn("_k", pattern_keys(F.col("pattern"))).select("account_sub", "pattern", "_k.kind", "_k.key")
+    asked = pairs.join(patterns.select("account_sub").distinct(), "account_sub", "left_semi").select("account_sub", "sender", "_s", F.explode(text_keys(F.col("_s"))).alias("_k"))
+    likely = asked.select("account_sub", "sender", "_s", "_k.kind", "_k.key").join(filed, ["account_sub", "kind", "key"])
+    like = likely.filter(F.like("_s", F.col("pattern"))).select("account_sub", "sender", F.lit(2).alias("tier"), "pattern")
+    hit = equal("exact", 1, "_s").unionByName(like).unionByName(equal("domain", 3, "_d"))
+    best = hit.groupBy("account_sub", "sender").agg(F.min(F.struct("tier", "pattern")).alias("b"))
     return df.join(best, ["account_sub", "sender"]).select("id", "b.tier", "b.pattern")
 
 
@@ -193,6 +236,42 @@ def lookalike_brand(sender: Column) -> Column:
     return F.when(host.contains(".") & ~real & (F.length(slug) >= 4), first)
 
 
+def one_letter_deletions(name: Column) -> Column:
+    """The name and every form of it that lacks one letter: names at edit distance 1 share a form."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), cut))
+
+
+def lookalike_names(df: DataFrame, names: DataFrame, real: DataFrame) -> DataFrame:
+    """(id, host, name) for senders whose host imitates a name of a table of any size.
+
+    ``names`` has (name, rank), lower-case letters; the least rank wins.
+    ``real`` (domain) has the owners' domains; hosts at or below one are left
+    out.  A slug imitates a name when it is the same, one edit away, or holds
+    it with at most three letters more (names of five letters on).  The first
+    two tests join on shared one-letter deletions, the third on the slug's few
+    substrings of that length, so no slug meets a name that shares nothing.
+    """
+    hosts = df.select("id", lookalike_host(F.col("sender")).alias("host"))
+    slugs = hosts.filter(F.col("host").contains(".")).select("host").distinct()
+    slugs = slugs.withColumn("slug", _brand_slug(F.split_part(F.col("host"), F.lit("."), F.lit(1)))).filter(F.length("slug") >= 4)
+    owned = slugs.select("host", F.explode(urls.parent_domains(F.col("host"))).alias("domain")).join(real.select("domain").distinct(), "domain", "left_semi")
+    slugs = slugs.join(owned.select("host").distinct(), "host", "left_anti")
+    size = F.length("slug")
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(3), size - 5)), lambda less: F.transform(
+        F.sequence(F.lit(1), less + 1), lambda i: F.substring(F.col("slug"), i, size - less))))
+    forms = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("form")))
+    held = F.when(size >= 5, inner).otherwise(F.array().cast("array<string>"))
+    asked = slugs.select("host", "slug", F.explode(F.concat(forms("d", one_letter_deletions(F.col("slug"))), forms("i", F.array_distinct(held)))).alias("k"))
+    filed = names.select("name", "rank", F.explode(F.concat(forms("d", one_letter_deletions(F.col("name"))), forms("i", F.array("name")))).alias("k"))
+    pairs = asked.select("host", "slug", "k.*").join(filed.select("name", "rank", "k.*"), ["kind", "form"])
+    n = F.length("name")
+    near = F.levenshtein(F.col("slug"), F.col("name"), 1) >= 0
+    within = (n >= 5) & (size <= n + 3) & F.contains(F.col("slug"), F.col("name")) & (F.levenshtein(F.substring(F.col("slug"), F.lit(1), n + 1), F.col("name"), 1) >= 0)
+    best = pairs.filter(near | within).groupBy("host").agg(F.min_by("name", F.struct("rank", "name")).alias("name"))
+    return hosts.join(best, "host").select("id", "host", "name")
+
+
 def typosquat_urls(links: DataFrame) -> DataFrame:
     return (links.withColumn("typo_target", urls.typosquat_target(urls.netloc(F.col("url"))))
             .filter(F.col("typo_target").isNotNull()))
