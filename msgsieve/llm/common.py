@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgsieve.session import checkpoint_dir, cut_lineage
 
-__all__ = ["as_columns", "ascii_lower", "cut_lineage", "scratch", "table"]
+__all__ = ["as_columns", "ascii_lower", "cut_lineage", "scratch", "table", "tidy"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,3 +34,17 @@ def ascii_lower(text: Column) -> Column:
 def as_columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; columns of other names never reach an operator."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches; the Python worker, which serves other tasks next, then hands back the memory it no longer uses."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgsieve.llm.common import as_columns
+from msgsieve.llm.common import as_columns, tidy
 from msgsieve.llm.words import sequence_hashes, text_chunks, word_hashes, word_spans
 
 BLOCK_BYTES = 4 << 20
@@ -186,7 +186,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, simi
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word"])
 
-        found = found.unionByName(docs.mapInArrow(scan, schema))
+        found = found.unionByName(docs.mapInArrow(tidy(scan), schema))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("at"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).alias("first_word"))
 
@@ -204,7 +204,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, simila
                 keep[[row for row, _ in match(batch)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(tidy(scan), docs.schema)
     return docs
 
 

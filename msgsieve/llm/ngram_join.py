@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgsieve.llm.common import as_columns, cut_lineage, scratch
+from msgsieve.llm.common import as_columns, cut_lineage, scratch, tidy
 from msgsieve.llm.components import components
 from msgsieve.llm.hash_filter import HashFilter, build_filter
 from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_spans
@@ -101,7 +101,7 @@ def _parities(texts: DataFrame, size: int, percent: int) -> DataFrame:
             bits = [parity_bits(grams, percent) for grams in ngram_sets(batch, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tolist() for b in bits], pa.list_(pa.int64()))], ["cls", "bits"])
 
-    return cut_lineage(texts.select("cls", "text").mapInArrow(scan, "cls long, bits array<long>"))
+    return cut_lineage(texts.select("cls", "text").mapInArrow(tidy(scan), "cls long, bits array<long>"))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -149,7 +149,7 @@ def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarr
 
     spark = docs.sparkSession
     path = scratch(spark, "ngram-classes")
-    docs.mapInArrow(scan, "doc_id long, mark long, n long, cls long, part int, counts binary").withColumn("task", F.pmod(F.spark_partition_id(), F.lit(1024))).write.parquet(path)
+    docs.mapInArrow(tidy(scan), "doc_id long, mark long, n long, cls long, part int, counts binary").withColumn("task", F.pmod(F.spark_partition_id(), F.lit(1024))).write.parquet(path)
     found = spark.read.parquet(path)
     pieces = found.where("part is not null").select("part", "task", "counts")
     some = pieces.groupBy("part", "task").applyInPandas(add, "part int, counts binary")
@@ -191,7 +191,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> D
             if grams_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams_out, cls_out, n_out, pos_out)], ["gram", "cls", "n", "pos"])
 
-    return docs.select("text").mapInArrow(scan, "gram long, cls long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(scan), "gram long, cls long, n int, pos int")
 
 
 def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(wanted(batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    some = docs.select("text", "mark").mapInArrow(keep, "text string, mark long")
+    some = docs.select("text", "mark").mapInArrow(tidy(keep), "text string, mark long")
     path = scratch(docs.sparkSession, "ngram-texts")
     some.join(speakers, "mark").select("cls", "text").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -228,7 +228,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int,
                 keep.append(overlap_bound(x, y) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut_lineage(full.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"))
+    return cut_lineage(full.select("a", "b", "text_a", "text_b").mapInArrow(tidy(test), "a long, b long"))
 
 
 def _possible(a: str, b: str, percent: int) -> Column:

@@ -34,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from msgsieve.llm.common import as_columns
+from msgsieve.llm.common import as_columns, tidy
 
 STEP = 512
 SHARD_TOKENS = 1 << 18
-CACHED_PIECES = 900_000
+CACHED_PIECES = 400_000
 # The normaliser and splitter whose cuts are made here.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {"type": "Sequence", "pretokenizers": [
@@ -217,7 +217,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
         if held:
             yield out()
 
-    rows.select("part", "doc_id", "text").mapInPandas(shards, SHARD).write.parquet(path)
+    rows.select("part", "doc_id", "text").mapInPandas(tidy(shards), SHARD).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -245,5 +245,5 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                                     "n_tokens": ends - starts, "ids_crc32": sums})
 
     docs = shards.select("part", "shard", "doc_ids", "doc_tokens", "codes").mapInPandas(
-        documents, "part int, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+        tidy(documents), "part int, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgsieve.llm.common import as_columns
+from msgsieve.llm.common import as_columns, tidy
 from msgsieve.llm.words import PUNCTUATION, mix64, text_chunks, word_hashes, word_spans
 
 HASH_BITS = 28
@@ -138,8 +138,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 35.0 if ones else -35.0)
     sample = known.where("toxic = 1").orderBy("pick", "doc_id").limit(per_class).unionByName(known.where("toxic = 0").orderBy("pick", "doc_id").limit(per_class))
     texts = as_columns(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInArrow(_feature_rows, "order long, toxic int, features binary")
-    got = rows.repartition(1).sortWithinPartitions("order", "toxic", "features").mapInPandas(_fit_task, "index binary, weight binary, intercept double").collect()
+    rows = texts.mapInArrow(tidy(_feature_rows), "order long, toxic int, features binary")
+    got = rows.repartition(1).sortWithinPartitions("order", "toxic", "features").mapInPandas(tidy(_fit_task), "index binary, weight binary, intercept double").collect()
     if not got:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -35.0)
     return ToxicityModel(np.frombuffer(got[0]["index"], "<i8"), np.frombuffer(got[0]["weight"], "<f8"), got[0]["intercept"])
@@ -167,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | Non
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(at, end - at) for c in carry]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], [*carry, name])
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(score, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(score), schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
