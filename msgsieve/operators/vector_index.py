@@ -82,6 +82,9 @@ def decode(lists: np.ndarray, codes: np.ndarray, centres: np.ndarray, books: np.
 def _centres(sample: DataFrame, lists: int) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    distinct = sample.select("vec").distinct().limit(lists + 1).collect()
+    if len(distinct) <= lists:
+        return np.array([r["vec"] for r in distinct], dtype="float32")
     rows = sample.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     return np.array(KMeans(k=lists, seed=7, maxIter=10).fit(rows).clusterCenters(), dtype="float32")
 
