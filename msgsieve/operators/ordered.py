@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from msgsieve.operators.lives import opens, with_record
+
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per key as ``rank`` 1..k.
@@ -111,7 +113,17 @@ def ordered_fold(df: DataFrame, keys: list[str], ts: str, tie: str, step: Callab
 
 
 def request_rate(events: DataFrame, limit: int = 30, window_us: int = 60_000_000) -> DataFrame:
-    """Allowed or not, at most ``limit`` allowed requests in the trailing minute; refused ones do not count."""
+    """Allowed or not, at most ``limit`` allowed requests in the trailing minute; refused ones do not count.
+
+    With one request a window the allowed ones are found by doubled pointers;
+    more need the order of the key.
+    """
+    rows = events.select("id", "key", "ts")
+    if limit == 1:
+        left = (window_us - (F.col("_t") - F.col("record.born"))) / 1e6
+        return (with_record(rows, ["key"], "ts", "id", window_us, []).withColumn("allowed", opens("id"))
+                .select("id", "key", "allowed", F.when(F.col("allowed"), 0.0).otherwise(left).alias("retry_after")))
+
     def step(state, row):
         recent = [t for t in (state or []) if row["_t"] - t < window_us]
         ok = len(recent) < limit
@@ -119,7 +131,7 @@ def request_rate(events: DataFrame, limit: int = 30, window_us: int = 60_000_000
             recent.append(row["_t"])
         return recent, {"id": row["id"], "key": row["key"], "allowed": ok, "retry_after": 0.0 if ok else (window_us - (row["_t"] - recent[0])) / 1e6}
 
-    return ordered_fold(events.select("id", "key", "ts"), ["key"], "ts", "id", step,
+    return ordered_fold(rows, ["key"], "ts", "id", step,
                         f"id long, key {events.schema['key'].dataType.simpleString()}, allowed boolean, retry_after double", window_us)
 
 
@@ -149,15 +161,10 @@ def duplicate_requests(log: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
     A key's record lives for the TTL from its first request; ``done_us`` is the
     time that request takes.
     """
-    def step(state, row):
-        if state is None or row["_t"] - state[0] > ttl_us:
-            return (row["_t"], row["request_hash"], row["done_us"]), {"id": row["id"], "key": row["key"], "verdict": "new"}
-        born, digest, done = state
-        kind = "conflict" if digest != row["request_hash"] else "replay" if row["_t"] >= born + done else "in_flight"
-        return state, {"id": row["id"], "key": row["key"], "verdict": kind}
-
-    return ordered_fold(log.select("id", "key", "ts", "request_hash", "done_us"), ["key"], "ts", "id", step,
-                        f"id long, key {log.schema['key'].dataType.simpleString()}, verdict string", ttl_us + 1)
+    rows = with_record(log.select("id", "key", "ts", "request_hash", "done_us"), ["key"], "ts", "id", ttl_us + 1, ["request_hash", "done_us"])
+    verdict = (F.when(opens("id"), "new").when(~F.col("record.request_hash").eqNullSafe(F.col("request_hash")), "conflict")
+               .when(F.col("_t") >= F.col("record.born") + F.col("record.done_us"), "replay").otherwise("in_flight"))
+    return rows.select("id", "key", verdict.alias("verdict"))
 
 
 # --- action queue ------------------------------------------------------------
