@@ -159,15 +159,32 @@ def _(i: Inputs):
     return appended(i, event_stream(i).select("event_id"), "poll").agg(F.count("*").alias("rows"))
 
 
-@query("R13_stream_fleet_counts")
+def fleet_report_stream(i: Inputs):
+    return event_stream(i).select(F.col("ts").alias("created_at"), F.concat(F.lit("bulk"), (F.col("event_id") % 9).cast("string")).alias("sender_key"),
+                                  F.concat(F.lit("acct"), F.col("user_id").cast("string")).alias("account_sub"), (F.col("event_type") == "view").alias("expected"))
+
+
+# Windows end at midnight; those that the watermark (a day behind the newest unexpected report) has passed are closed.
+_FLEET = """
+r AS (SELECT epoch_us(ts) AS t, concat('bulk', event_id % 9) AS sender_key, user_id FROM events WHERE event_type <> 'view'),
+k AS (SELECT (t // 86400000000 + 1 + d) * 86400000000 AS window_us, sender_key, user_id FROM r, range(30) AS x(d)),
+f AS (SELECT window_us, sender_key, count(DISTINCT user_id) AS reporters FROM k WHERE window_us <= (SELECT max(t) FROM r) - 86400000000 GROUP BY 1, 2)"""
+
+
+@query("R13_stream_fleet_counts", f"WITH {_FLEET} SELECT window_us, sender_key, reporters FROM f")
 def _(i: Inputs):
-    r = event_stream(i).select(F.col("ts").alias("created_at"), F.concat(F.lit("bulk"), (F.col("event_id") % 9).cast("string")).alias("sender_key"),
-                               F.concat(F.lit("acct"), (F.col("user_id") % 7).cast("string")).alias("account_sub"), (F.col("event_type") == "view").alias("expected"))
-    path = place(i, "fleet")
-    q = (flow.stream_fleet_counts(r).writeStream.outputMode("complete").option("checkpointLocation", place(i, "ckpt"))
-         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return i.spark.read.schema("window_end timestamp, sender_key string, reporters bigint").parquet(path)
+    out = appended(i, flow.stream_fleet_counts(fleet_report_stream(i)), "fleet")
+    return out.select(F.unix_micros("window_end").alias("window_us"), "sender_key", "reporters")
+
+
+@query("R13_sketch_error", f"WITH {_FLEET} SELECT sender_key, count(*) AS windows, true AS within FROM f GROUP BY 1")
+def _(i: Inputs):
+    """Closed windows per key, and whether no sketch is off by more than five of its standard deviations."""
+    exact = appended(i, flow.stream_fleet_counts(fleet_report_stream(i)), "fleet")
+    sketch = appended(i, flow.stream_fleet_sketch(fleet_report_stream(i)), "fleet-sketch").withColumnRenamed("reporters", "about")
+    both = exact.join(sketch, ["window_end", "sender_key"], "full")
+    off = F.abs(F.col("about") - F.col("reporters")) / F.col("reporters")
+    return both.groupBy("sender_key").agg(F.count("*").alias("windows"), F.every(F.coalesce(off <= 5 * 0.05, F.lit(False))).alias("within"))
 
 
 @query("R4_durable_persist", "SELECT event_id AS id FROM events WHERE event_id % 10 <> 3")

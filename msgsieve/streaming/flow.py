@@ -92,12 +92,26 @@ def stream_kpis(df: DataFrame, ts: str = "ts", delay: str = "2 hours") -> DataFr
             .agg(F.count("*").alias("threats")).select(F.col("w.start").alias("hour"), "channel", "threats"))
 
 
+def fleet_reports(df: DataFrame, delay: str) -> DataFrame:
+    """Unexpected reports with a sender key and a reporter, and the 30-day windows moved daily that hold them."""
+    return (df.filter((F.col("expected") == F.lit(False)) & F.col("sender_key").isNotNull() & F.col("account_sub").isNotNull())
+            .withWatermark("created_at", delay).select(F.window("created_at", "30 days", "1 day").alias("w"), "sender_key", "account_sub"))
+
+
 def stream_fleet_counts(df: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Approximate distinct reporters per sender key over 30 days, moved daily.
+    """Exact distinct reporters per sender key over 30 days, moved daily; each window is emitted once, when it is closed.
 
-    The sketch keeps state small; the exact count is the batch job.
+    Two stateful operators in a row: the first lets each reporter of a key and
+    window through once and forgets it with the window, the second counts.  The
+    state of the first is spread by reporter, so a key that everybody reports
+    is no hot group; the second keeps one number a key and window.
     """
-    return (df.filter(F.col("expected") == F.lit(False)).withWatermark("created_at", delay)
-            .groupBy(F.window("created_at", "30 days", "1 day").alias("w"), "sender_key")
-            .agg(F.approx_count_distinct("account_sub").alias("reporters"))
+    once = fleet_reports(df, delay).dropDuplicates(["w", "sender_key", "account_sub"])
+    return (once.groupBy("w", "sender_key").agg(F.count("*").alias("reporters"))
+            .select(F.col("w.end").alias("window_end"), "sender_key", "reporters"))
+
+
+def stream_fleet_sketch(df: DataFrame, delay: str = "1 day", rsd: float = 0.05) -> DataFrame:
+    """The same counts from a sketch of fixed size a key and window, with relative standard deviation ``rsd``."""
+    return (fleet_reports(df, delay).groupBy("w", "sender_key").agg(F.approx_count_distinct("account_sub", rsd).alias("reporters"))
             .select(F.col("w.end").alias("window_end"), "sender_key", "reporters"))
