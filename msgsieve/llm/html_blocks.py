@@ -190,18 +190,22 @@ Open = tuple[str, bool, bool, bool, bool, bool, bool, int]
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
     """(text, words, words in links, frame, side, main, heading) of each block with text, in page order.
 
-    A form, or an element with a side word, that holds more than half of the
-    page's words is the page itself and no form or sidebar; so is one around
-    the ``main`` element.  Comments and teasers stay out also as articles.
+    A form, or an element with a side word, that holds an article and more
+    than half of the page's words is the page itself and no form or sidebar;
+    so is one around the ``main`` element, and a form with most words of a
+    page without articles.  Comments and teasers stay out also as articles.
     """
     blocks, parts, links = [], [], 0
     stack: list[Open] = [("", False, False, False, False, False, False, -1)]
     state = stack[0]
     opened: Counter[str] = Counter()
-    # Containers that may be the page: the one around, words in it, whether it holds the ``main`` element.
+    articles = 0
+    # Containers that may be the page: the one around, words in it, whether it is a form, whether it holds main or an article.
     around: list[int] = []
     sizes: list[int] = []
+    is_form: list[bool] = []
     holds_main: list[bool] = []
+    holds_article: list[bool] = []
 
     def close() -> None:
         nonlocal parts, links
@@ -262,13 +266,17 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]
         talk = named and not TALK_WORDS.isdisjoint(words)
         main = tag in MAIN or (bool(words) and not named and not MAIN_WORDS.isdisjoint(words) and tag in ("div", "section", "td"))
         _, silent, frame, side, in_main, heading, link, doubtful = state
-        if tag == "main" and doubtful >= 0 and not frame and not side:
-            holds_main[doubtful] = True
+        if tag in MAIN and not frame and not side:
+            articles += 1
+            if doubtful >= 0:
+                (holds_main if tag == "main" else holds_article)[doubtful] = True
         frame = frame or (tag in FRAME and tag != "form" and not (tag == "header" and in_main))
         if tag == "form" or named and not talk:
             around.append(doubtful)
             sizes.append(0)
+            is_form.append(tag == "form")
             holds_main.append(False)
+            holds_article.append(False)
             doubtful = len(sizes) - 1
         side = side or talk
         state = (tag, silent or tag in SILENT, frame, side, in_main or main, heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), link or tag == "a", doubtful)
@@ -284,10 +292,12 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]
         if around[x] >= 0:
             sizes[around[x]] += sizes[x]
             holds_main[around[x]] |= holds_main[x]
+            holds_article[around[x]] |= holds_article[x]
     total = sum(n for _, n, _, frame, side, *_ in blocks if not frame and not side)
     beside = [False] * len(sizes)
     for x, n in enumerate(sizes):
-        beside[x] = not holds_main[x] and 2 * n <= total or around[x] >= 0 and beside[around[x]]
+        page_itself = holds_main[x] or 2 * n > total and (holds_article[x] or is_form[x] and not articles)
+        beside[x] = not page_itself or around[x] >= 0 and beside[around[x]]
     return [(text, n, linked, frame, side or doubtful >= 0 and beside[doubtful], main, heading) for text, n, linked, frame, side, main, heading, doubtful in blocks]
 
 

@@ -16,6 +16,8 @@ CASES = {
     "class words": (f"<article><p class='social-history'>{LONG}</p><p class='notice'>No.</p><div class='share-buttons'>Share</div></article>", LONG),
     "whole page form": (f"<form id='aspnet'><nav><a>Home</a></nav><article><h1>Head</h1><p>{TEXT}</p><form>Your mail <button>Go</button></form></article></form>", f"Head\n\n{TEXT}"),
     "wrapper with a side word": (f"<div class='has-sidebar'><div class='sidebar'>Side</div><article><p>{TEXT}</p></article></div>", TEXT),
+    "advert longer than the article": (f"<div class='ad'>{TEXT}</div><article><p>{LONG}</p></article>", LONG),
+    "form without article": (f"<form><p>{TEXT}</p></form>", TEXT),
     "long talk beside": (f"<div class='layout-alert'><main><p>{LONG}</p></main><div class='replies'>{TEXT * 20}</div></div>", LONG),
     "references": ("<article><p>a&#" + "0" * 6000 + "65;b&#" + "9" * 6000 + ";c&#x41;&amp;</p></article>", "aAb�cA&"),
     "quote that never closes": ("<article><p title='x>One</p><p title=\"y\">Two</p></article>", "One\n\nTwo"),
