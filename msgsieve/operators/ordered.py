@@ -25,40 +25,65 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 DAY_US = 86_400_000_000
 
 
+CELLS = 4096  # cells of a page of time; a page has at most so many counts
+
+
 def _slice_of(ts: str, width_us: int = DAY_US) -> Column:
     return F.floor(F.unix_micros(ts) / width_us)
 
 
+def _cell_of(page: str, width_us: int) -> Column:
+    """Cell of ``_t`` in its page: instants a page apart have the same cell."""
+    return F.floor((F.col("_t") - F.col(page) * width_us) * CELLS / width_us)
+
+
 def newest_rank(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     """Add ``_newer`` (newer rows of the key) and ``_total``.
 
-    Rows are ranked inside one-day slices; offsets come from the per-day
-    counts, so a hot key is spread over its days.
+    Rows are ranked inside cells of about 21 seconds; offsets come from the
+    counts of a day's cells and of the days, so a hot key is spread over its
+    days and a busy hour over its cells.  Rows without a time come last.
     """
-    rows = df.withColumn("_slice", F.coalesce(_slice_of(ts), F.lit(-1)))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc_nulls_last(ts), F.desc(tie))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-             .withColumns({"_before": F.coalesce(F.sum("_n").over(later), F.lit(0)), "_total": F.sum("_n").over(Window.partitionBy(*keys))}))
-    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(sizes.drop("_n"), [*keys, "_slice"])
-    return ranked.withColumn("_newer", F.col("_before") + F.col("_r") - 1).drop("_r", "_before", "_slice")
+    rows = df.withColumns({"_k": F.struct(*keys), "_t": F.unix_micros(ts), "_day": F.coalesce(_slice_of(ts), F.lit(-(1 << 40)))})
+    rows = rows.withColumn("_cell", F.coalesce(_cell_of("_day", DAY_US), F.lit(0)))
+    inside = Window.partitionBy("_k", "_day", "_cell").orderBy(F.desc_nulls_last(ts), F.desc(tie))
+    cells = rows.groupBy("_k", "_day", "_cell").agg(F.count("*").alias("_n"))
+    days = cells.groupBy("_k", "_day").agg(F.sum("_n").alias("_n"))
+    cells = cells.withColumn("_in_day", F.coalesce(F.sum("_n").over(Window.partitionBy("_k", "_day").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    later = Window.partitionBy("_k").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({"_before": F.coalesce(F.sum("_n").over(later), F.lit(0)), "_total": F.sum("_n").over(Window.partitionBy("_k"))})
+    offsets = cells.drop("_n").join(days.drop("_n"), ["_k", "_day"])
+    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(offsets, ["_k", "_day", "_cell"])
+    return ranked.withColumn("_newer", F.col("_before") + F.col("_in_day") + F.col("_r") - 1).drop("_r", "_before", "_in_day", "_cell", "_day", "_t", "_k")
 
 
 def trailing_count(df: DataFrame, keys: list[str], ts: str, tie: str, window_us: int) -> DataFrame:
     """Add ``n``: events of the key in the open trailing window, in arrival order (ts, tie).
 
-    Every event is also copied as context into the next window-long slice, so
-    each slice can be counted alone and a hot key is spread over its slices.
+    Time is cut into pages one window long, pages into cells.  A window is the
+    events of its page up to this one and those of the page before that are
+    later than its begin, so two ranks inside cells and the counts of a page's
+    cells give ``n``: a busy window of one key is spread over its cells.
+    Events without a time are left out.
     """
-    rows = df.withColumn("_t", F.unix_micros(ts))
-    home = F.floor(F.col("_t") / window_us)
-    both = rows.withColumn("_s", F.explode(F.array(home, home + 1))).withColumn("_own", F.col("_s") == home)
-    part = Window.partitionBy(*keys, "_s")
-    # A range frame counts peers of the same instant together; later peers are taken off again.
-    frame = part.orderBy("_t").rangeBetween(-(window_us - 1), 0)
-    peers = Window.partitionBy(*keys, "_s", "_t")
-    later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(tie))
-    return both.withColumn("n", F.count("*").over(frame) - later).filter("_own").drop("_t", "_s", "_own")
+    rows = df.withColumns({"_k": F.struct(*keys), "_t": F.unix_micros(ts)}).where("_t is not null").withColumn("_page", F.floor(F.col("_t") / window_us))
+    rows = rows.withColumn("_cell", _cell_of("_page", window_us))
+    place = ["_k", "_page", "_cell"]
+    counts = rows.groupBy(*place).agg(F.count("*").alias("_n"))
+    # The cells where windows begin are asked for too, also those without events.
+    asked = counts.select("_k", (F.col("_page") - 1).alias("_page"), "_cell", F.lit(0).cast("long").alias("_n"))
+    page = Window.partitionBy("_k", "_page")
+    offsets = (counts.unionByName(asked).groupBy(*place).agg(F.sum("_n").alias("_n"))
+               .withColumns({"_upto": F.coalesce(F.sum("_n").over(page.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(page)}).drop("_n"))
+    ranked = (rows.withColumn("_r", F.row_number().over(Window.partitionBy(*place).orderBy("_t", tie))).join(offsets.drop("_all"), place)
+              .withColumn("_here", F.col("_r") + F.col("_upto")).drop("_r", "_upto"))
+    begins = ranked.withColumns({"_page": F.col("_page") - 1, "_t": F.col("_t") - window_us, "_ask": F.lit(1)})
+    own = rows.select(*place, "_t", F.lit(0).alias("_ask"))
+    # Events at the very begin of a window are out of it: they are counted before it is asked.
+    upto = Window.partitionBy(*place).orderBy("_t", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = begins.unionByName(own, allowMissingColumns=True).withColumn("_gone", F.sum(1 - F.col("_ask")).over(upto)).where("_ask = 1")
+    return (both.join(offsets, place).withColumn("n", F.col("_here") + F.col("_all") - F.col("_upto") - F.col("_gone"))
+            .drop("_k", "_t", "_page", "_cell", "_here", "_ask", "_gone", "_upto", "_all"))
 
 
 def grade_velocity(grades: DataFrame, threshold: int = 8, window_us: int = 3_600_000_000) -> DataFrame:
