@@ -7,6 +7,7 @@ from msgsieve.catalog import sqltext as q
 from msgsieve.catalog.registry import Inputs, query
 from msgsieve.functions import features as fe, urls
 from msgsieve.operators import filters, lookups as lk, vector_index
+from msgsieve.operators.prefixes import longest_prefix
 
 SKEY = f"CASE WHEN {q.sender_domain('sender')} <> '' THEN {q.sender_domain('sender')} ELSE lower(trim(coalesce(sender, ''))) END"
 
@@ -112,6 +113,23 @@ def _(i: Inputs):
     return lk.ip_geo(header_addresses(i), i.view("ip_ranges"))
 
 
+@query("J11_ip_prefix", """
+WITH e AS (SELECT event_id AS e, user_id AS i, user_id % 65536 AS u FROM events), q AS (SELECT DISTINCT i % 256 AS o FROM e WHERE i % 3 = 0)
+SELECT DISTINCT printf('2001:db8:%x:%d::%x:%x', u, e % 4, e // 65536, e % 65536) AS ip, CASE WHEN u % 4 = 0 AND e % 4 = 1 THEN printf('2001:db8:%x:1::/64', u) WHEN u % 2 = 0 THEN printf('2001:db8:%x::/48', u) END AS network,
+ CASE WHEN u % 4 = 0 AND e % 4 = 1 THEN concat('sub', u) WHEN u % 2 = 0 THEN concat('net', u) END AS owner FROM e
+UNION ALL SELECT DISTINCT printf('93.184.%d.%d', e % 256, e % 251), CASE WHEN o IS NOT NULL AND e % 251 >= 128 THEN printf('93.184.%d.128/25', o) END, CASE WHEN o IS NOT NULL AND e % 251 >= 128 THEN concat('quad', o) END
+ FROM e LEFT JOIN q ON o = e % 256""")
+def _(i: Inputs):
+    """Addresses of both families against nested networks of the users."""
+    e = i.table("events").selectExpr("event_id AS e", "user_id AS i", "user_id % 65536 AS u")
+    six = e.select(F.format_string("2001:db8:%x:%d::%x:%x", "u", F.col("e") % 4, F.floor(F.col("e") / 65536), F.col("e") % 65536).alias("ip"))
+    four = e.select(F.format_string("93.184.%d.%d", F.col("e") % 256, F.col("e") % 251).alias("ip"))
+    nets = (e.where("u % 2 = 0").select(F.format_string("2001:db8:%x::/48", "u").alias("network"), F.concat(F.lit("net"), "u").alias("owner"))
+            .unionByName(e.where("u % 4 = 0").select(F.format_string("2001:db8:%x:1::/64", "u").alias("network"), F.concat(F.lit("sub"), "u").alias("owner")))
+            .unionByName(e.where("i % 3 = 0").select(F.format_string("93.184.%d.128/25", F.col("i") % 256).alias("network"), F.concat(F.lit("quad"), F.col("i") % 256).alias("owner"))))
+    return longest_prefix(six.unionByName(four), nets)
+
+
 @query("P10_auto_triage", f"""
 WITH {_GEO}, c AS (SELECT *, regexp_extract(received, 'mx \\(\\[([0-9.]+)\\]', 1) AS oip FROM messages WHERE is_threat=1 AND confidence > 0.85 AND (label IS NULL OR label=1)
   AND coalesce(json_extract_string(metadata,'$.processed'),'false') <> 'true')
