@@ -82,29 +82,40 @@ def _(i: Inputs):
 WITH n AS (SELECT number AS e164, arg_max(risk, seq) AS risk FROM (SELECT concat('+1888', right(concat('0000000', e.user_id), 7)) AS number, CAST((e.event_id * 53) % 101 AS double) / 100 AS risk, e.event_id AS seq FROM events e) GROUP BY 1)
 SELECT coalesce(n.e164, r.e164) AS e164, coalesce(n.risk, r.risk) AS risk FROM number_reputation r FULL JOIN n ON n.e164 = r.e164""", "number_reputation")
 def _(i: Inputs):
+    return k.upsert_numbers(*number_changes(i)).select("e164", "risk")
+
+
+def number_changes(i: Inputs):
     old = i.view("number_reputation").select("e164", "risk")
     e = i.table("events")
     new = e.select(F.concat(F.lit("+1888"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("e164"),
                    ((F.col("event_id") * 53 % 101).cast("double") / 100).alias("risk"), F.col("event_id").alias("seq"))
-    return k.upsert_numbers(old, new).select("e164", "risk")
+    return old, new
 
 
 @query("D2_upsert_fleet_keys", """
 WITH n AS (SELECT sender_key, 0.7 AS c, count(DISTINCT account_sub) AS n FROM reports GROUP BY 1), o AS (SELECT sender_key, confidence, 1 AS report_count FROM fleet UNION ALL SELECT 'bulk1.example', 0.5, 2)
 SELECT coalesce(n.sender_key, o.sender_key) AS sender_key, least(o.confidence, n.c)::DOUBLE AS confidence, coalesce(n.n, o.report_count) AS report_count FROM o FULL JOIN n ON n.sender_key = o.sender_key""", "reports fleet")
 def _(i: Inputs):
+    return k.upsert_fleet_keys(*fleet_changes(i))
+
+
+def fleet_changes(i: Inputs):
     old = i.view("fleet").withColumn("report_count", F.lit(1)).unionByName(
         i.spark.createDataFrame([("bulk1.example", 0.5, 2)], "sender_key string, confidence double, report_count int"))
     new = i.view("reports").groupBy("sender_key").agg(F.lit(0.7).alias("confidence"), F.count_distinct("account_sub").alias("report_count"))
-    return k.upsert_fleet_keys(old, new)
+    return old, new
 
 
 @query("D3_upsert_trial_fp", """
 WITH n AS (SELECT fingerprint, count(*) AS n, max(signup_id % 90) AS r, arg_max(ip, signup_id) AS ip FROM signups WHERE fingerprint IS NOT NULL GROUP BY 1)
 SELECT coalesce(n.fingerprint, o.fingerprint) AS fingerprint, coalesce(o.attempts, 0) + coalesce(n.n, 0) AS attempts, greatest(o.risk_score, n.r) AS risk_score, coalesce(n.ip, o.last_ip) AS last_ip FROM trial_fp o FULL JOIN n ON n.fingerprint = o.fingerprint""", "trial_fp signups")
 def _(i: Inputs):
-    s = i.view("signups").filter("fingerprint is not null").withColumn("risk_score", F.col("signup_id") % 90)
-    return k.upsert_trial_fp(i.view("trial_fp"), s)
+    return k.upsert_trial_fp(*trial_changes(i))
+
+
+def trial_changes(i: Inputs):
+    return i.view("trial_fp"), i.view("signups").filter("fingerprint is not null").withColumn("risk_score", F.col("signup_id") % 90)
 
 
 _SAFE = """
@@ -122,9 +133,13 @@ WITH {_SAFE}, o AS (SELECT account_sub, pattern AS sender_pattern, match_type FR
 SELECT coalesce(n.account_sub, o.account_sub) AS account_sub, coalesce(n.sender_pattern, o.sender_pattern) AS sender_pattern, coalesce(n.match_type, o.match_type) AS match_type, n.sender_pattern IS NOT NULL AS auto_learned
 FROM o FULL JOIN n ON n.account_sub = o.account_sub AND n.sender_pattern = o.sender_pattern""", "messages grades safe_rules")
 def _(i: Inputs):
+    return k.upsert_safe_senders(*safe_sender_changes(i)).select("account_sub", "sender_pattern", "match_type", "auto_learned")
+
+
+def safe_sender_changes(i: Inputs):
     old = i.view("safe_rules").select("account_sub", F.col("pattern").alias("sender_pattern"), "match_type", F.lit(False).alias("auto_learned"))
     new = k.learn_safe_senders(i.view("grades"), i.messages).select("account_sub", "sender_pattern", "match_type", "auto_learned").withColumn("seq", F.lit(1))
-    return k.upsert_safe_senders(old, new).select("account_sub", "sender_pattern", "match_type", "auto_learned")
+    return old, new
 
 
 @query("D5_upsert_queue", """
@@ -132,14 +147,22 @@ WITH r AS (SELECT DISTINCT message_id, CASE WHEN verdict='block' THEN 'junk' ELS
 SELECT coalesce(r.message_id, o.message_id) AS message_id, coalesce(r.action, o.action) AS action, CASE WHEN r.message_id IS NULL OR o.status = 'ok' THEN o.status ELSE 'pending' END AS status, coalesce(o.attempts, 0) AS attempts, r.message_id IS NOT NULL AS touched
 FROM queue o FULL JOIN r ON r.message_id = o.message_id AND r.action = o.action""", "queue grades")
 def _(i: Inputs):
-    req = i.view("grades").select("message_id", F.when(F.col("verdict") == "block", "junk").otherwise("trash").alias("action"))
-    return k.upsert_queue(i.view("queue").select("message_id", "action", "status", "attempts"), req)
+    return k.upsert_queue(*queue_changes(i))
+
+
+def queue_changes(i: Inputs):
+    requests = i.view("grades").select("message_id", F.when(F.col("verdict") == "block", "junk").otherwise("trash").alias("action"))
+    return i.view("queue").select("message_id", "action", "status", "attempts"), requests
 
 
 @query("D6_insert_if_absent", "SELECT c_custkey AS account, 'old' AS origin FROM customer UNION ALL SELECT DISTINCT user_id, 'new' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
 def _(i: Inputs):
+    return k.insert_if_absent(*account_changes(i), ["account"])
+
+
+def account_changes(i: Inputs):
     old = i.table("customer").select(F.col("c_custkey").alias("account"), F.lit("old").alias("origin"))
-    return k.insert_if_absent(old, i.table("events").select(F.col("user_id").alias("account"), F.lit("new").alias("origin")), ["account"])
+    return old, i.table("events").select(F.col("user_id").alias("account"), F.lit("new").alias("origin"))
 
 
 @query("D7_apply_grades", """
