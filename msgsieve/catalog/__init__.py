@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "columns", "lookups", "keyed", "verdict", "rollups", "sources", "models", "streams", "snapshot"]
+MODULES = ["filters", "columns", "lookups", "keyed", "verdict", "rollups", "sources", "models", "streams", "snapshot", "stored"]
 
 
 def load() -> None:

@@ -36,13 +36,25 @@ def _(i: Inputs):
     return c.groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"))
 
 
-@query("M1_vocabulary")
+def _vocabulary_sql(source: str) -> str:
+    """CTEs up to ``v`` (kind, term, df, rank) and ``c`` (id, kind, term, tf) over ``source`` (id, text)."""
+    return f"""d AS ({source}), w AS (SELECT id, {_TOK} AS t FROM d),
+p AS (SELECT id, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B]+'), lambda w: w <> ''), lambda w: concat(' ', w, ' '))) AS p FROM d),
+g AS (SELECT id, 'w' AS kind, unnest(list_concat(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: array_to_string(list_slice(t, i, i + 1), ' '))), list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(list_slice(t, i, i + 2), ' ')))) AS term FROM w
+  UNION ALL SELECT id, 'c', unnest(list_concat(list_concat(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i, 4))), list_transform(range(1, greatest(length(p) - 3, 1)), lambda i: substr(p, i, 5)))) FROM p),
+c AS MATERIALIZED (SELECT id, kind, term, count(*) AS tf FROM g GROUP BY id, kind, term),
+v AS (SELECT kind, term, df FROM (SELECT kind, term, count(*) AS df, row_number() OVER (PARTITION BY kind ORDER BY sum(tf) DESC, term) AS rank FROM c GROUP BY kind, term)
+  WHERE rank <= CASE kind WHEN 'w' THEN {tm.WORD_TERMS} ELSE {tm.CHAR_TERMS} END)"""
+
+
+@query("M1_vocabulary", f"WITH {_vocabulary_sql('SELECT doc_id AS id, text FROM documents')} SELECT kind, term, round(ln((1 + (SELECT count(*) FROM d))::DOUBLE / (df + 1)) + 1, 6) AS idf FROM v")
 def _(i: Inputs):
     d = i.table("documents").select(F.col("doc_id").alias("id"), "text")
     return tm.fit_vocabulary(tm.term_counts(d), d.count()).select("kind", "term", F.round("idf", 6).alias("idf"))
 
 
-@query("M2_feature_matrix")
+@query("M2_feature_matrix", f"""WITH {_vocabulary_sql('SELECT id, body AS text, toxic AS label FROM labels JOIN messages ON doc_id = id')}, k AS (SELECT id, count(*) AS cells FROM c JOIN v USING (kind, term) GROUP BY id)
+SELECT d.id, label, coalesce(cells, 0) + CASE WHEN length(text) > 0 THEN 1 ELSE 0 END AS cells FROM d LEFT JOIN k ON k.id = d.id""", "messages")
 def _(i: Inputs):
     d = labelled(i)
     counts = tm.term_counts(d)

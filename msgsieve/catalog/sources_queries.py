@@ -28,13 +28,19 @@ def jsonl(i: Inputs, lines, name: str) -> str:
     return path
 
 
+def arrays(i: Inputs, rows, file, record, name: str) -> str:
+    """Files that hold one JSON array each: ``record`` of the rows with the same number ``file``."""
+    path = folder(i, name)
+    lines = rows.groupBy(file.alias("file")).agg(F.collect_list(record).alias("all")).select(F.to_json("all").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query("S2_ingest_records", "SELECT CAST(doc_id AS varchar) AS id, source AS subject FROM documents")
 def _(i: Inputs):
-    path = folder(i, "ingest")
-    rows = i.table("documents").repartition(4).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subject"), F.col("text").alias("body"))).alias("value"))
-    rows.write.text(path)
-    got = i.spark.read.schema(schemas.INGEST).json(path)
-    return got.filter(F.col("_corrupt_record").isNull()).select("id", "subject")
+    record = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subject"), F.col("text").alias("body"))
+    path = arrays(i, i.table("documents"), F.floor(F.col("doc_id") / 100), record, "ingest")
+    return rd.read_ingest_batches(i.spark, path).select("id", "subject")
 
 
 @query("S3_read_feedback", "SELECT event_id AS id, CAST(event_id % 2 AS varchar) AS label, event_type AS source FROM events WHERE event_type NOT IN ('error','signup')")
@@ -82,12 +88,9 @@ def _(i: Inputs):
 
 @query("S9_load_threat_list", "SELECT url AS body, 'url' AS message_type, 'acct1' AS account_sub, 1 AS is_threat, 1.0::DOUBLE AS confidence FROM pages WHERE page_id % 5 <> 0")
 def _(i: Inputs):
-    p = i.table("pages")
-    line = F.to_json(F.struct(F.when(F.col("page_id") % 5 != 0, F.lit("url")).otherwise("").alias("type"), F.col("url").alias("identifier")))
-    path = jsonl(i, p.select(line.alias("value")), "threats")
-    raw = i.spark.read.schema(schemas.THREAT).json(path)
-    sub = rd.require_tenant("acct1")
-    return raw.filter("type <> ''").select(F.col("identifier").alias("body"), F.col("type").alias("message_type"), F.lit(sub).alias("account_sub"), F.lit(1).alias("is_threat"), F.lit(1.0).alias("confidence"))
+    entry = F.struct(F.when(F.col("page_id") % 5 != 0, F.lit("url")).otherwise("").alias("type"), F.col("url").alias("identifier"))
+    path = arrays(i, i.table("pages"), F.floor(F.col("page_id") / 100), entry, "threats")
+    return rd.read_threat_list(i.spark, path, "acct1").select("body", "message_type", "account_sub", "is_threat", "confidence")
 
 
 @query("S10_load_labelled_corpus", "SELECT id, md5(body) AS body_md5, sender, 'phishing' AS message_type, 1 AS is_threat, 'analyst_verified' AS label_source FROM messages", "messages")

@@ -217,16 +217,42 @@ def margins(model: TextModel, df: DataFrame, text: str = "text", x: DataFrame |
     return df.join(part, "id", "left").withColumn("margin", F.coalesce("_m", F.lit(0.0)) + linear).drop("_m")
 
 
+def platt_fit(rows: DataFrame, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of ``label`` over ``margin``, by Newton's method.
+
+    A round is one aggregate of six sums.  Steps are shortened so that no
+    probability leaps from one end to the other; on separable rows the curve
+    gets steeper until the sums no longer say anything.
+    """
+    a = b = 0.0
+    for _ in range(rounds):
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("margin") * a + b)))
+        m, gap, w = F.col("margin"), F.col("label") - p, p * (1 - p)
+        s = rows.agg(F.sum(gap * m).alias("ga"), F.sum(gap).alias("gb"), F.sum(w * m * m).alias("haa"), F.sum(w * m).alias("hab"), F.sum(w).alias("hbb"),
+                     F.sqrt(F.avg(m * m)).alias("spread")).first()
+        det = s.haa * s.hbb - s.hab * s.hab
+        if det <= 1e-12 * max(s.haa * s.hbb, 1e-300):
+            # All margins alike: only the shift can be learned.
+            if s.hbb < 1e-9 or abs(s.gb / s.hbb) < 1e-10:
+                break
+            da, db = 0.0, s.gb / s.hbb
+        else:
+            da, db = (s.hbb * s.ga - s.hab * s.gb) / det, (s.haa * s.gb - s.hab * s.ga) / det
+        short = min(1.0, 4.0 / max(abs(da) * s.spread, abs(db), 1e-300))
+        a, b = a + short * da, b + short * db
+        if max(abs(da) * s.spread, abs(db)) < 1e-10:
+            break
+    return a, b
+
+
 def calibrate(model: TextModel, df: DataFrame, x: DataFrame | None = None) -> TextModel:
-    """Platt scaling: a one-feature logistic fit on the margins."""
-    from pyspark.ml.feature import VectorAssembler
-    m = margins(model, df, x=x).select("label", "margin").persist()
+    """Platt scaling: a logistic curve over the margins; with one class only the model stays as it is."""
+    m = margins(model, df, x=x).select(F.col("label").cast("double").alias("label"), "margin").where("label is not null").persist()
     if m.select("label").distinct().count() < 2:
         return model
-    rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(m)
-    fit = LogisticRegression(maxIter=50).fit(rows)
+    a, b = platt_fit(m)
     m.unpersist()
-    return replace(model, platt_a=float(fit.coefficients[0]), platt_b=float(fit.intercept), calibrated=True)
+    return replace(model, platt_a=a, platt_b=b, calibrated=True)
 
 
 def score_messages(model: TextModel, df: DataFrame, text: str = "text") -> DataFrame:
