@@ -22,14 +22,19 @@ def place(i: Inputs, name: str) -> str:
     return f"{checkpoint_dir(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def table_stream(i: Inputs, name: str):
+    """A driver table as a stream, be it one file or a folder of parts."""
+    schema = i.spark.read.parquet(f"{i.sf_dir}/{name}.parquet").schema
+    # As a pattern the path may name either; as a plain path a stream takes folders only.
+    return flow.file_stream(i.spark, f"{i.sf_dir}/{name}.parque[t]", schema)
+
+
 def event_stream(i: Inputs):
-    schema = i.spark.read.parquet(f"{i.sf_dir}/events.parquet").schema
-    return flow.file_stream(i.spark, i.sf_dir, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(i, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def document_stream(i: Inputs):
-    schema = i.spark.read.parquet(f"{i.sf_dir}/documents.parquet").schema
-    return flow.file_stream(i.spark, i.sf_dir, schema, glob="documents.parquet")
+    return table_stream(i, "documents")
 
 
 def appended(i: Inputs, df, name: str):
