@@ -255,8 +255,9 @@ def lookalike_names(df: DataFrame, names: DataFrame, real: DataFrame) -> DataFra
     hosts = df.select("id", lookalike_host(F.col("sender")).alias("host"))
     slugs = hosts.filter(F.col("host").contains(".")).select("host").distinct()
     slugs = slugs.withColumn("slug", _brand_slug(F.split_part(F.col("host"), F.lit("."), F.lit(1)))).filter(F.length("slug") >= 4)
-    owned = slugs.select("host", F.explode(urls.parent_domains(F.col("host"))).alias("domain")).join(real.select("domain").distinct(), "domain", "left_semi")
-    slugs = slugs.join(owned.select("host").distinct(), "host", "left_anti")
+    # Both tables grow with the input and their forms are many: no size guessed from a file may send them through the driver.
+    owned = slugs.select("host", F.explode(urls.parent_domains(F.col("host"))).alias("domain")).join(real.select("domain").distinct().hint("merge"), "domain", "left_semi")
+    slugs = slugs.join(owned.select("host").distinct().hint("merge"), "host", "left_anti")
     size = F.length("slug")
     inner = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(3), size - 5)), lambda less: F.transform(
         F.sequence(F.lit(1), less + 1), lambda i: F.substring(F.col("slug"), i, size - less))))
@@ -264,12 +265,12 @@ def lookalike_names(df: DataFrame, names: DataFrame, real: DataFrame) -> DataFra
     held = F.when(size >= 5, inner).otherwise(F.array().cast("array<string>"))
     asked = slugs.select("host", "slug", F.explode(F.concat(forms("d", one_letter_deletions(F.col("slug"))), forms("i", F.array_distinct(held)))).alias("k"))
     filed = names.select("name", "rank", F.explode(F.concat(forms("d", one_letter_deletions(F.col("name"))), forms("i", F.array("name")))).alias("k"))
-    pairs = asked.select("host", "slug", "k.*").join(filed.select("name", "rank", "k.*"), ["kind", "form"])
+    pairs = asked.select("host", "slug", "k.*").join(filed.select("name", "rank", "k.*").hint("merge"), ["kind", "form"])
     n = F.length("name")
     near = F.levenshtein(F.col("slug"), F.col("name"), 1) >= 0
     within = (n >= 5) & (size <= n + 3) & F.contains(F.col("slug"), F.col("name")) & (F.levenshtein(F.substring(F.col("slug"), F.lit(1), n + 1), F.col("name"), 1) >= 0)
     best = pairs.filter(near | within).groupBy("host").agg(F.min_by("name", F.struct("rank", "name")).alias("name"))
-    return hosts.join(best, "host").select("id", "host", "name")
+    return hosts.join(best.hint("merge"), "host").select("id", "host", "name")
 
 
 def typosquat_urls(links: DataFrame) -> DataFrame:
