@@ -298,6 +298,24 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(-1)) for i in range(0, len(a), step)])
 
 
+def _least(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, L2 distance) of the exact ``k`` nearest rows of ``b`` for each row of ``a``, ties by ``ids``.
+
+    One matrix product bounds all distances up to rounding; only pairs within
+    that rounding of the ``k``-th are measured.
+    """
+    square, other = (a * a).sum(1), (b * b).sum(1)
+    about = square[:, None] + other[None, :] - 2 * a @ b.T
+    slack = 1e-9 * (square + other.max())
+    row, col = np.nonzero(about <= (np.partition(about, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+    pieces = [np.sqrt(((a[row[i:i + 65536]] - b[col[i:i + 65536]]) ** 2).sum(-1)) for i in range(0, len(row), 65536)]
+    d = np.concatenate(pieces)
+    order = np.lexsort((ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], d[kept]
+
+
 def similar_messages(queries: DataFrame, corpus: DataFrame, k: int, same: list[str] | None = None,
                      pivots: int = 64) -> DataFrame:
     """The exact ``k`` nearest corpus vectors per query by L2 distance.
@@ -371,13 +389,12 @@ def similar_messages(queries: DataFrame, corpus: DataFrame, k: int, same: list[s
         cols = [*same, "query_id", "match_id", "distance"]
         if not len(q) or not len(c):
             return pd.DataFrame(columns=cols)
-        d = _distances(_to_matrix(q["qvec"]), _to_matrix(c["vec"]))
-        ids = c["vec_id"].to_numpy()
-        rows = np.repeat(np.arange(len(q)), min(k, len(c)))
-        # Ties go to the smaller id, as in the final ranking.
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :min(k, len(c))].ravel()
-        out = {f: q[f].to_numpy()[rows] for f in same}
-        return pd.DataFrame({**out, "query_id": q["query_id"].to_numpy()[rows], "match_id": ids[order], "distance": d[rows, order]})[cols]
+        asked, x, ids, out = _to_matrix(q["qvec"]), _to_matrix(c["vec"]), c["vec_id"].to_numpy(), []
+        step = max(1, 2_000_000 // len(c))
+        for at in range(0, len(q), step):
+            row, col, d = _least(asked[at:at + step], x, ids, min(k, len(c)))
+            out.append(pd.DataFrame({**{f: q[f].to_numpy()[at + row] for f in same}, "query_id": q["query_id"].to_numpy()[at + row], "match_id": ids[col], "distance": d})[cols])
+        return pd.concat(out)
 
     key = [*same, "cell", "slice", "qslice"]
     same_out = "".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}, " for c in same)

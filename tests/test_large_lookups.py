@@ -11,3 +11,15 @@ def test_lookalike_tables_are_not_broadcast(spark):
     out = lk.lookalike_names(senders, names, real)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.name) for r in out.collect()) == [(1, "gonzo"), (2, "gonzo")]
+
+
+def test_least_equals_a_full_sort():
+    rng = np.random.default_rng(5)
+    b = np.repeat(rng.normal(size=(40, 6)), 5, axis=0)
+    b += 1000 * (np.arange(200) % 3 == 0)[:, None]
+    a, ids = np.concatenate([b[:30], rng.normal(size=(20, 6))]), rng.permutation(200)
+    for k in (1, 4, 200):
+        row, col, d = lk._least(a, b, ids, k)
+        full = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+        want = np.lexsort((np.broadcast_to(ids, full.shape), full), axis=1)[:, :k].ravel()
+        assert (col == want).all() and (row == np.repeat(np.arange(len(a)), k)).all() and (d == full[row, want]).all()
