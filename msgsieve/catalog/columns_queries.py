@@ -125,7 +125,7 @@ SELECT doc_id, round({q.entropy('text')}, 6) AS entropy, round({q.share('text',
 def _(i: Inputs):
     c = F.col("text")
     return i.table("documents").select(
-        "doc_id", F.round(t.entropy(c), 6).alias("entropy"), F.round(t.non_ascii_ratio(c), 6).alias("non_ascii"),
+        "doc_id", F.round(t.text_entropy(c), 6).alias("entropy"), F.round(t.non_ascii_ratio(c), 6).alias("non_ascii"),
         F.round(t.digit_ratio(c), 6).alias("digits"), t.exclamations(c).alias("exclamation"), t.has_phone(c).alias("has_phone"))
 
 

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,23 +78,37 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, -total).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(T.DoubleType())
+def text_entropy(s: pd.Series) -> pd.Series:
+    """``entropy`` of whole texts: one pass over the code points, not one for each distinct character."""
+    def bits(v: str | None) -> float:
+        if not v:
+            return 0.0
+        _, n = np.unique(np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        p = n / n.sum()
+        return float(-(p * np.log2(p)).sum())
+
+    return s.map(bits)
+
+
 def share(text: Column, drop_pattern: str) -> Column:
     """Share of characters left after removing ``drop_pattern`` matches."""
     n = F.length(text)
     return F.when(n > 0, F.length(F.regexp_replace(text, drop_pattern, "")) / n).otherwise(0.0)
 
 
+# The patterns drop whole runs: a match for each character costs many times as much.
 def non_ascii_ratio(text: Column) -> Column:
-    return share(text, r"[\x00-\x7F]")
+    return share(text, r"[\x00-\x7F]+")
 
 
 def digit_ratio(text: Column) -> Column:
-    return share(text, r"[^\p{Nd}]")
+    return share(text, r"[^\p{Nd}]+")
 
 
 def upper_ratio(text: Column) -> Column:
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    return share(letters, r"[^\p{Lu}]")
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    return F.when(letters > 0, F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / letters).otherwise(0.0)
 
 
 def exclamations(text: Column) -> Column:
@@ -132,12 +147,18 @@ OTP_DELIVERY = (
 OTP_THEFT = r"(?i)(?:reply|send|text back|provide|read back|tell us|confirm).{0,40}(?:code|otp|pin|digit)"
 
 
+OTP_NOUNS = ["code", "otp", "pin", "digit"]
+OTP_VERBS = ["reply", "send", "text back", "provide", "read back", "tell us", "confirm"]
+
+
 def otp_delivery(text: Column) -> Column:
-    return text.rlike(OTP_DELIVERY).cast("int")
+    """The words that every form needs come first: they are far cheaper to find."""
+    return (has_any(F.lower(text), OTP_NOUNS[:2]) & text.rlike(OTP_DELIVERY)).cast("int")
 
 
 def otp_theft(text: Column) -> Column:
-    return text.rlike(OTP_THEFT).cast("int")
+    low = F.lower(text)
+    return (has_any(low, OTP_NOUNS) & has_any(low, OTP_VERBS) & text.rlike(OTP_THEFT)).cast("int")
 
 
 # --- clean-up ----------------------------------------------------------------
