@@ -47,6 +47,7 @@ from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_span
 SKETCH_BITS = 20
 SKETCH_PART = 4096
 CROWDED = 32
+FEW = 20_000  # pairs in crowded lists that are tried at once
 
 
 def ngram_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -104,8 +105,8 @@ def _parities(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return cut_lineage(texts.select("cls", "text").mapInArrow(tidy(scan), "cls long, bits array<long>"))
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Parity filter: the sets do not differ in too many n-grams.  The longer array is folded onto the shorter one's length."""
+def _difference(a: str, b: str) -> Column:
+    """Parities in which two sets differ, null without them.  The longer array is folded onto the shorter one's length."""
     bits_a, bits_b = F.col(f"bits_{a}"), F.col(f"bits_{b}")
 
     def folded(long: Column, short: Column) -> Column:
@@ -117,8 +118,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     def gap(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
 
-    differ = F.when(F.size(bits_a) >= F.size(bits_b), gap(folded(bits_a, bits_b), bits_b)).otherwise(gap(bits_a, folded(bits_b, bits_a)))
-    return F.coalesce(differ * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent), F.lit(True))
+    return F.when(F.size(bits_a) >= F.size(bits_b), gap(folded(bits_a, bits_b), bits_b)).otherwise(gap(bits_a, folded(bits_b, bits_a)))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Parity filter: the sets do not differ in too many n-grams."""
+    return F.coalesce(_difference(a, b) * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent), F.lit(True))
 
 
 def _classes_and_sketch(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -238,6 +243,19 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (bound * (100 + percent) >= (small + large) * percent)
 
 
+def _between(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The entries of lists that hold several components, with comp, the largest one of the list (major) and the length of the list."""
+    known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("length"))
+    return cut_lineage(known.join(major.where("comps > 1"), "gram"))
+
+
+def _at_stake(rows: DataFrame) -> int:
+    """Pairs between components that crowded lists hold, at most."""
+    crowded = rows.where((F.col("length") >= CROWDED) & (F.col("comp") != F.col("major")))
+    return crowded.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+
+
 def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, mark, n, comp for every row; rows without words have no comp.  ``mark`` names a row by id and text."""
     docs = marked(as_columns(docs, doc_id="long", text="string"))
@@ -253,11 +271,25 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     tried = cut_lineage(tried)
     links = _verified(tried, docs, members, size, percent)
     comps = components(links)
-    known = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    major = known.groupBy("gram", "comp").count().groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("length"))
-    rows = cut_lineage(known.join(major.where("comps > 1"), "gram"))
+    rows = _between(lists, comps)
     crowded = rows.where(F.col("length") >= CROWDED).select("cls").distinct()
-    rows = rows.join(_parities(_texts(docs, members, crowded), size, percent), "cls", "left")
+    bits = _parities(_texts(docs, members, crowded), size, percent)
+    # Near copies of which a part links would leave a share of all their pairs: the nearest partner of each first, as long as that helps.
+    left = _at_stake(rows)
+    while left > FEW:
+        some = rows.where(F.col("length") >= CROWDED).join(bits, "cls", "left")
+        near = side(some.where("comp <> major"), "a").join(side(some, "b"), "gram").where(F.expr("comp_a <> comp_b") & _possible("a", "b", percent) & _may_link("a", "b", percent))
+        near = near.groupBy("cls_a").agg(F.min_by("cls_b", F.struct(_difference("a", "b"), "cls_b")).alias("cls_b"))
+        pairs = near.select(*pair).distinct()
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(_verified(pairs, docs, members, size, percent))
+        comps = components(links)
+        rows = _between(lists, comps)
+        before, left = left, _at_stake(rows)
+        if left * 4 > before * 3:
+            break
+    rows = rows.join(bits, "cls", "left")
     apart = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
     pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent) & _may_link("a", "b", percent)).select(*pair).distinct()
     more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, members, size, percent)
