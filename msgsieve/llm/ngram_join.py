@@ -48,6 +48,7 @@ SKETCH_BITS = 20
 SKETCH_PART = 4096
 CROWDED = 32
 FEW = 20_000  # pairs in crowded lists that are tried at once
+TURNS = 3  # of nearest partners, before every pair that is left
 
 
 def ngram_sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -276,7 +277,9 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     bits = _parities(_texts(docs, members, crowded), size, percent)
     # Near copies of which a part links would leave a share of all their pairs: the nearest partner of each first, as long as that helps.
     left = _at_stake(rows)
-    while left > FEW:
+    for _ in range(TURNS):
+        if left <= FEW:
+            break
         some = rows.where(F.col("length") >= CROWDED).join(bits, "cls", "left")
         near = side(some.where("comp <> major"), "a").join(side(some, "b"), "gram").where(F.expr("comp_a <> comp_b") & _possible("a", "b", percent) & _may_link("a", "b", percent))
         near = near.groupBy("cls_a").agg(F.min_by("cls_b", F.struct(_difference("a", "b"), "cls_b")).alias("cls_b"))

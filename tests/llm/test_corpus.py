@@ -433,7 +433,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables n
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])
