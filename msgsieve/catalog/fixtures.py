@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgsieve.session import spread
+from msgsieve.session import cut_lineage, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -205,6 +205,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+FEW_KEYS = 1 << 20    # so many keys are sent to every task
+
+
+def timeless_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages`` without ``ts``, row for row, but no text meets ``events``: only the number of events of a message does."""
+    event = "LEFT JOIN events e ON e.event_id = d.doc_id"
+    assert event in VIEWS["messages"] and VIEWS["messages"].count("e.ts AS ts,") == 1
+    sql = VIEWS["messages"].replace(event, "").replace("e.ts AS ts,", "")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    messages = spark.sql(sql)
+    several = cut_lineage(table(spark, sf_dir, "events").groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and id is not null"))
+    keys = several.count()
+    if not keys:
+        return messages
+    counted = messages.join(F.broadcast(several) if keys <= FEW_KEYS else several, "id", "left")
+    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_n", F.lit(1)).cast("int")))).select(*messages.columns)
+
+
 def oracle(body: str, *views: str) -> str:
     """DuckDB text: the portable views as CTEs around ``body``."""
     if not views:

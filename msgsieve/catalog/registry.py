@@ -29,6 +29,11 @@ class Inputs:
     def messages(self) -> DataFrame:
         return self.view("messages")
 
+    @property
+    def timeless_messages(self) -> DataFrame:
+        """All of ``messages`` but ``ts``."""
+        return fixtures.timeless_messages(self.spark, self.sf_dir)
+
 
 QUERIES: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}

@@ -21,6 +21,7 @@ from msgsieve.session import cut_lineage
 
 SPAN_BITS = 10
 FANOUT_BITS = 11
+FEW_RANGES = 1 << 20    # so many ranges are sent to every task
 TOP = 4     # level whose nodes hang under the root: 2^(64 - 10 - 4 * 11) of them at most, and the null one
 
 
@@ -107,6 +108,8 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str], r
     hashed and shuffled; hashes are counted per task first.
     """
     marked = cut_lineage(ranges.select(F.shiftright("lo", SPAN_BITS).alias("_p")))
+    if marked.count() <= FEW_RANGES:
+        marked = F.broadcast(marked)  # their estimated size would have every text shuffled
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         rows = df.join(marked, _number(F.col(key), 0).eqNullSafe(F.col("_p")), "left_semi")
