@@ -47,7 +47,8 @@ from msgsieve.llm.words import shingle_sets, text_chunks, word_hashes, word_span
 SKETCH_BITS = 20
 SKETCH_PART = 4096
 CROWDED = 32
-FEW = 20_000  # pairs in crowded lists that are tried at once
+FEW = 20_000  # pairs between components that are tried at once
+LISTED = 100 * FEW  # entries of crowded lists that may pair, whose pairs are listed to be counted
 TURNS = 3  # of nearest partners, before every pair that is left
 
 
@@ -220,8 +221,7 @@ def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link."""
-    pairs = cut_lineage(pairs)
+    """Those of ``pairs`` (a, b; a checkpoint) whose sets link."""
     texts = _texts(docs, members, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
     full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -275,27 +275,32 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     rows = _between(lists, comps)
     crowded = rows.where(F.col("length") >= CROWDED).select("cls").distinct()
     bits = _parities(_texts(docs, members, crowded), size, percent)
+    def apart(rows: DataFrame) -> DataFrame:
+        """The pairs that still lie between components."""
+        rows = rows.join(bits, "cls", "left")
+        between = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
+        pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(between & _possible("a", "b", percent) & _may_link("a", "b", percent)).select(*pair).distinct()
+        return cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+
     # Near copies of which a part links would leave a share of all their pairs: the nearest partner of each first, as long as that helps.
-    left = _at_stake(rows)
+    left, pairs = _at_stake(rows), None
     for _ in range(TURNS):
-        if left <= FEW:
+        pairs = apart(rows) if left <= LISTED else None
+        if pairs is not None and pairs.count() <= FEW:
             break
         some = rows.where(F.col("length") >= CROWDED).join(bits, "cls", "left")
         near = side(some.where("comp <> major"), "a").join(side(some, "b"), "gram").where(F.expr("comp_a <> comp_b") & _possible("a", "b", percent) & _may_link("a", "b", percent))
         near = near.groupBy("cls_a").agg(F.min_by("cls_b", F.struct(_difference("a", "b"), "cls_b")).alias("cls_b"))
-        pairs = near.select(*pair).distinct()
-        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_verified(pairs, docs, members, size, percent))
+        pairs, nearest = None, near.select(*pair).distinct()
+        nearest = cut_lineage(nearest.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(nearest)
+        links = links.unionByName(_verified(nearest, docs, members, size, percent))
         comps = components(links)
         rows = _between(lists, comps)
         before, left = left, _at_stake(rows)
         if left * 4 > before * 3:
             break
-    rows = rows.join(bits, "cls", "left")
-    apart = F.expr("comp_a <> comp_b and (comp_b = major or cls_a < cls_b)")
-    pairs = side(rows.where("comp <> major"), "a").join(side(rows, "b", "major"), "gram").where(apart & _possible("a", "b", percent) & _may_link("a", "b", percent)).select(*pair).distinct()
-    more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), docs, members, size, percent)
+    more = _verified(apart(rows) if pairs is None else pairs, docs, members, size, percent)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = comps.withColumnRenamed("node", "cls")
