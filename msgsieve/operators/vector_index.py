@@ -26,6 +26,7 @@ from msgsieve.operators.ordered import top_per_key
 from msgsieve.session import cut_lineage
 
 SAMPLE = 1 << 16
+SAMPLE_PARTS = 16
 PILOTS = 128
 WIDTH = 2
 CODES = 256
@@ -104,7 +105,8 @@ def _books(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
         book = lloyd(_matrix(pdf["piece"]), CODES)
         return pd.DataFrame({"part": key[0], "code": np.arange(len(book)), "piece": list(book)})
 
-    fitted = sample.select("vec").mapInPandas(cut, "part int, piece array<float>").groupBy("part").applyInPandas(fit, "part int, code int, piece array<float>")
+    pieces = sample.select("vec").mapInPandas(cut, "part int, piece array<float>").repartition(parts, "part")  # not joined to one task, however small
+    fitted = pieces.groupBy("part").applyInPandas(fit, "part int, code int, piece array<float>")
     books = np.zeros((parts, CODES, WIDTH), "float32")
     for r in fitted.collect():  # CODES rows a part
         books[r["part"], r["code"]] = r["piece"]
@@ -144,7 +146,7 @@ def build_index(corpus: DataFrame, k: int = 5, share: float = 0.98, lists: int |
         return None
     id_type = corpus.schema["vec_id"].dataType.simpleString()
     ranked = corpus.select("vec_id", "vec", *same).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
-    sample = cut_lineage(ranked.limit(SAMPLE))
+    sample = cut_lineage(ranked.limit(SAMPLE).repartition(SAMPLE_PARTS))  # a limit alone leaves one partition, and training to one task
     lists = max(2, lists or min(int(2 * n ** 0.5), SAMPLE // 32, n // 8))
     centres = _centres(sample, lists)
     dims = -(-centres.shape[1] // WIDTH) * WIDTH

@@ -83,3 +83,20 @@ def test_recall_row(spark):
     v = table(spark, clusters(400, 8, 8)).drop("label")
     row = vi.recall(lk.similar_messages_ann(v, v, 5), lk.similar_messages(v, v, 5), 400).first()
     assert (row["queries"], row["wanted"]) == (400, 2000) and row["recall"] >= 0.95 and row["exact_share"] <= 0.05
+
+
+def test_queries_are_every_twentieth_row(spark, tmp_path):
+    """The registered searches ask for the ids divisible by 20, against all rows; their work grows with that set."""
+    from msgsieve import catalog
+    from msgsieve.catalog.registry import QUERIES, Inputs
+    catalog.load()
+    x = clusters(400, 8, 10)
+    table(spark, x, np.arange(400) % 4).withColumnRenamed("vec", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    i = Inputs(spark, str(tmp_path))
+    got = QUERIES["J15_similar_approximate"](i).collect()
+    truth = brute(x.astype("float32").astype("float64"), x[::20].astype("float32").astype("float64"), 5)
+    assert {r["query_id"] for r in got} == set(range(0, 400, 20)) and len(got) == 100
+    assert sum(r["match_id"] in truth[r["query_id"] // 20] for r in got) >= 90
+    scoped = QUERIES["J15_approximate_within_type"](i).collect()
+    assert {r["query_id"] for r in scoped} == set(range(0, 400, 20)) and all(r["match_id"] % 4 == r["label"] == 0 for r in scoped)
+    assert QUERIES["J15_recall"](i).first()["recall"] >= 0.9
