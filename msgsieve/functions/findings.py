@@ -37,6 +37,15 @@ LURES = ["URGENCY_FEAR", "IMPERSONATION", "SENSITIVE_ASK", "CREDIT_LURE", "HAPPY
 
 PAD = 28
 
+KINDS = {"urgent": lx.URGENT + lx.FEAR, "happy": lx.HAPPY, "credit": lx.CREDIT_LURE, "relation": lx.RELATIONSHIP,
+         "blackmail": lx.BLACKMAIL, "advance": lx.ADVANCE_FEE}
+IMAGE_HINTS = ["<img", "cid:", "[image:", "<html", "multipart"]
+LETTER_HINTS = ["unsubscribe", "newsletter", "view in browser", "tldrnewsletter"]
+TOLL_FREE_AREAS = ["800", "888", "877", "866", "855", "844", "833"]
+RISKY_ENDINGS = [f".{x}" for x in lx.RISKY_ATTACHMENT_EXT]
+PHRASES = t.Phrases([*[p for v in KINDS.values() for p in v], *lx.SENSITIVE_WORDS, *lx.RELAY_HINTS, *lx.IMPERSONATE, *IMAGE_HINTS,
+                     *LETTER_HINTS, *TOLL_FREE_AREAS, *RISKY_ENDINGS, "http", "xn--"], lx.IMPERSONATE)
+
 
 def snippet(text: Column, needle: Column, at: Column) -> Column:
     """Up to 120 characters around place ``at`` of ``needle``, with ellipses where cut; null without a needle."""
@@ -71,15 +80,20 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     who = t.text_or_empty(F.col(sender))
     out = df.withColumns({"_content": content, "_who": who})
     out = out.withColumn("_blob", F.concat("_who", F.lit("\n"), "_content"))
-    out = out.withColumn("_folded", t.fold_confusables(F.col("_blob")))
+    out = out.withColumn("_fold", t.folding(F.col("_blob")))
+    out = out.withColumn("_folded", F.coalesce("_fold.folded", "_blob"))
     out = out.withColumns({
         "_low": F.lower("_folded"), "_dom": u.sender_domain(F.col("_who")),
         "_name": F.trim(F.regexp_extract("_who", DISPLAY, 1)), "_addr": F.trim(F.regexp_extract("_who", DISPLAY, 2)),
-        "_mixed": t.mixed_script_tokens(F.col("_blob")), "_puny": t.punycode_labels(F.col("_blob")),
     })
     none = F.array().cast("array<string>")
-    hosts = F.transform(F.regexp_extract_all("_content", F.lit(r"(?i)https?://([^/\s:]+)"), F.lit(1)), lambda d: F.lower(d))
-    out = out.withColumn("_links", F.when(F.col("_low").contains("http"), hosts).otherwise(none))
+    # One pass over the text finds all phrases; folding and lower-casing keep ASCII, so it also tells which patterns are worth a try.
+    out = out.withColumn("_hits", PHRASES.found(F.col("_low")))
+    hits = F.col("_hits")
+    out = out.withColumn("_mixed", F.when(F.col("_fold.beyond"), t.mixed_script_tokens(F.col("_blob"))).otherwise(none))
+    out = out.withColumn("_puny", F.when(PHRASES.has(hits, "xn--"), t.punycode_labels(F.col("_blob"))).otherwise(none))
+    hosts = F.transform(t.link_hosts(F.when(PHRASES.has(hits, "http"), F.col("_content"))), lambda d: F.lower(d))
+    out = out.withColumn("_links", F.coalesce(hosts, none))
     c, low, folded, content, who = F.col, F.col("_low"), F.col("_folded"), F.col("_content"), F.col("_who")
     foreign = F.filter("_links", lambda d: ~u.is_esp_host(d) & ~u.aligned_with_sender(d, c("_dom")))
     out = out.withColumn("_foreign", foreign)
@@ -97,8 +111,8 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     def quoted(head: str, value: Column, tail: str = "”") -> Column:
         return F.concat(F.lit(head), value, F.lit(tail))
 
-    sensitive = F.coalesce(*[F.when(t.has_bounded(low, w) if w in lx.SENSITIVE_BOUNDED else low.contains(w), F.lit(w)) for w in lx.SENSITIVE_WORDS])
-    relay = F.coalesce(*[F.when(c("_dom").contains(h) | low.contains(h), F.lit(h)) for h in lx.RELAY_HINTS])
+    sensitive = F.coalesce(*[F.when(PHRASES.has_bounded(hits, low, w) if w in lx.SENSITIVE_BOUNDED else PHRASES.has(hits, w), F.lit(w)) for w in lx.SENSITIVE_WORDS])
+    relay = F.coalesce(*[F.when(c("_dom").contains(h) | PHRASES.has(hits, h), F.lit(h)) for h in lx.RELAY_HINTS])
     name_key = F.regexp_replace(F.lower(F.translate("_name", lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)), "[^a-z0-9]", "")
     addr_low = F.lower(F.translate("_addr", lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO))
     name_words = F.regexp_extract_all(F.lower(F.translate("_name", lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)), F.lit(r"([a-z]{4,})"), F.lit(1))
@@ -107,12 +121,13 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     is_phone_channel = F.col(channel).isin("smishing", "vishing")
     is_call = F.col(channel) == "vishing"
     push = F.when(is_phone_channel, F.regexp_extract("_content", PHONE_PUSH, 1)).otherwise("")
-    toll = F.when(is_phone_channel, F.regexp_extract("_content", phones.TOLL_FREE, 1)).otherwise("")
+    toll = F.when(is_phone_channel & PHRASES.has_any(hits, TOLL_FREE_AREAS), F.regexp_extract("_content", phones.TOLL_FREE, 1)).otherwise("")
     # Stripping the body is costly and matters only for texts with image or markup traces.
-    imageish = t.has_any(low, ["<img", "cid:", "[image:", "<html", "multipart"])
+    imageish = PHRASES.has_any(hits, IMAGE_HINTS)
     plain = F.trim(F.regexp_replace(F.regexp_replace("_content", r"<[^>]{0,500}>", " "), r"[ \t\r\n\f]{1,64}", " "))
     refs = F.when(c("_plain").isNotNull(), F.regexp_count("_content", F.lit(IMAGE_REF))).otherwise(0)
-    risky = F.regexp_extract(F.concat_ws(" ", content, opt("attachments")), ATTACHMENT, 1)
+    in_text = F.when(PHRASES.has_any(hits, RISKY_ENDINGS), F.nullif(F.regexp_extract("_content", ATTACHMENT, 1), F.lit("")))
+    risky = F.coalesce(in_text, F.regexp_extract(opt("attachments"), ATTACHMENT, 1))
     brand_like = lk.lookalike_brand(who)
     stamps = F.lower(F.concat_ws(" ", opt("received_spf"), opt("auth_results")))
     r_addr, s_addr = F.lower(F.regexp_extract(opt("reply_to"), ADDRESS, 1)), F.lower(F.regexp_extract("_who", ADDRESS, 1))
@@ -127,16 +142,14 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     odd = F.regexp_extract(odd_token, r"([\p{IsGreek}\p{IsCyrillic}])", 1)
 
     # The leading phrase of each kind and its place are columns of their own, so each is searched for once.
-    phrases = {"urgent": lx.URGENT + lx.FEAR, "happy": lx.HAPPY, "credit": lx.CREDIT_LURE, "relation": lx.RELATIONSHIP,
-               "blackmail": lx.BLACKMAIL, "advance": lx.ADVANCE_FEE}
-    words = {k: t.first_hit(low, v) for k, v in phrases.items()} | {"sensitive": sensitive}
+    words = {k: PHRASES.first(hits, v) for k, v in KINDS.items()} | {"sensitive": sensitive}
     out = out.withColumns({f"_w_{k}": v for k, v in words.items()} | {
-        "_relay": relay, "_brand_like": brand_like, "_swap": t.digit_swapped_brand(folded), "_plain": F.when(imageish, plain), "_push": push, "_toll": toll,
+        "_relay": relay, "_brand_like": brand_like, "_swap": F.coalesce(*[F.when(PHRASES.only_swapped(hits, b), F.lit(b)) for b in lx.IMPERSONATE]), "_plain": F.when(imageish, plain), "_push": push, "_toll": toll,
         "_bad": bad, "_short": short, "_far": first_foreign, "_risky": risky, "_stamps": stamps, "_ra": r_addr, "_sa": s_addr})
     out = out.withColumns({f"_p_{k}": F.position(c(f"_w_{k}"), low) for k in words})
     relay, brand_like, plain, push, toll, bad, short, first_foreign, risky, stamps, r_addr, s_addr = (
         c(x) for x in ("_relay", "_brand_like", "_plain", "_push", "_toll", "_bad", "_short", "_far", "_risky", "_stamps", "_ra", "_sa"))
-    bare = (F.length(plain) < 12) & (F.length("_content") > 80) & (low.contains("<html") | low.contains("multipart"))
+    bare = (F.length(plain) < 12) & (F.length("_content") > 80) & PHRASES.has_any(hits, ["<html", "multipart"])
     reply_off = ((r_addr != "") & (s_addr != "") & (r_addr != s_addr)
                  & (F.split_part(r_addr, F.lit("@"), F.lit(-1)) != F.split_part(s_addr, F.lit("@"), F.lit(-1))))
 
@@ -179,8 +192,8 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
             is_call & pack.isNotNull(), quoted("Matched campaign pack “", pack, "” (directory / TFN seed)")),
     }
     out = out.withColumns({f"_e_{k}": F.substring(v, 1, EVIDENCE) for k, v in evidence.items()})
-    brand = F.coalesce(*[F.when(t.has_bounded(low, b), F.lit(b)) for b in lx.IMPERSONATE])
-    letterish = t.has_any(low, ["unsubscribe", "newsletter", "view in browser", "tldrnewsletter"])
+    brand = F.coalesce(*[F.when(PHRASES.has_bounded(hits, low, b), F.lit(b)) for b in lx.IMPERSONATE])
+    letterish = PHRASES.has_any(hits, LETTER_HINTS)
     context = F.when(c("_e_AUTH_PASS").isNotNull() & letterish, _any_code(NEWSLETTER_CONTEXT)).otherwise(_any_code(SPOOF_CONTEXT))
     out = out.withColumn("_e_IMPERSONATION", F.when(
         context & lk.known_good_match(who).isNull(),
@@ -192,7 +205,7 @@ def analyse_findings(df: DataFrame, subject: str = "subject", body: str = "body"
     out = out.withColumn("findings", F.array_compact(F.array(*rows)))
     return out.drop(*[x for x in out.columns if x[:3] in ("_e_", "_w_", "_p_")], "_relay", "_brand_like", "_swap", "_plain", "_push",
                     "_toll", "_bad", "_short", "_far", "_risky", "_stamps", "_ra", "_sa", "_content", "_who", "_blob", "_folded", "_low",
-                    "_dom", "_links", "_name", "_addr", "_mixed", "_puny", "_foreign")
+                    "_dom", "_hits", "_fold", "_links", "_name", "_addr", "_mixed", "_puny", "_foreign")
 
 
 def finding_rows(df: DataFrame) -> DataFrame:

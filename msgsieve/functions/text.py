@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from msgsieve import lexicons as lx
 
 
+SWAP_FROM, SWAP_TO = "01345$@", "oleassa"    # digits and symbols that stand for letters
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -43,6 +46,55 @@ def bounded(word: str) -> str:
     return rf"(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)"
 
 
+@lru_cache(maxsize=8)
+def _phrase_scan(phrases: tuple[str, ...], swapped: tuple[str, ...]):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def scan(s: pd.Series) -> pd.Series:
+        def hits(v: str | None) -> list[int] | None:
+            if v is None:
+                return None
+            found = [k for k, p in enumerate(phrases) if p in v]
+            for swap, letter in zip(SWAP_FROM, SWAP_TO):
+                v = v.replace(swap, letter)
+            return found + [k for k, p in enumerate(swapped, len(phrases)) if p in v]
+
+        return s.map(hits)
+
+    return scan
+
+
+class Phrases:
+    """Which phrases a lower-cased text contains, found in one pass for all of them.
+
+    ``found`` is an array column of their places in the list, which the other
+    methods read.  ``swapped`` phrases are looked for after undoing digit and
+    symbol swaps.
+    """
+
+    def __init__(self, phrases: list[str], swapped: list[str]):
+        self.phrases, self.swapped = tuple(dict.fromkeys(phrases)), tuple(dict.fromkeys(swapped))
+
+    def found(self, low: Column) -> Column:
+        return _phrase_scan(self.phrases, self.swapped)(low)
+
+    def has(self, hits: Column, phrase: str) -> Column:
+        return F.array_contains(hits, F.lit(self.phrases.index(phrase)))
+
+    def has_any(self, hits: Column, phrases: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [self.has(hits, p) for p in phrases])
+
+    def first(self, hits: Column, phrases: list[str]) -> Column:
+        """First phrase, in list order, that the text contains; null if none."""
+        return F.coalesce(*[F.when(self.has(hits, p), F.lit(p)) for p in phrases])
+
+    def has_bounded(self, hits: Column, low: Column, word: str) -> Column:
+        return self.has(hits, word) & low.rlike(bounded(word))
+
+    def only_swapped(self, hits: Column, phrase: str) -> Column:
+        """The phrase appears only after undoing swaps."""
+        return ~self.has(hits, phrase) & F.array_contains(hits, F.lit(len(self.phrases) + self.swapped.index(phrase)))
+
+
 def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -217,15 +269,51 @@ def has_non_ascii(text: Column) -> Column:
 BEYOND_LATIN = r"[^\x00-\x{9F}\x{A1}-\x{A7}\x{BF}-\x{131}]"
 
 
-def fold_confusables(text: Column) -> Column:
-    """Map look-alike letters to Latin, then NFKC.
+GREEK = 0x370    # first code unit of the Greek block; Cyrillic and all scripts of look-alikes follow
+
+
+@F.pandas_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("beyond", T.BooleanType())]))
+def _folded(s: pd.Series) -> pd.DataFrame:
+    def fold(v: str | None) -> tuple[str | None, bool]:
+        if v is None:
+            return None, False
+        mapped = v
+        for odd, plain in zip(lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO):
+            if odd in mapped:
+                mapped = mapped.replace(odd, plain)
+        mapped = unicodedata.normalize("NFKC", mapped)
+        return None if mapped == v else mapped, bool((np.frombuffer(v.encode("utf-16-le", "surrogatepass"), np.uint16) >= GREEK).any())
 
-    Spark has no normaliser, so only texts holding a character NFKC could
-    change are sent to Python; all others pass as null and stay in the JVM.
+    return pd.DataFrame([fold(v) for v in s], columns=["folded", "beyond"])
+
+
+def folding(text: Column) -> Column:
+    """``folded``: the text with look-alike letters mapped to Latin, then NFKC, null if that changes nothing; ``beyond``: it has letters from Greek on.
+
+    Spark has no normaliser, and a character class costs the JVM more a letter than the whole fold costs Python.  ASCII texts pass as null.
     """
-    mapped = F.when(has_non_ascii(text), F.translate(text, lx.CONFUSABLE_FROM, lx.CONFUSABLE_TO)).otherwise(text)
-    doubtful = has_non_ascii(mapped) & mapped.rlike(BEYOND_LATIN) & mapped.rlike(nfkc_candidate())
-    return F.coalesce(_nfkc(F.when(doubtful, mapped)), mapped)
+    return _folded(F.when(has_non_ascii(text), text))
+
+
+def fold_confusables(text: Column) -> Column:
+    """Map look-alike letters to Latin, then NFKC."""
+    return F.coalesce(folding(text)["folded"], text)
+
+
+_HOST = re.compile(r"(?i)https?://([^/\s:]+)", re.ASCII)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def link_hosts(s: pd.Series) -> pd.Series:
+    """The hosts of all links of a text, as written."""
+    def hosts(v: str | None) -> list[str] | None:
+        if v is None:
+            return None
+        # Every link has this mark; most texts have it a few times at their end.
+        at = v.find("://")
+        return _HOST.findall(v, max(0, at - 5)) if at >= 0 else []
+
+    return s.map(hosts)
 
 
 MIXED_TOKEN = r"([A-Za-z\x{370}-\x{3FF}\x{400}-\x{4FF}][A-Za-z0-9\x{370}-\x{3FF}\x{400}-\x{4FF}._\-]{1,})"
@@ -246,7 +334,7 @@ def punycode_labels(text: Column) -> Column:
 def digit_swapped_brand(text: Column) -> Column:
     """First brand that appears only after undoing digit and symbol swaps."""
     low = F.lower(text)
-    plain = F.translate(low, "01345$@", "oleassa")
+    plain = F.translate(low, SWAP_FROM, SWAP_TO)
     return F.coalesce(*[F.when(~low.contains(b) & plain.contains(b), F.lit(b)) for b in lx.IMPERSONATE])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,6 +205,11 @@ def disposable_sender(sender: Column) -> Column:
     return s.contains("@") & ~d.isin(lx.RELAY_DOMAINS) & (F.size(parents) > 0)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _brand_slug(s: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(s), "01345", "oieas"), "[^a-z]", "")
 
@@ -221,19 +228,21 @@ def lookalike_brand(sender: Column) -> Column:
     The brand table is a fixed short list, so the test is an array expression
     inside the scan stage: no join and no shuffle.
     """
-    host = lookalike_host(sender)
-    slug = _brand_slug(F.split_part(host, F.lit("."), F.lit(1)))
-    real = urls.in_domains(host, [d for _, ds in lx.BRAND_DOMAINS for d in ds])
-
-    def near(b: Column) -> Column:
+    def near(slug: Column, b: Column) -> Column:
         n = F.length(b)
         head = F.substring(slug, F.lit(1), n + 1)
         return ((slug == b)
                 | ((F.abs(F.length(slug) - n) <= 1) & (F.levenshtein(slug, b, 1) == 1))
                 | ((n >= 5) & slug.contains(b) & (F.length(slug) <= n + 3) & (F.levenshtein(head, b, 1) >= 0)))
 
-    first = F.get(F.filter(F.array(*[F.lit(b) for b, _ in lx.BRAND_DOMAINS]), near), 0)
-    return F.when(host.contains(".") & ~real & (F.length(slug) >= 4), first)
+    def imitated(slug: Column) -> Column:
+        return F.when(F.length(slug) >= 4, F.get(F.filter(F.array(*[F.lit(b) for b, _ in lx.BRAND_DOMAINS]), lambda b: near(slug, b)), 0))
+
+    def brand(host: Column) -> Column:
+        real = urls.in_domains(host, [d for _, ds in lx.BRAND_DOMAINS for d in ds])
+        return F.when(host.contains(".") & ~real, once(_brand_slug(F.split_part(host, F.lit("."), F.lit(1))), imitated))
+
+    return once(lookalike_host(sender), brand)
 
 
 def one_letter_deletions(name: Column) -> Column:
