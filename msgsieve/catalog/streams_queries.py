@@ -216,7 +216,7 @@ v AS (SELECT id, coalesce(links.n, 0) AS n, CASE WHEN tier IS NOT NULL THEN 0.02
 SELECT v.id, CASE WHEN n > 0 THEN 1 ELSE p END AS is_threat, round(CASE WHEN n > 0 THEN greatest(c, 0.85) ELSE c END, 6)::DOUBLE AS confidence, country_code, risk_level, n::int AS high_risk_links
 FROM v JOIN origin USING (id) LEFT JOIN place ON place.ip = origin.ip""", "messages fleet ip_ranges safe_rules model_terms")
 def _(i: Inputs):
-    m = i.messages.withColumn("ingest_fp", F.sha2("body", 256))
+    m = i.timeless_messages.withColumn("ingest_fp", F.sha2("body", 256))
     stored = m.filter(F.col("label").isNotNull())
     model = tm.load_model(i.spark, published_models(i))
     out = batch_ingest(m, stored, i.view("fleet"), i.view("ip_ranges"), i.view("safe_rules"), model=model)

@@ -49,3 +49,17 @@ def test_no_text_is_shuffled(spark, folder):
         assert "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_ingest_texts_do_not_meet_events(spark, tmp_path, monkeypatch):
+    """R15 needs no time of an event: its messages are read without one, a repeated event still repeats its message."""
+    from msgsieve import catalog
+    from msgsieve.catalog.registry import QUERIES, Inputs
+    catalog.load()
+    spark.createDataFrame([(i, f"text {i}", "en", "web", 6) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (3,), (3,)], "event_id long").selectExpr(
+        "event_id", "timestamp'2024-01-01' as ts", "event_id as user_id", "'view' as event_type", "1.0d as value").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(Inputs, "messages", property(lambda self: 1 / 0))
+    got = QUERIES["R15_batch_ingest"](Inputs(spark, str(tmp_path)))
+    ids = sorted(r["id"] for r in got.collect())
+    assert set(ids) == {2, 3, 4} and ids.count(3) > 1
