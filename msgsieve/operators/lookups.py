@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from msgsieve.functions import phones, urls
 from msgsieve.functions.text import entity_keys, has_any, text_or_empty
 from msgsieve.operators import vector_index
 from msgsieve.operators.ordered import top_per_key
+from msgsieve.session import cut_lineage
 
 
 # --- exports -----------------------------------------------------------------
@@ -288,7 +290,9 @@ def typosquat_urls(links: DataFrame) -> DataFrame:
 
 
 # --- nearest neighbours ------------------------------------------------------
-CELL_ROWS = 4096          # rows of one side handed to a task at a time
+CELL_ROWS = 4096          # rows of one side compared at a time, unless
+BLOCK_BYTES = 4 << 20     # their vectors take more than this
+PART_BYTES = 64 << 20     # vectors of a partition of the corpus, which a task holds
 
 
 def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
@@ -331,11 +335,13 @@ def similar_messages(queries: DataFrame, corpus: DataFrame, k: int, same: list[s
 
     Both inputs have (vec_id, vec) and the columns of ``same``, which must be
     equal (tenant, type).  Corpus rows go to the cell of their nearest pivot;
-    a query visits only cells that can hold one of its ``k`` nearest (triangle
-    inequality on cell radius), so distant cells are never compared.  Cells are
-    cut into slices of bounded size on both sides, so a third of all rows in
-    one cell is spread over many tasks, and each task returns at most ``k``
-    candidates per query.  Nothing is sampled or capped.
+    a query needs only cells that can hold one of its ``k`` nearest (triangle
+    inequality on cell radius).  Rows of one cell are packed into blocks of
+    bounded size on both sides.  Both are written once, and each pair of blocks
+    that a query of the one may need is compared where the two are read: no
+    vector is copied to disk for each cell that it visits.  A task holds one
+    partition of corpus blocks and returns at most ``k`` candidates per query.
+    Nothing is sampled or capped.
     """
     same = same or []
     centres = _pivots(corpus.select("vec_id", "vec"), pivots)
@@ -355,14 +361,14 @@ def similar_messages(queries: DataFrame, corpus: DataFrame, k: int, same: list[s
     placed = corpus.select("vec_id", "vec", *same).mapInPandas(
         assign, f"vec_id {id_type}, vec array<float>{same_ddl}, cell int, to_pivot double")
     # One small row per (scope, cell): number of rows and radius.
-    stats = placed.groupBy(*same, "cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
+    stats = cut_lineage(placed.groupBy(*same, "cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius")))
     per_scope = (stats.groupBy(*same) if same else stats.groupBy()).agg(
         F.collect_list(F.struct("cell", "n", "radius")).alias("cells"))
 
     def visit(batches):
         for pdf in batches:
-            out = []
-            for i, (vec, cells) in enumerate(zip(_to_matrix(pdf["vec"]) if len(pdf) else [], pdf["cells"])):
+            home, bounds, visits = [], [], []
+            for vec, cells in zip(_to_matrix(pdf["vec"]) if len(pdf) else [], pdf["cells"]):
                 ids = np.array([c["cell"] for c in cells])
                 n = np.array([c["n"] for c in cells])
                 radius = np.array([c["radius"] for c in cells])
@@ -370,48 +376,134 @@ def similar_messages(queries: DataFrame, corpus: DataFrame, k: int, same: list[s
                 reach = d + radius
                 order = np.argsort(reach)
                 enough = np.searchsorted(np.cumsum(n[order]), k)
-                bound = reach[order[min(enough, len(order) - 1)]]
-                keep = (d - radius <= bound + 1e-9)
-                out.append(pd.DataFrame({**{c: pdf[c].iloc[i] for c in same}, "query_id": pdf["vec_id"].iloc[i],
-                                         "qvec": [pdf["vec"].iloc[i]] * int(keep.sum()), "cell": ids[keep].astype("int32"),
-                                         "slices": np.ceil(n[keep] / CELL_ROWS).astype("int32")}))
-            if out:
-                yield pd.concat(out)
+                # With fewer than k rows in all, every one is taken.
+                bound = reach[order[enough]] if enough < len(order) else np.inf
+                home.append(ids[d.argmin()])
+                bounds.append(bound)
+                visits.append(np.packbits(np.isin(np.arange(len(centres)), ids[d - radius <= bound + 1e-9])).tobytes())
+            if home:
+                yield pdf.drop(columns="cells").assign(cell=np.array(home, "int32"), bound=bounds, visits=visits)
 
     asked = queries.select("vec_id", "vec", *same)
     if same:
         asked = asked.join(per_scope, same)
     else:
         asked = asked.withColumn("_one", F.lit(1)).join(F.broadcast(per_scope.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    visits = asked.mapInPandas(visit, f"query_id {id_type}, qvec array<float>{same_ddl}, cell int, slices int")
-    qslice = F.pmod(F.xxhash64("query_id"), F.col("qslices")).cast("int")
-    load = visits.groupBy(*same, "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("qslices"))
-    left = (visits.join(load, [*same, "cell"]).withColumn("qslice", qslice)
-            .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "qslices"))
-    sized = stats.select(*same, "cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("slices"))
-    right = (placed.join(sized, [*same, "cell"]).join(load, [*same, "cell"])
-             .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
-             .withColumn("qslice", F.explode(F.sequence(F.lit(0), F.col("qslices") - 1)))
-             .drop("slices", "qslices", "to_pivot"))
-
-    def nearest(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = [*same, "query_id", "match_id", "distance"]
-        if not len(q) or not len(c):
-            return pd.DataFrame(columns=cols)
-        asked, x, ids, out = _to_matrix(q["qvec"]), _to_matrix(c["vec"]), c["vec_id"].to_numpy(), []
-        step = max(1, 2_000_000 // len(c))
-        for at in range(0, len(q), step):
-            row, col, d = _least(asked[at:at + step], x, ids, min(k, len(c)))
-            out.append(pd.DataFrame({**{f: q[f].to_numpy()[at + row] for f in same}, "query_id": q["query_id"].to_numpy()[at + row], "match_id": ids[col], "distance": d})[cols])
-        return pd.concat(out)
-
-    key = [*same, "cell", "slice", "qslice"]
+    asked = cut_lineage(asked.mapInPandas(visit, f"vec_id {id_type}, vec array<float>{same_ddl}, cell int, bound double, visits binary"))
+
+    dims = centres.shape[1]
+    room = max(1, min(CELL_ROWS, BLOCK_BYTES // (4 * dims)))
+
+    def packed(rows: DataFrame, sizes: DataFrame, bound: str) -> DataFrame:
+        """A row per block of at most ``room`` rows of a cell: ids, vecs, bounds and the cells that any of them needs."""
+        def pack(batches):
+            held, key = [], None
+
+            def block():
+                ids, vecs, bounds, visits = zip(*held)
+                needed = [] if visits[0] is None else np.flatnonzero(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in visits]))).tolist()
+                out = pd.DataFrame({**dict(zip([*same, "cell"], ([x] for x in key))), "ids": [list(ids)], "vecs": [np.stack(vecs).astype("<f4").tobytes()],
+                                    "bounds": [np.array(bounds, "<f8").tobytes()], "visits": [needed]})
+                held.clear()
+                return out
+
+            for pdf in batches:
+                for *at, i, vec, b, v in zip(*[pdf[c] for c in (*same, "cell", "vec_id", "vec", "bound", "visits")]):
+                    if held and (at != key or len(held) == room):
+                        yield block()
+                    key = at
+                    held.append((i, vec, b, v))
+            if held:
+                yield block()
+
+        spots = sizes.select(*same, "cell", F.ceil(F.col("n") / room).cast("int").alias("slices"))
+        rows = rows.join(F.broadcast(spots) if not same else spots, [*same, "cell"]).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
+        rows = rows.select(*same, "cell", "vec_id", "vec", F.col(bound).alias("bound"), (F.col("visits") if "visits" in rows.columns else F.lit(None).cast("binary")).alias("visits"), "slice")
+        rows = rows.repartition(*same, "cell", "slice").sortWithinPartitions(*same, "cell", "slice").drop("slice")
+        return rows.mapInPandas(pack, f"{same_out}cell int, ids array<{id_type}>, vecs binary, bounds binary, visits array<int>")
+
     same_out = "".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}, " for c in same)
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        nearest, f"{same_out}query_id {id_type}, match_id {id_type}, distance double")
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    bytes_of = lambda frame: (frame.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) * dims * 4
+    load = cut_lineage(asked.groupBy(*same, "cell").agg(F.count("*").alias("n")))
+    blocks = packed(placed, stats, "to_pivot").coalesce(-(-bytes_of(stats) // PART_BYTES) or 1)
+    blocks = cut_lineage(blocks.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("cell").alias("_cell"), F.col("ids").alias("_ids"), F.col("vecs").alias("_vecs"), F.col("bounds").alias("_radii")))
+    asked = cut_lineage(packed(asked, load, "bound").repartition(max(3 * cores, -(-bytes_of(load) // PART_BYTES))).withColumn("block", F.monotonically_increasing_id()))
+    # Each partition of the one side is read beside each of the other; neither is shuffled or sent to the driver.
+    needed = F.array_contains("visits", F.col("_cell"))
+    for c in same:
+        needed = needed & (F.col(c) == F.col(f"_{c}"))
+    pairs = asked.join(blocks.hint("shuffle_replicate_nl"), needed).select("block", *same, "cell", "ids", "vecs", "bounds", "_cell", "_ids", "_vecs", "_radii")
+
+    def nearest(batches):
+        at = best = None
+        names = [*same, "query_id", "match_id", "distance"]
+
+        def rows():
+            row, ids, d = best
+            picked = pa.array(row)
+            known = [pa.repeat(scope, len(row)) for scope in at["scope"]]
+            return pa.RecordBatch.from_arrays([*known, at["ids"].take(picked), pa.array(ids, from_pandas=True).cast(at["ids"].type, safe=False), pa.array(d)], names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch[c][i] for c in batch.schema.names}
+                if at is None or at["block"] != cell["block"].as_py():
+                    if best is not None:
+                        yield rows()
+                    at = {"block": cell["block"].as_py(), "scope": [cell[c] for c in same], "ids": cell["ids"].values,
+                          "vecs": np.frombuffer(cell["vecs"].as_buffer(), "<f4").reshape(-1, dims).astype("float64"), "bounds": np.frombuffer(cell["bounds"].as_buffer(), "<f8")}
+                    best = np.zeros(0, np.int64), cell["_ids"].values.to_numpy(zero_copy_only=False)[:0], np.zeros(0)
+                other = np.frombuffer(cell["_vecs"].as_buffer(), "<f4").reshape(-1, dims).astype("float64")
+                radius = np.frombuffer(cell["_radii"].as_buffer(), "<f8").max()
+                best = _nearer(at["vecs"], at["bounds"], best, other, cell["_ids"].values.to_numpy(zero_copy_only=False), centres[cell["_cell"].as_py()], radius, k)
+        if best is not None:
+            yield rows()
+
+    found = pairs.mapInArrow(nearest, f"{same_out}query_id {id_type}, match_id {id_type}, distance double")
     return top_per_key(found, [*same, "query_id"], [F.asc("distance"), F.asc("match_id")], k)
 
 
+def _nearer(a: np.ndarray, bounds: np.ndarray, best: tuple, b: np.ndarray, ids: np.ndarray, centre: np.ndarray, radius: float, k: int) -> tuple:
+    """``best`` (row of a, id, distance; k a row at most) after the rows of ``b``, all within ``radius`` of ``centre``."""
+    row, known, d = best
+    last = np.full(len(a), np.inf)  # distance of the k-th so far
+    full = np.bincount(row, minlength=len(a)) >= k
+    if len(row):
+        worst = np.zeros(len(a))
+        np.maximum.at(worst, row, d)
+        last[full] = worst[full]
+    limit = np.minimum(last, bounds) + 1e-9
+    asked = np.flatnonzero(np.sqrt(((a - centre) ** 2).sum(1)) - radius <= limit)
+    step = max(1, 2_000_000 // len(b))
+    pieces = [(row, known, d)]
+    for lo in range(0, len(asked), step):
+        some = asked[lo:lo + step]
+        closed = some[full[some]]
+        some = some[~full[some]]
+        if len(some):
+            r, c, x = _least(a[some], b, ids, min(k, len(b)))
+            pieces.append((some[r], ids[c], x))
+        if len(closed):
+            # One matrix product bounds all distances up to rounding; most rows have k nearer ones already.
+            x = a[closed]
+            square, other = (x * x).sum(1), (b * b).sum(1)
+            about = square[:, None] + other[None, :] - 2 * x @ b.T
+            r, c = np.nonzero(about <= (limit[closed] ** 2 + 1e-9 * (1 + square + other.max()))[:, None])
+            if len(r):
+                far = np.concatenate([np.sqrt(((x[r[i:i + 65536]] - b[c[i:i + 65536]]) ** 2).sum(-1)) for i in range(0, len(r), 65536)])
+                pieces.append(_first(closed[r], ids[c], far, k))
+    return best if len(pieces) == 1 else _first(*(np.concatenate(x) for x in zip(*pieces)), k)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` of least distance of each row, ties by ``ids``."""
+    order = np.lexsort((ids, d, row))
+    row, ids, d = row[order], ids[order], d[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], d[kept]
+
+
 def similarity(distance: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), 1 - distance), 4)
 
