@@ -439,7 +439,7 @@ def encoded(df: DataFrame, vocabulary: DataFrame, structural: list[str], path: s
     """``feature_matrix`` of the messages ``df``, each packed where it lies; only rows of repeated ids meet over a shuffle.
 
     With ``path``, texts are counted once: places and counts of the known
-    terms are written there, a sixth of the vectors that each use makes of them.
+    terms are written there, and each use makes vectors of them.
     """
     table = Lookup.of(vocabulary.select("kind", "term", "idx", "idf"))
     once, several = by_repetition(df)

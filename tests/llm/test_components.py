@@ -13,7 +13,7 @@ def test_long_chain(spark, monkeypatch):
     links = spark.range(n).select((i * 7919 % n).alias("a"), ((i + 1) * 7919 % n).alias("b")).where(i < n - 1)
     links = links.unionByName(spark.createDataFrame([(5000, 5001), (5001, 5000), (5002, 5001), (7000, 7000), (None, 3)], "a long, b long"))
     found = cc.components(links)
-    # Before, the estimate had thousands of digits after some rounds and filled the driver.
+    # Before, rounds multiplied the estimate until it filled the driver.
     assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
     got = {r.node: r.comp for r in found.collect()}
     assert got == {k: 0 for k in range(n)} | {k: 5000 for k in (5000, 5001, 5002)}
